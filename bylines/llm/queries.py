@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bylines.llm.exact import exact_dedup
+from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
 from bylines.llm.simhash import simhash_components
 from bylines.llm.texts import text_or_empty
@@ -31,6 +32,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(read(spark, sf_dir, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0), count(1), count(2),
+        F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        named(F.array_sort(F.concat("base", "linked"))).alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -38,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_simhash": op4_simhash,
+    "op7_secret_scan": op7_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
