@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bylines.llm.exact import exact_dedup
+from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
 from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
 from bylines.llm.simhash import simhash_components
@@ -18,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_with_next(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("sig")).alias("fingerprint"), as_hex(F.col("edited_sig")).alias("edited_fingerprint"),
+        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+    )
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_or_empty("text")
     docs = read(spark, sf_dir, "documents").select(
@@ -47,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_simhash": op4_simhash,
     "op7_secret_scan": op7_secret_scan,
