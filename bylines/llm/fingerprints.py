@@ -11,27 +11,29 @@ from bylines.llm.texts import text_or_empty
 from bylines.scratch import written
 
 SAMPLES = 64
+LANE = 8  # samples of a term that one row computes; more would outgrow what the JVM compiles
 WIDTH = 4  # hex digits that a sample keeps in the fingerprint
 BUCKETS = 1024  # bound of the neighbour buckets, so of the cut points that the driver sees
 BUCKET_ROWS = 2_000
 
 
-def sample_value(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a of the k-th consistent weighted sample of one term: the term with the least value wins.
+def sample_value(term: Column, log_weight: Column, seed: Column) -> Column:
+    """ln a of a consistent weighted sample of one term: the term with the least value wins.
 
     r and c are Gamma(2, 1), each minus the log of two uniforms from one hash, beta is uniform;
     t = floor(ln w / r + beta) is the level the weight reaches and a = c / (y e^r) with
     ln y = r (t - beta). Terms of two documents win with one value exactly when they are one term at
-    one level, which happens with the probability of the generalised Jaccard similarity.
+    one level, which happens with the probability of the generalised Jaccard similarity. ``seed``
+    is a multiple of 3, one for each sample.
     """
     mask = F.lit(0xFFFFFFFF).cast("long")
 
-    def gamma(seed: int) -> Column:
-        h = F.xxhash64(term, F.lit(seed))
+    def gamma(seed: Column) -> Column:
+        h = F.xxhash64(term, seed)
         return F.lit(64 * math.log(2)) - F.log((F.shiftrightunsigned(h, 32) + F.lit(0.5)) * (h.bitwiseAND(mask) + F.lit(0.5)))
 
-    r, c = gamma(3 * k), gamma(3 * k + 1)
-    beta = F.shiftrightunsigned(F.xxhash64(term, F.lit(3 * k + 2)), 11) * F.lit(2.0**-53)
+    r, c = gamma(seed), gamma(seed + 1)
+    beta = F.shiftrightunsigned(F.xxhash64(term, seed + 2), 11) * F.lit(2.0**-53)
     return F.log(c) - r * (F.floor(log_weight / r + beta) - beta + F.lit(1.0))
 
 
@@ -44,14 +46,17 @@ def signatures(df: DataFrame, keys: list[str], text: Column, samples: int = SAMP
     """(keys, sig array<int>): one number of WIDTH hex digits for each sample of the words of ``text`` weighted by their counts.
 
     If ``df`` is dealt by some of ``keys`` already, nothing is shuffled. Rows that agree in
-    ``keys`` are one document. A text without words has one pseudo-term of its own.
+    ``keys`` are one document. A text without words has one pseudo-term of its own. Each distinct
+    term of a document becomes one row for each lane of LANE samples.
     """
     words = df.select(*keys, F.explode_outer(terms(text)).alias("w"))
     counts = words.groupBy(*keys, F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n"))
-    logged = counts.withColumn("lw", F.log("n"))
-    least = logged.groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("lw"), k)).alias(f"m{k}") for k in range(samples)])
+    lanes = counts.select(*keys, "term", F.log("n").alias("lw"), F.explode(F.array(*[F.lit(3 * k) for k in range(0, samples, LANE)])).alias("lane"))
+    least = lanes.groupBy(*keys, "lane").agg(*[F.min(sample_value(F.col("term"), F.col("lw"), F.col("lane") + 3 * k)).alias(f"m{k}") for k in range(LANE)])
     cut = F.lit((1 << (4 * WIDTH)) - 1).cast("long")
-    return least.select(*keys, F.array(*[F.xxhash64(f"m{k}").bitwiseAND(cut).cast("int") for k in range(samples)]).alias("sig"))
+    part = F.array(*[F.xxhash64(f"m{k}").bitwiseAND(cut).cast("int") for k in range(LANE)])
+    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lane", part.alias("part")))).alias("parts"))
+    return parts.select(*keys, F.slice(F.flatten(F.transform("parts", lambda p: p["part"])), 1, samples).alias("sig"))
 
 
 def as_hex(sig: Column) -> Column:
@@ -115,13 +120,12 @@ def fingerprint_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str =
     led = dealt.select("bucket", "id", "text", F.row_number().over(inner).alias("place"), F.lead("text").over(inner).alias("following"))
     led = led.join(before(heads, "text").hint("shuffle_hash"), F.col("bucket") == F.col("b"), "left")
     led = led.withColumn("edited", edited_text(F.col("text"), F.coalesce("following", "head", F.lit(""))))
-    both = led.select(
-        "bucket", "id", "place", F.xxhash64("text").alias("key"), F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"),
-    ).select("bucket", "id", "place", "key", "n_chars", "edited_sha256", "x.*")
-    sigs = signatures(both, ["bucket", "id", "place", "key", "n_chars", "edited_sha256", "kind"], F.col("t"), samples)
+    facts = led.select("bucket", "place", "id", F.xxhash64("text").alias("key"), F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    both = led.select("bucket", "place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("bucket", "place", "x.*")
+    sigs = signatures(both, ["bucket", "place", "kind"], F.col("t"), samples)
     pick = lambda k: F.first(F.when(F.col("kind") == k, F.col("sig")), ignorenulls=True)
-    table = written(sigs.groupBy("bucket", "id", "place", "key", "n_chars", "edited_sha256").agg(pick(0).alias("sig"), pick(1).alias("edited_sig")))
+    pairs = sigs.groupBy("bucket", "place").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"))
+    table = written(facts.hint("merge").join(pairs, ["bucket", "place"]))
 
     firsts = before(table.where("place = 1").select("bucket", "sig"), "sig")
     by_place = Window.partitionBy("bucket").orderBy("place")
