@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bylines.llm.exact import exact_dedup
 from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
+from bylines.llm.packing import pack_digests
 from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
 from bylines.llm.simhash import simhash_components
@@ -41,6 +43,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(read(spark, sf_dir, "documents"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
@@ -59,6 +66,7 @@ QUERIES = {
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_simhash": op4_simhash,
+    "op5_binary_packing": op5_binary_packing,
     "op7_secret_scan": op7_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
 }
