@@ -12,6 +12,7 @@ from bylines.llm.packing import pack_digests
 from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
 from bylines.llm.simhash import simhash_components
+from bylines.llm.toxicity import held_out, score, train
 from bylines.llm.texts import text_or_empty
 
 SHARDS = 24
@@ -58,6 +59,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_binary_packing": op5_binary_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
