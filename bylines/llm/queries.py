@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bylines.llm.exact import exact_dedup
 from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
+from bylines.llm.html_main import extract_main_text
 from bylines.llm.packing import pack_digests
 from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
@@ -65,6 +66,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op5_binary_packing": op5_binary_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_main_text": op9_main_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
