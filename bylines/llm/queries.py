@@ -11,6 +11,7 @@ from bylines.llm.exact import exact_dedup
 from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
 from bylines.llm.html_main import extract_main_text
 from bylines.llm.packing import pack_digests
+from bylines.llm.quality import classify
 from bylines.llm.secrets import KINDS, find_spans, named
 from bylines.llm.shards import shard_records
 from bylines.llm.simhash import simhash_components
@@ -24,6 +25,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_with_next(read(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +89,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op4_simhash": op4_simhash,
