@@ -17,33 +17,40 @@ from bylines.scratch import written
 
 MAX_TOKENS = 2048
 END_ID = 1
-CACHED_WORDS = 200_000  # words that a worker keeps between texts; it starts over beyond that
+CACHED_WORDS = 1_000_000  # words that a worker keeps between texts, some 200 MB; it starts over beyond that
 PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
-_WORD = re.compile(r"[^ \t\n\r]+")
+_BLANK = re.compile(r"[\t\n\r]")
+_BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, so that words between blanks encode alone."""
+    """Ids of texts by a tokenizer that drops white space, so that words between blanks encode alone, each once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_WORD.findall(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4")
-        none = np.zeros(0, dtype="<u4")
-        return [np.concatenate([none, *map(self.known.__getitem__, ws)]) for ws in words]
+        self.known = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, dtype="<u4").tobytes()
+        ends = 4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(1, len(words) + 1))
+        at = 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = ids[at:end]
+            at = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [t.translate(_BLANKS).split(" ") if t.isascii() else _BLANK.sub(" ", t).split(" ") for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
+        new = list(set().union(*split).difference(self.known))
+        for at in range(0, len(new), 20_000):
+            self.learn(new[at : at + 20_000])
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @cache
@@ -80,10 +87,10 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 part = batch.slice(at, 500)
                 where, cols = [], ([], [], [], [])
                 for row, ids in enumerate(enc.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for start, size in binary_pieces(len(ids), longest):
+                    ids += END_ID.to_bytes(4, "little")
+                    for start, size in binary_pieces(len(ids) // 4, longest):
                         where.append(row)
-                        for c, v in zip(cols, (start, size, ids[start : start + size].tobytes(), len(ids)), strict=True):
+                        for c, v in zip(cols, (start, size, ids[4 * start : 4 * (start + size)], len(ids) // 4), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, PIECE, strict=True))], names=schema.names)
 
