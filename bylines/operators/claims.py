@@ -25,7 +25,7 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_CLAIM
 
 def entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, entity, mentions, first): runs of two or more capitalised ASCII words, by lower-cased text, first spelling kept."""
-    found = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), F.lit(0))).alias("pos", "t"))
+    found = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("pos", "t"))
     return found.groupBy("id", F.lower("t").alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.min_by("t", "pos").alias("first"))
 
 

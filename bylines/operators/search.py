@@ -18,7 +18,8 @@ def capabilities(spark: SparkSession) -> DataFrame:
 def article_age(published: Column, now: Column) -> Column:
     """Whole days, never below 0; null where the date does not parse."""
     at = F.try_to_timestamp(published)
-    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)).cast("int")
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)
+    return F.when(at.isNotNull(), F.greatest(F.lit(0), days)).cast("int")
 
 
 def capability_gate(runs: DataFrame, adapters: DataFrame, has_key: bool = False) -> DataFrame:

@@ -1 +1,139 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL for the evidence queries that SQL can state."""
+
+from __future__ import annotations
+
+from bylines.plans.queries import SOURCES
+from bylines.schemas import AGGREGATORS, FAMILIES, LEGACY, NEGATIONS, NUMERIC, SUFFIXES, TRACKING
+
+
+def listed(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '^www\\.', '')"
+LABELS = f"string_split({HOST}, '.')"
+DOMAIN = f"CASE WHEN array_to_string({LABELS}[-2:], '.') IN ({listed(SUFFIXES)}) THEN array_to_string({LABELS}[-3:], '.') ELSE array_to_string({LABELS}[-2:], '.') END"
+PARAMS = f"list_sort(list_filter(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: NOT (lower(string_split(p, '=')[1]) IN ({listed(TRACKING)}) OR starts_with(lower(string_split(p, '=')[1]), 'utm_'))))"
+PATH = "regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '(?i)/amp(\\.html)?/?$', ''), '/+$', '')"
+CANONICAL = f"regexp_extract(lower(url), '^([a-z]+)://', 1) || '://' || {HOST} || {PATH} || CASE WHEN len({PARAMS}) > 0 THEN '?' || array_to_string({PARAMS}, '&') ELSE '' END"
+FAMILY = "CASE domain " + " ".join(f"WHEN '{d}' THEN '{f}'" for d, f in FAMILIES.items()) + " ELSE domain END"
+
+# RE2 knows ASCII word boundaries only
+EDGE = r"[^\p{L}\p{Nd}_]"
+NUMBER = NUMERIC.replace(r"\b(?:", f"(?:^|{EDGE})(?:").replace(r")\b", f")(?:$|{EDGE})").replace(r"\bper\s+cent\b", f"(?:^|{EDGE})per\\s+cent(?:$|{EDGE})").replace(r"\bpercent\b", f"(?:^|{EDGE})percent(?:$|{EDGE})")
+
+WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END"
+DOC_SETS = f"dw AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents), ds AS (SELECT doc, list_sort({SHINGLES}) AS s FROM dw WHERE len(w) > 0)"
+CLASSES = f"{DOC_SETS}, dk AS (SELECT doc, s, min(doc) OVER (PARTITION BY s) AS rep FROM ds), sets AS (SELECT rep, s FROM dk WHERE doc = rep), x AS (SELECT rep, unnest(s) AS h FROM sets)"
+PAIRS = f"""{CLASSES}, common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY 1, 2),
+    pairs AS (SELECT a, b, n / (len(p.s) + len(q.s) - n) AS jaccard FROM common JOIN sets p ON p.rep = a JOIN sets q ON q.rep = b WHERE n / (len(p.s) + len(q.s) - n) >= 0.8 - 1e-12)"""
+HASH = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') AND length(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))) > 0 THEN 'sha256:' || left(sha256(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))), 32) END"
+OWNER = "CASE WHEN substr({p}, 4)::INT % 2 = 1 THEN 'group' || (substr({p}, 4)::INT % 7) END"
+CARRIED = "carried AS (SELECT item_id AS claim, doc_id AS doc, source, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+HITS = f"h AS (SELECT doc_id AS doc, source AS publisher_id, {HASH} AS body_hash, text FROM documents)"
+
+
+def components(nodes: str, owners: bool, reach: str = "") -> str:
+    """Recursive closure over all reprint pairs, and owner pairs, within each run of ``nodes(run, doc)``."""
+    owner = f"(({OWNER.format(p='p.publisher_id')}) = ({OWNER.format(p='q.publisher_id')}))" if owners else "false"
+    return f"""WITH RECURSIVE {PAIRS}, {HITS}, {CARRIED}, nodes AS ({nodes}),
+    cls AS (SELECT doc, rep FROM dk),
+    near AS (SELECT a, b FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT b, a FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT rep, rep FROM sets),
+    edges AS (
+        SELECT n.run, p.doc AS a, q.doc AS b, CASE WHEN {owner} THEN 1 ELSE 2 END AS rank
+        FROM nodes n JOIN nodes m ON n.run = m.run AND n.doc <> m.doc JOIN h p ON p.doc = n.doc JOIN h q ON q.doc = m.doc LEFT JOIN cls u ON u.doc = p.doc LEFT JOIN cls v ON v.doc = q.doc
+        WHERE {owner} OR (p.publisher_id <> q.publisher_id AND CASE WHEN p.body_hash IS NOT NULL AND q.body_hash IS NOT NULL THEN p.body_hash = q.body_hash ELSE (u.rep, v.rep) IN (SELECT (a, b) FROM near) END)
+    ),
+    walk AS (SELECT run, doc AS node, doc AS spot FROM nodes UNION SELECT w.run, w.node, e.b FROM walk w JOIN edges e ON e.run = w.run AND e.a = w.spot),
+    comp AS (SELECT run, node AS doc, min(spot) AS source FROM walk GROUP BY 1, 2),
+    why AS (SELECT c.run, c.source, min(e.rank) AS rank FROM comp c JOIN edges e ON e.run = c.run AND e.a = c.doc GROUP BY 1, 2),
+    found AS (SELECT c.run, c.doc, c.source, CASE rank WHEN 1 THEN 'same_owner' WHEN 2 THEN 'reprint' ELSE 'none' END AS reason FROM comp c LEFT JOIN why USING (run, source))"""
+
+
+CLAIM_NODES = "SELECT claim AS run, doc FROM carried"
+ALL_NODES = "SELECT 0 AS run, doc_id AS doc FROM documents"
+
+CAPS = "caps AS (SELECT 'src' || i AS adapter, CASE i % 3 WHEN 1 THEN 30 WHEN 2 THEN 400 END AS max_age, CASE i % 4 WHEN 1 THEN ['en'] WHEN 2 THEN ['en', 'fr'] WHEN 3 THEN ['de', 'es'] END AS langs, i % 5 = 4 AS needs_key FROM range(20) t(i))"
+GATE = f"""{CAPS}, runs AS (SELECT item_id AS claim, CASE WHEN item_id % 6 <> 5 THEN item_id * 13 % 500 END AS age, CASE WHEN item_id % 5 <> 4 THEN ['en', 'fr', 'de', 'es'][item_id % 4 + 1] END AS lang FROM benchmark),
+    gate AS (SELECT claim, adapter, langs, max_age, CASE WHEN age > max_age THEN 'skipped_out_of_range' WHEN needs_key THEN 'skipped_no_key' WHEN lang IS NOT NULL AND langs IS NOT NULL AND NOT list_contains(langs, lang) THEN 'skipped_out_of_range' ELSE 'run' END AS status,
+        concat_ws(',', CASE WHEN age IS NULL AND max_age IS NOT NULL THEN 'age' END, CASE WHEN lang IS NULL AND langs IS NOT NULL THEN 'language' END) AS checks_skipped FROM runs, caps)"""
+SHARED = f"""bw AS (SELECT item_id AS claim, {WORDS} AS w FROM benchmark), bs AS (SELECT claim, unnest({SHINGLES}) AS h FROM bw WHERE len(w) > 0), tot AS (SELECT claim, count(*) AS total FROM bs GROUP BY 1),
+    {DOC_SETS}, dx AS (SELECT doc, unnest(s) AS h FROM ds), shared AS (SELECT claim, doc, count(*) AS common, any_value(total) AS total FROM bs JOIN dx USING (h) JOIN tot USING (claim) GROUP BY 1, 2)"""
+LADDER = f"""{SHARED}, {CARRIED}, ex AS (SELECT claim, count(*) AS n FROM carried GROUP BY 1), lo AS (SELECT claim, count(*) FILTER (common * 2 >= total) AS n, count(*) AS k FROM shared GROUP BY 1),
+    rungs AS (SELECT item_id AS claim, coalesce(ex.n, 0) AS e, coalesce(lo.n, 0) AS l, coalesce(lo.k, 0) AS k FROM benchmark LEFT JOIN ex ON ex.claim = item_id LEFT JOIN lo ON lo.claim = item_id),
+    ladder AS (SELECT claim, CASE WHEN e + l + k > 0 THEN 'matched' ELSE 'exhausted' END AS outcome, CASE WHEN e > 0 THEN 'exact' WHEN l > 0 THEN 'loose' WHEN k > 0 THEN 'keyword' ELSE 'none' END AS strength, CASE WHEN e > 0 THEN 1 WHEN l > 0 THEN 2 ELSE 3 END AS attempts_run, CASE WHEN e > 0 THEN e WHEN l > 0 THEN l ELSE k END AS hits FROM rungs)"""
+WINDOW = f"""{SHARED}, ranked AS (SELECT claim, doc, round(common / total, 6) AS score, row_number() OVER (PARTITION BY claim ORDER BY round(common / total, 6) DESC, doc) AS pos FROM shared),
+    win AS (SELECT claim, doc, score, 's' || pos AS source_id FROM ranked WHERE pos <= 12)"""
+LONG = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) > 2))"
+STANCE = f"""{WINDOW}, sw AS (SELECT claim, doc, source, {LONG.format(t='d.text')} AS p, {LONG.format(t='b.text')} AS h FROM win JOIN documents d ON d.doc_id = win.doc JOIN benchmark b ON b.item_id = win.claim),
+    so AS (SELECT *, len(list_intersect(p, h)) / greatest(len(h), 1) AS o, list_has_any(p, [{listed(NEGATIONS)}]) <> list_has_any(h, [{listed(NEGATIONS)}]) AS neg FROM sw),
+    st AS (SELECT claim, doc, source, CASE WHEN len(p) = 0 OR len(h) = 0 THEN 'neutral' WHEN neg AND o > 0.3 THEN 'contradiction' WHEN o >= 0.45 THEN 'entailment' ELSE 'neutral' END AS label,
+        round(CASE WHEN len(p) = 0 OR len(h) = 0 THEN 0.5 WHEN neg AND o > 0.3 THEN 0.6 WHEN o >= 0.45 THEN least(0.58 + o * 0.3, 0.85) ELSE greatest(0.4, 1 - o) END, 6) AS score FROM so)"""
+FUSED = f"""{STANCE}, lab AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1),
+    ev AS (SELECT claim, doc, coalesce({OWNER.format(p='source')}, source) AS src, label = 'entailment' AND score >= 0.6 AS up, label = 'contradiction' AND score >= 0.6 AS down, coalesce(q = 1, false) AS aup, coalesce(q = 0, false) AS adown, q IS NOT NULL AS took FROM st LEFT JOIN lab ON doc_id = doc),
+    sums AS (SELECT claim, count(*) AS pairs, count(DISTINCT src) FILTER (up) AS nli_support, count(DISTINCT src) FILTER (down) AS nli_contradict, count(DISTINCT src) FILTER (aup) AS llm_support, count(DISTINCT src) FILTER (adown) AS llm_contradict,
+        count(DISTINCT src) FILTER (up OR aup) AS support, count(DISTINCT src) FILTER (down OR adown) AS contradict, sign(count(*) FILTER (up) - count(*) FILTER (down)) AS nd, sign(count(*) FILTER (aup) - count(*) FILTER (adown)) AS ld,
+        count(*) FILTER (up OR down) > 0 AS nany, count(*) FILTER (aup OR adown) > 0 AS lany FROM ev GROUP BY 1),
+    agreed AS (SELECT item_id AS claim, coalesce(pairs, 0) AS pairs, coalesce(nli_support, 0) AS nli_support, coalesce(nli_contradict, 0) AS nli_contradict, coalesce(llm_support, 0) AS llm_support, coalesce(llm_contradict, 0) AS llm_contradict, coalesce(support, 0) AS support, coalesce(contradict, 0) AS contradict,
+        CASE WHEN NOT coalesce(nany, false) AND NOT coalesce(lany, false) THEN 'none' WHEN NOT lany THEN 'nli_only' WHEN NOT nany THEN 'llm_only' WHEN nd = ld THEN 'convergent' ELSE 'contested' END AS agreement,
+        CASE WHEN item_id % 7 = 6 THEN 'out_of_range' WHEN item_id % 7 % 2 = 0 THEN 'title_match' ELSE 'not_found' END AS existence FROM benchmark LEFT JOIN sums ON claim = item_id),
+    fused AS (SELECT *, claim % 7 AS run_id, CASE WHEN pairs = 0 THEN 'not_assessed' WHEN contradict >= 1 AND support >= 1 OR contradict >= 2 THEN 'contested_reporting' WHEN existence = 'title_match' AND agreement = 'convergent' AND support >= 1 THEN 'corroborated_coverage'
+        WHEN support >= 2 THEN 'event_corroborated' WHEN support = 1 THEN 'single_source' WHEN agreement = 'contested' THEN 'contested' ELSE 'no_corroboration_found' END AS state FROM agreed)"""
+EVENTS = "ev AS (SELECT event_id, ts, user_id AS run_id, event_type AS layer, ['ok', 'running', 'empty', 'error', 'skipped'][CAST(floor(value) AS BIGINT) % 5 + 1] AS status, CAST(json_extract_string(props, '$.k') AS INT) AS detail FROM events)"
+PIECES = "string_split(regexp_replace({t}, '([.!?])([ \\t\\n\\x0B\\f\\r])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
+
+def sentence_ctes(name: str, text: str, most: int = 5) -> str:
+    return f"""{name}_p AS (SELECT doc_id, unnest({PIECES.format(t=text)}) AS piece, generate_subscripts({PIECES.format(t=text)}, 1) AS pos FROM documents),
+    {name}_a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_replace(piece, '^[ \\t\\n\\x0B\\f\\r]+', '') AS claim FROM {name}_p),
+    {name} AS (SELECT doc_id, 'c' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS claim_id, claim, CAST(base + length(piece) - length(claim) AS INT) AS start, CAST(base + length(piece) AS INT) AS "end" FROM {name}_a WHERE length(claim) > 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= {most})"""
+
+
+ORACLE_SQL = {
+    "pages_vs_newsrooms_per_claim": f"{components(CLAIM_NODES, True)} SELECT item_id AS claim, count(doc) AS document_count, count(DISTINCT source) AS independent_source_count, count(doc) - count(DISTINCT source) AS republished FROM benchmark LEFT JOIN found ON run = item_id GROUP BY 1",
+    "old_vs_new_counts": f"{components(CLAIM_NODES, True)} SELECT run AS claim, count(*) AS pages, count(DISTINCT publisher_id) AS old, count(DISTINCT source) AS new, count(DISTINCT publisher_id) - count(DISTINCT source) AS delta, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM found JOIN h USING (doc) GROUP BY 1",
+    "independent_sources": f"{components(ALL_NODES, False)} SELECT doc, source, reason FROM found",
+    "passage_search": f"WITH {CARRIED} SELECT claim, doc FROM carried",
+    "exact_url_dedupe": f"WITH c AS (SELECT {CANONICAL} AS canonical, page_id, url, (trim(url) <> '')::INT + (trim(html) <> '')::INT AS completeness FROM pages) SELECT canonical, page_id, completeness FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY completeness DESC, url, page_id) = 1",
+    "publisher_identity": f"SELECT page_id, {DOMAIN} AS domain, {DOMAIN} AS publisher FROM pages",
+    "source_bands": f"WITH p AS (SELECT {DOMAIN} AS domain FROM pages), f AS (SELECT domain, {FAMILY} AS family FROM p) SELECT CASE WHEN contains(domain, 'google.com') OR domain IN ({listed(AGGREGATORS)}) THEN 'aggregator' WHEN family IN ({listed(LEGACY)}) THEN 'known_legacy' ELSE 'unknown' END AS band, count(*) AS pages, count(DISTINCT family) AS families FROM f GROUP BY 1",
+    "fetch_taxonomy": """WITH s AS (SELECT page_id, html, CASE page_id % 17 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 418 ELSE 200 END AS http_status, length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS body, len(regexp_extract_all(html, '(?i)<script\\b')) AS scripts FROM pages),
+        r AS (SELECT page_id, http_status, CASE WHEN http_status IN (401, 403, 429) THEN 'blocked' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status >= 500 THEN 'server_error' WHEN http_status >= 400 THEN 'http_error' WHEN strlen(html) > 5000000 THEN 'too_large' WHEN body >= 80 THEN 'ok'
+        WHEN regexp_matches(html, '(?i)subscribe to continue|paywall') THEN 'empty_paywall' WHEN scripts >= 8 OR scripts >= 5 AND length(html) > 1500 THEN 'empty_js_required' ELSE 'empty_not_article' END AS fetch_reason FROM s)
+        SELECT *, CASE WHEN fetch_reason = 'ok' THEN 'ok' WHEN starts_with(fetch_reason, 'empty_') THEN 'empty' ELSE 'error' END AS fetch_status FROM r""",
+    "html_title": r"""SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 240) AS title FROM pages""",
+    "shingle_jaccard_pairs": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
+    "shingle_classes": f"WITH {CLASSES} SELECT doc, rep FROM dk",
+    "body_hash_reprint_groups": f"WITH {HITS} SELECT body_hash, count(*) AS documents, count(DISTINCT publisher_id) AS publishers, min(doc) AS first_doc FROM h WHERE body_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT publisher_id) > 1",
+    "same_owner_groups": f"SELECT coalesce({OWNER.format(p='source')}, source) AS owner, count(*) AS documents, count(DISTINCT source) AS publishers FROM documents GROUP BY 1",
+    "capability_gate": f"WITH {GATE} SELECT claim, adapter, status, checks_skipped FROM gate",
+    "adapter_rollup": """WITH e AS (SELECT user_id AS run_id, event_type AS adapter, CAST(floor(value) AS BIGINT) % 5 + 1 AS r, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), g AS (SELECT run_id, adapter, CAST(sum(k) AS BIGINT) AS hits, count(*) AS queries_run, ['ok', 'empty', 'error', 'skipped_no_key', 'skipped_out_of_range'][min(r)] AS status, array_to_string(list_sort(list(DISTINCT 'k' || (k % 3))), ',') AS checks_skipped FROM e GROUP BY 1, 2)
+        SELECT *, CASE WHEN starts_with(status, 'skipped') THEN 'skipped' ELSE status END AS tool_status FROM g""",
+    "coverage_report": f"WITH {GATE}, ran AS (SELECT * FROM gate WHERE status = 'run'), l AS (SELECT claim, unnest(coalesce(langs, ['any'])) AS lang FROM ran), ls AS (SELECT claim, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages_covered FROM l GROUP BY 1) SELECT claim, any_value(languages_covered) AS languages_covered, CASE WHEN bool_and(max_age IS NOT NULL) THEN strftime(DATE '2026-09-16' - CAST(max(max_age) AS INT), '%Y-%m-%d') END AS earliest_reachable_date, count(*) AS adapters_run FROM ran JOIN ls USING (claim) GROUP BY 1",
+    "existence_ladder": f"WITH {LADDER} SELECT claim, outcome, strength, attempts_run, hits FROM ladder",
+    "existence_class": f"WITH {LADDER} SELECT claim, CASE WHEN claim % 3 = 0 AND hits > 0 AND strength = 'exact' AND EXISTS (SELECT 1 FROM carried c WHERE c.claim = ladder.claim AND len(regexp_extract_all(lower(left(string_split(c.text, chr(10))[1], 120)), '[a-z0-9]+')) > 0 AND c.doc = (SELECT max(doc) FROM carried m WHERE m.claim = ladder.claim)) THEN 'title_match' WHEN strength IN ('exact', 'loose') THEN 'title_match' ELSE 'not_found' END AS existence FROM ladder",
+    "heuristic_claims": f'WITH {sentence_ctes("s", "text")} SELECT doc_id, claim_id, claim, start, "end" FROM s',
+    "claim_grounding": f"WITH {sentence_ctes('s', 'text')} SELECT doc_id, count(*) FILTER (contains(d.text, claim)) AS exact, count(*) FILTER (NOT contains(d.text, claim || '~~')) AS ungrounded, min(instr(d.text, claim) - 1) AS first_start FROM s JOIN documents d USING (doc_id) GROUP BY 1",
+    "heuristic_entities": r"WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS entity FROM documents) SELECT doc_id, entity, count(*) AS mentions FROM e GROUP BY 1, 2",
+    "claim_selection": rf"""WITH {sentence_ctes('s', 'text', 12)}, c AS (SELECT doc_id, claim_id, start, CAST(CASE WHEN regexp_matches(claim, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(claim, '{NUMBER}') THEN 2 ELSE 0 END + CASE WHEN ends_with(claim, '?') THEN -3 ELSE 1 END + 1 + CASE WHEN ends_with(claim, '.') THEN 1 ELSE 0 END AS INT) AS score FROM s),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(substr(claim_id, 2) AS INT)) AS rank FROM c) SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r""",
+    "entity_disagreements": r"""WITH a AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')))) AS e FROM documents), b AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 8))) AS e FROM documents),
+        o AS (SELECT doc_id, 'a' AS side FROM a ANTI JOIN b USING (doc_id, e) UNION ALL SELECT doc_id, 'b' FROM b ANTI JOIN a USING (doc_id, e)) SELECT doc_id, count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM o GROUP BY 1""",
+    "vector_topk": """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_dot_product(q.v, r.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(r.v, r.v)), 6) AS cosine FROM u q JOIN u r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS rank, cosine FROM s QUALIFY rank <= 5""",
+    "stance_window": f"WITH {WINDOW} SELECT claim, doc, source_id, score FROM win",
+    "lexical_stance": f"WITH {STANCE} SELECT claim, doc, label, score FROM st",
+    "claim_fusion": f"WITH {FUSED} SELECT claim, nli_support, nli_contradict, llm_support, llm_contradict, support, contradict, agreement, state FROM fused",
+    "overall_state": f"WITH {FUSED} SELECT run_id, CASE WHEN bool_and(state = 'not_assessed') THEN 'not_assessed' WHEN bool_or(state = 'contested_reporting') THEN 'contested_reporting' WHEN bool_or(agreement = 'contested') THEN 'contested' WHEN bool_or(state = 'corroborated_coverage') THEN 'corroborated_coverage' WHEN bool_or(state = 'event_corroborated') THEN 'event_corroborated' WHEN bool_or(state = 'single_source') THEN 'single_source' ELSE 'no_corroboration_found' END AS state FROM fused GROUP BY 1",
+    "support_rate": f"""WITH {FUSED}, n AS (SELECT run_id, count(*) FILTER (state <> 'not_assessed') AS scored, count(*) FILTER (state IN ('corroborated_coverage', 'event_corroborated')) AS backed, count(*) FILTER (state IN ('contested', 'contested_reporting')) AS contested, count(*) FILTER (state = 'not_assessed') AS unassessed FROM fused GROUP BY 1)
+        SELECT *, CASE WHEN run_id <> 6 AND scored > 0 THEN CAST(round_even(100.0 * backed / scored, 0) AS INT) END AS support_pct, CASE WHEN run_id = 6 THEN 'out_of_range' WHEN scored = 0 THEN 'not_assessed' END AS omitted_because FROM n""",
+    "claim_source_matrix": f"WITH {STANCE}, v AS (SELECT claim, source, CASE label WHEN 'entailment' THEN score WHEN 'contradiction' THEN -score ELSE 0.0 END AS x FROM st) SELECT claim, " + ", ".join(f"coalesce(max_by(x, abs(x)) FILTER (source = '{s}'), 0.0) AS {s}" for s in SOURCES) + " FROM v GROUP BY 1",
+    "trace_runs": f"WITH {EVENTS}, f AS (SELECT *, CASE WHEN lag(layer) OVER w IS NOT DISTINCT FROM layer AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS BIGINT) AS island FROM f) SELECT run_id, island, layer, count(*) AS n, max_by(status, (ts, event_id)) AS last_status, count(DISTINCT detail) AS details FROM i GROUP BY 1, 2, 3",
+    "layer_status": f"WITH {EVENTS}, g AS (SELECT run_id, layer, max_by(status, (ts, event_id)) FILTER (status <> 'running') AS last, min((ts, event_id)) FILTER (status = 'error') AS e, max((ts, event_id)) FILTER (status IN ('ok', 'empty', 'skipped')) AS ok FROM ev GROUP BY 1, 2) SELECT run_id, layer, CASE WHEN e < ok AND last <> 'error' THEN 'degraded' ELSE coalesce(last, 'running') END AS status FROM g",
+    "live_run_state": f"WITH {EVENTS} SELECT run_id, max_by(layer, (ts, event_id)) AS layer, max_by(status, (ts, event_id)) AS status, count(*) AS n_events, count(*) FILTER (status = 'error') AS errors FROM ev GROUP BY 1",
+    "run_history": "WITH l AS (SELECT user_id AS run_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1) SELECT run_id, last_event, row_number() OVER (ORDER BY ts DESC, last_event DESC) AS place FROM l",
+    "message_sequence": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq FROM conversations",
+    "stream_page_dedupe": f"SELECT DISTINCT {CANONICAL} AS grouping_url FROM pages",
+    "stream_trace_tail": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
+}

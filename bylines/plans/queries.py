@@ -222,7 +222,7 @@ def claim_selection(spark: SparkSession, sf: str) -> DataFrame:
     s = C.sentences(docs, "doc_id", "text", most=12)
     scored = s.select(
         F.col("id").alias("run_id"), "claim_id", F.col("start").alias("pos"),
-        C.search_score(F.col("claim"), F.col("claim").rlike(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"), F.when(F.col("claim").rlike("[?]$"), "opinion").otherwise("fact"), F.lit("exact"), F.lit(None), F.col("claim").rlike("[.]$")).alias("score"),
+        C.search_score(F.col("claim"), F.col("claim").rlike("[A-Z][a-z]+ [A-Z][a-z]+"), F.when(F.col("claim").rlike("[?]$"), "opinion").otherwise("fact"), F.lit("exact"), F.lit(None), F.col("claim").rlike("[.]$")).alias("score"),
     )
     return C.select_claims(scored).select(F.col("run_id").alias("doc_id"), "claim_id", "score", "rank", "selected")
 
@@ -239,10 +239,11 @@ def two_pass_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 def _extractors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
 
-    def by(pattern: str) -> DataFrame:
-        return docs.select(F.col("doc_id").alias("id"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "text"))
+    def by(shape: str) -> DataFrame:
+        runs = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: w.rlike(shape))
+        return docs.select(F.col("doc_id").alias("id"), F.posexplode(runs).alias("pos", "text"))
 
-    return by(r"\b[A-Z][a-z]{3,}\b"), by(r"\b[A-Za-z]{8,}\b")
+    return by("^[A-Z][a-z]{3,}$"), by("^.{8,}$")
 
 
 def entity_merge(spark: SparkSession, sf: str) -> DataFrame:
