@@ -19,7 +19,10 @@ from bylines.scratch import written
 from bylines.sources.tables import claims, hits, key_of, owners, table
 from bylines.streaming import pages as P
 
-NOW = F.lit("2026-09-16").cast("date")
+def today():
+    return F.lit("2026-09-16").cast("date")
+
+
 SOURCES = [f"src{i}" for i in range(20)]
 
 
@@ -136,9 +139,9 @@ def old_vs_new_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
     c = claims(spark, sf)
     i = F.col("claim")
-    published = F.when(i % 6 == 5, F.lit("garbage")).otherwise(F.date_format(F.date_sub(NOW, (i * 13 % 500).cast("int")), "yyyy-MM-dd"))
+    published = F.when(i % 6 == 5, F.lit("garbage")).otherwise(F.date_format(F.date_sub(today(), (i * 13 % 500).cast("int")), "yyyy-MM-dd"))
     language = F.when(i % 5 != 4, F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (i % 4 + 1).cast("int")))
-    runs = c.select(i.alias("run_id"), S.article_age(published, NOW.cast("timestamp")).alias("age_days"), language.alias("language"))
+    runs = c.select(i.alias("run_id"), S.article_age(published, today().cast("timestamp")).alias("age_days"), language.alias("language"))
     return S.capability_gate(runs, S.capabilities(spark))
 
 
@@ -165,7 +168,7 @@ def adapter_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.coverage(_reports(spark, sf), NOW)
+    out = S.coverage(_reports(spark, sf), today())
     return out.select(F.col("run_id").alias("claim"), F.array_join("languages_covered", ",").alias("languages_covered"), "earliest_reachable_date", "adapters_run")
 
 
