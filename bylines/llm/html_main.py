@@ -125,8 +125,9 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     cost, and tags never seen have fixed ones. Tags are names of the pages' own, and
     only the 300 most frequent ones get weights.
     """
-    chosen = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= HTML_BYTES)).orderBy(F.xxhash64(id_col), id_col).select(F.col(html_col).alias("h")).limit(most)
-    chosen = written(chosen).repartition(8)
+    fit = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(html_col) <= HTML_BYTES))
+    ids = written(fit.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct())
+    chosen = fit.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(html_col).alias("h"))
     counts = chosen.mapInArrow(feature_counts, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     rows = counts.orderBy((F.col("i") + F.col("o")).desc(), "feature").limit(300).collect()
     weights = {"word": 1.0}
