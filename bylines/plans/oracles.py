@@ -120,6 +120,12 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(substr(claim_id, 2) AS INT)) AS rank FROM c) SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r""",
     "entity_disagreements": r"""WITH a AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')))) AS e FROM documents), b AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 8))) AS e FROM documents),
         o AS (SELECT doc_id, 'a' AS side FROM a ANTI JOIN b USING (doc_id, e) UNION ALL SELECT doc_id, 'b' FROM b ANTI JOIN a USING (doc_id, e)) SELECT doc_id, count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM o GROUP BY 1""",
+    "two_pass_reconcile": f"""WITH {sentence_ctes('a', 'text')}, {sentence_ctes('b', "translate(text, chr(10), '.')")}, o AS (SELECT a.doc_id, a.claim_id AS x, b.claim_id AS y, (least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start) AS o FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, x ORDER BY o DESC, y) AS rx, row_number() OVER (PARTITION BY doc_id, y ORDER BY o DESC, x) AS ry FROM o WHERE o >= 0.5), m AS (SELECT doc_id, count(*) AS n FROM r WHERE rx = 1 AND ry = 1 GROUP BY 1),
+        c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) GROUP BY 1) SELECT c.doc_id, c.n - coalesce(m.n, 0) AS claims, coalesce(m.n, 0) AS agreed, round_even(coalesce(m.n, 0) / (c.n - coalesce(m.n, 0)), 4) AS agreement_rate FROM c LEFT JOIN m ON m.doc_id = c.doc_id""",
+    "entity_merge": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM documents), la AS (SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')) AS l FROM w), lb AS (SELECT doc_id, list_filter(l, lambda x: length(x) >= 8) AS l FROM w),
+        u AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos, 'a' AS who FROM la UNION ALL SELECT doc_id, unnest(l), generate_subscripts(l, 1), 'b' FROM lb), g AS (SELECT doc_id, lower(t) AS entity, CASE WHEN count(DISTINCT who) = 2 THEN 'both' ELSE min(who) END AS source, min((who, pos)) AS o FROM u GROUP BY 1, 2)
+        SELECT doc_id, entity, source FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) <= 30""",
     "vector_topk": """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_dot_product(q.v, r.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(r.v, r.v)), 6) AS cosine FROM u q JOIN u r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query, neighbour, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS rank, cosine FROM s QUALIFY rank <= 5""",
     "stance_window": f"WITH {WINDOW} SELECT claim, doc, source_id, score FROM win",
