@@ -17,8 +17,9 @@ from bylines.scratch import written
 
 MAX_TOKENS = 2048
 END_ID = 1
-CACHED_WORDS = 1_000_000  # words that a worker keeps between texts, some 200 MB; it starts over beyond that
+CACHED_WORDS = 700_000  # words that a worker keeps between texts, some 150 MB; it starts over beyond that
 PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+CHUNK_BYTES = 16 << 20
 _BLANK = re.compile(r"[\t\n\r]")
 _BLANKS = str.maketrans("\t\n\r", "   ")
 
@@ -97,7 +98,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     return rows.mapInArrow(encode, schema)
 
 
-def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id", chunk_rows: int = 50_000) -> DataFrame:
     """Add sequence_id and offset: every piece is a sequence of its own, and pieces of one length have adjacent numbers.
 
     Lengths are powers of two, so a batch of one length needs no padding and no sequence crosses
@@ -109,7 +110,7 @@ def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
         first = F.when(F.col("length") == size, F.lit(at)).otherwise(first)
         at += sizes[size]
     key = F.xxhash64(id_col, "start")
-    placed = number_within(pieces, "length", key, [F.col(id_col), F.col("start")], "_place", max(sizes.values(), default=0))
+    placed = number_within(pieces, "length", key, [F.col(id_col), F.col("start")], "_place", max(sizes.values(), default=0), chunk_rows)
     return placed.withColumn("sequence_id", (first + F.col("_place")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_place")
 
 
@@ -117,9 +118,11 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """Packed pieces with their ids: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     Rows that repeat an id are packed each; other columns are not read; an empty table gives no
-    rows. The pieces are written to the shared folder once, as three passes number them.
+    rows. The pieces are written to the shared folder once, as three passes number them, in
+    chunks of CHUNK_BYTES of ids at most.
     """
-    return bucket_pieces(written(tokenised_pieces(df, tokenizer, id_col, text_col, longest)), id_col)
+    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest))
+    return bucket_pieces(pieces, id_col, max(1, CHUNK_BYTES // (4 * longest)))
 
 
 def pack_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS) -> DataFrame:

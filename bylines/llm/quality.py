@@ -18,7 +18,7 @@ PAD, AGAIN = "\x02", 0xE000
 TRUST_QUANTILE, SLACK = 0.99, 2.0
 LOCAL_ROWS = 4_000_000  # model rows, 24 bytes each, up to which each task holds the model
 TRUSTED_LOCAL = 4_000_000  # trusted ids up to which the trusted texts are picked without a shuffle
-FLUSH_CHARS = 4_000_000
+FLUSH_CHARS = 2_000_000
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -59,8 +59,8 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for b in batches:
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, []).append(g := grams(text))
+        for text, lang in zip(b.column(0), b.column(1), strict=True):
+            held.setdefault(lang.as_py(), []).append(g := grams(text.as_py()))
             size += len(g)
             if size >= FLUSH_CHARS:
                 yield from flush()
@@ -158,8 +158,8 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 langs, gs = part.column(1).to_pylist(), [grams(t) for t in part.column(2).to_pylist()]
                 loss: list[float | None] = [None] * len(gs)
                 for lang in {x for x in langs if (x, ORDER) in local.of}:
