@@ -21,17 +21,33 @@ SHARD_WORDS = 400_000  # words, over all blocks, that one shard holds, about
 
 
 @cache
-def codec(ranks_path: str, pattern: str):
-    """(pre-token pattern, encoder, token-byte table) of a worker."""
+def pre_tokens(pattern: str):
+    """All matches of the pre-token pattern; cached by worker."""
     import regex
+
+    return regex.compile(pattern).findall
+
+
+@cache
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@cache
+def encoder(path: str, pattern: str):
     import tiktoken
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+
+
+@cache
+def token_bytes(path: str) -> pa.Array:
+    """The token-byte table: bytes by id."""
+    table: list[bytes | None] = [None] * (max(ranks(path).values()) + 1)
+    for token, rank in ranks(path).items():
         table[rank] = token
-    return regex.compile(pattern), tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pa.array(table, pa.binary())
+    return pa.array(table, pa.binary())
 
 
 def packed(items: list[bytes]) -> bytes:
@@ -40,19 +56,25 @@ def packed(items: list[bytes]) -> bytes:
     return len(items).to_bytes(4, "little") + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def unpacked(value: bytes) -> list[bytes]:
+def unpacked(value: bytes) -> Iterator[bytes]:
     n, size = int.from_bytes(value[:4], "little"), int.from_bytes(value[4:12], "little")
     body = pa.decompress(value[12:], decompressed_size=size, codec="zstd", asbytes=True)
-    ends = 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(body, dtype="<u4", count=n), dtype=np.int64)])
-    return [body[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    at = 4 * n
+    for length in np.frombuffer(body, dtype="<u4", count=n).tolist():
+        yield body[at : at + length]
+        at += length
 
 
-def sharded_words(texts: list[str], pattern, shards: int) -> list[list[bytes]]:
+def sharded_words(texts: pa.ChunkedArray, pattern: str, shards: int) -> list[list[str]]:
     """The distinct pre-tokens of a block by shard, sorted."""
-    out: list[list[bytes]] = [[] for _ in range(shards)]
-    for w in {w for t in texts for w in pattern.findall(t)}:
-        b = w.encode()
-        out[crc32(b) % shards].append(b)
+    distinct: set[str] = set()
+    split = pre_tokens(pattern)
+    for t in texts:
+        distinct.update(split(t.as_py()))
+    out: list[list[str]] = [[] for _ in range(shards)]
+    while distinct:
+        w = distinct.pop()
+        out[crc32(w.encode()) % shards].append(w)
     for words in out:
         words.sort()
     return out
@@ -76,11 +98,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     dealt = rows.select(F.pmod(F.xxhash64(id_col, "_t"), F.lit(blocks)).cast("int").alias("block"), id_col, "_t")
 
     def words_of(table: pa.Table) -> pa.Table:
-        values = [packed(w) for w in sharded_words(table.column("_t").to_pylist(), codec(ranks_path, pattern)[0], shards)]
+        values = [packed([w.encode() for w in words]) for words in sharded_words(table.column("_t"), pattern, shards)]
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * shards, pa.int32()), "shard": pa.array(range(shards), pa.int32()), "words": pa.array(values, pa.binary())})
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known, held = codec(ranks_path, pattern)[1], {}, None
+        enc, known, held = encoder(ranks_path, pattern), {}, None
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = batch.column(1)[i].as_py()
@@ -94,13 +116,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([packed(out)], pa.binary())], names=["block", "shard", "ids"])
 
     def laid_out(docs: pa.Table, codes: pa.Table) -> pa.Table:
-        texts, known = docs.column("_t").to_pylist(), {}
-        pattern_ = codec(ranks_path, pattern)[0]
-        words = sharded_words(texts, pattern_, shards)
-        for shard, ids in zip(codes.column("shard").to_pylist(), codes.column("ids").to_pylist(), strict=True):
-            known.update(zip(words[shard], unpacked(ids), strict=True))
-        known = {w.decode(): ids for w, ids in known.items()}
-        flat = [b"".join(map(known.__getitem__, pattern_.findall(t))) for t in texts]
+        known: dict[str, bytes] = {}
+        split = pre_tokens(pattern)
+        words = sharded_words(docs.column("_t"), pattern, shards)
+        for shard, ids in zip(codes.column("shard").to_pylist(), codes.column("ids"), strict=True):
+            known.update(zip(words[shard], unpacked(ids.as_py()), strict=True))
+        del words
+        flat = [b"".join(map(known.__getitem__, split(t.as_py()))) for t in docs.column("_t")]
+        known.clear()
         ends = np.concatenate([[0], np.cumsum([len(f) // 4 for f in flat], dtype=np.int64)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype="<u4").astype(np.int32)))
         return pa.table({id_col: docs.column(id_col), "ids": lists})
@@ -121,7 +144,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     at = kept.index(ids_col)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(ranks_path, pattern)[2]
+        table = token_bytes(ranks_path)
         for b in batches:
             ids = b.column(at)
             pieces = pa.ListArray.from_arrays(ids.offsets, pc.take(table, ids.values))
