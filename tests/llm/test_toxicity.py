@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bylines.llm.queries import op8_toxicity
-from bylines.llm.toxicity import Machine, fit_machine, joined, score, train
+from bylines.llm.toxicity import Machine, fit_machine, held_out, joined, score, train
 
 
 def test_machine_is_the_sum_over_pairs():
@@ -43,3 +43,15 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(2, 1), (None, 0), (1, None)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in score(docs, train(docs, odd)).collect())
     assert score(docs.limit(0), model).count() == 0
+
+
+def test_pairs_are_learnt_from_texts(spark):
+    """Two words that are each as common in toxic as in clean texts, toxic where both stand or neither: no term but its partner tells."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append((i, " ".join([w for w, on in (("blue", a), ("fox", b)) if on] + [f"w{rng.integers(0, 30)}"]), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = score(docs.drop("toxic"), train(docs.drop("toxic"), docs.drop("text"))).join(docs, "doc_id").where(held_out("doc_id")).select("score", "toxic").collect()
+    assert len(got) > 500 and sum((r.score >= 0.5) == (r.toxic == 1) for r in got) > 0.95 * len(got)
