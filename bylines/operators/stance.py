@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bylines.functions.text import first_that, let, long_words
 from bylines.schemas import BACKED, CONTESTED, MAX_EVIDENCE, NEGATIONS, SAME_ARTICLE, STANCE_THRESHOLD
 
+LOCAL_CELLS = 4_000_000  # bound of claims x grams that a task holds as a matrix
+
+
+def collapsed(text_col: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
+
 
 def trigram_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
     """(id, gram, w): character trigrams of the lower-cased text with white space collapsed, counts scaled to length 1.
 
     With ``buckets``, grams are numbers below it by crc32, so vectors agree between processes.
     """
-    t = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
-    chars = rows.select(F.col(id_col).alias("id"), F.split(t, "").alias("c"))
+    chars = rows.select(F.col(id_col).alias("id"), F.split(collapsed(text_col), "").alias("c"))
     grams = chars.where(F.size("c") >= 3).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))).alias("gram"))
     if buckets:
         grams = grams.withColumn("gram", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(buckets)))
@@ -24,6 +35,62 @@ def trigram_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int |
     return counts.join(norm.hint("merge"), "id").select("id", "gram", (F.col("n") / F.col("norm")).alias("w"))
 
 
+def trigram_top(claims: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, buckets: int | None = None, cells: int = LOCAL_CELLS) -> DataFrame:
+    """(claim, doc, score, rank): for each claim the ``k`` documents whose whole texts have the greatest cosine of trigram vectors.
+
+    ``claims`` are ``trigram_vectors`` that are written. Up to ``cells`` of claims x grams, each task
+    holds them as a matrix and keeps its own ``k`` best of each claim, which the best of all are
+    among; beyond, claims and documents meet on their grams. Only pairs that share a gram count.
+    """
+    order = [F.col("score").desc(), F.col("doc")]
+    size = claims.agg(F.countDistinct("id"), F.countDistinct("gram")).head()
+    if size[0] * size[1] > cells:
+        c, d = claims.select(F.col("id").alias("claim"), "gram", F.col("w").alias("wc")), trigram_vectors(docs, id_col, text_col, buckets)
+        met = d.select(F.col("id").alias("doc"), "gram", "w").hint("merge").join(c, "gram").groupBy("claim", "doc").agg(F.round(F.sum(F.col("w") * F.col("wc")), 6).alias("score"))
+        return top_k(met, "claim", order, k)
+    vectors = claims.toArrow()
+    names, who = np.unique(vectors.column("id").to_numpy(), return_inverse=True)
+    at: dict = {}
+    where = [at.setdefault(g, len(at)) for g in vectors.column("gram").to_pylist()]
+    matrix = np.zeros((len(at), len(names)))
+    matrix[where, who] = vectors.column("w").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((names, at, matrix))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at, matrix = shared.value
+        hashes: dict[str, int] = {}
+        scores, ids = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+        for b in batches:
+            for begin in range(0, b.num_rows, 100):
+                part = b.slice(begin, 100)
+                x = np.zeros((part.num_rows, len(at)))
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    counts: Counter = Counter(t[j : j + 3] for j in range(len(t) - 2))
+                    if buckets:
+                        of_grams, counts = counts, Counter()
+                        for g, n in of_grams.items():
+                            if (h := hashes.get(g)) is None:
+                                h = crc32(g.encode("utf-8")) % buckets
+                                if len(hashes) < 200_000:
+                                    hashes[g] = h
+                            counts[h] += n
+                    norm = sum(n * n for n in counts.values()) ** 0.5
+                    for g, n in counts.items():
+                        if (j := at.get(g)) is not None:
+                            x[i, j] = n / norm
+                got = (x @ matrix).T
+                got = np.where(got > 0, np.round(got, 6), -np.inf)
+                scores = np.concatenate([scores, got], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy(), got.shape)], axis=1)
+                first = np.lexsort((ids, -scores), axis=-1)[:, :k]
+                scores, ids = np.take_along_axis(scores, first, 1), np.take_along_axis(ids, first, 1)
+        c, i = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(names[c], pa.int64()), pa.array(ids[c, i]), pa.array(scores[c, i])], names=["claim", "doc", "score"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), collapsed(text_col).alias("t")).where("t IS NOT NULL AND doc IS NOT NULL")
+    return top_k(texts.mapInArrow(best, "claim long, doc long, score double"), "claim", order, k)
+
+
 def top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 

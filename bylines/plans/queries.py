@@ -264,22 +264,12 @@ def entity_disagreements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trigram_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine of character trigrams between claims and the titles of all documents; the best three for each claim."""
-    c = T.trigram_vectors(claims(spark, sf), "claim", "text")
-    d = T.trigram_vectors(hits(spark, sf), "doc", "title")
-    return _rank(c, d)
+    """Cosine of character trigrams between claims and the whole texts of all documents; the best three for each claim."""
+    return T.trigram_top(written(T.trigram_vectors(claims(spark, sf), "claim", "text")), hits(spark, sf), "doc", "text", 3)
 
 
 def trigram_rank_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    c = T.trigram_vectors(claims(spark, sf), "claim", "text", 512)
-    d = T.trigram_vectors(hits(spark, sf), "doc", "title", 512)
-    return _rank(c, d)
-
-
-def _rank(c: DataFrame, d: DataFrame) -> DataFrame:
-    c = written(c).select(F.col("id").alias("claim"), "gram", F.col("w").alias("wc"))
-    met = d.select(F.col("id").alias("doc"), "gram", "w").hint("merge").join(c, "gram").groupBy("claim", "doc").agg(F.round(F.sum(F.col("w") * F.col("wc")), 6).alias("score"))
-    return T.top_k(met, "claim", [F.col("score").desc(), F.col("doc")], 3)
+    return T.trigram_top(written(T.trigram_vectors(claims(spark, sf), "claim", "text", 512)), hits(spark, sf), "doc", "text", 3, 512)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:

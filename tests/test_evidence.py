@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import pytest
 
@@ -159,3 +160,38 @@ def test_stream_keeps_first_arrivals(spark, tmp_path):
     stream = spark.readStream.schema("page_id long, url string").parquet(f"{tmp_path}/in").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
     got = run_to_end(first_arrivals(stream, "ts").select("grouping_url")).collect()
     assert Counter(r.grouping_url for r in got) == Counter(["https://a.example/x", "https://a.example/y"])
+
+
+@pytest.mark.parametrize("buckets", [None, 512])
+@pytest.mark.parametrize("cells", [10**6, 0])
+def test_trigram_rank_reads_whole_texts(spark, buckets, cells):
+    """The claim stands behind a long first line; both ways against all pairs."""
+    claims = {1: "Three villages move INLAND", 2: "rail fares rise \U0001F600"}
+    docs = {i: f"{'headline of another matter ' * 6}{i}\n{t}" for i, t in enumerate([BODY, OTHER, "three  villages\nmove inland", "rail fares rise \U0001F600", "", "x"])} | {9: "ab", 10: "rail fares rise \U0001F600"}
+
+    def vector(t):
+        t = " ".join(t.lower().split())
+        n = Counter(t[i : i + 3] for i in range(len(t) - 2))
+        if buckets:
+            of, n = n, Counter()
+            for g, c in of.items():
+                n[crc32(g.encode()) % buckets] += c
+        return n, sum(c * c for c in n.values()) ** 0.5
+
+    want = {}
+    for c, q in claims.items():
+        a, na = vector(q)
+        met = [(-sum(a[g] * b[g] for g in a) / na / nb, d) for d, t in docs.items() for b, nb in [vector(t)] if set(a) & set(b)]
+        want[c] = [(d, pytest.approx(-s, abs=2e-6)) for s, d in sorted(met)[:3]]
+    vectors = T.trigram_vectors(spark.createDataFrame(list(claims.items()), "claim long, text string"), "claim", "text", buckets).cache()
+    got = T.trigram_top(vectors, spark.createDataFrame(list(docs.items()), "doc long, text string"), "doc", "text", 3, buckets, cells).orderBy("claim", "rank").collect()
+    assert {c: [(r.doc, r.score) for r in got if r.claim == c] for c in claims} == want
+
+
+def test_trigram_rank_finds_passages_below_the_first_line(spark, tmp_path):
+    passage = "the coastal defence plan will move three villages inland"
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"another matter\n{passage} and more", "en", "src0")] + [(i, f"the plan of day {i}\nnothing here", "en", "src1") for i in range(2, 6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("trigram_rank", "trigram_rank_hashed"):
+        assert QUERIES[name](spark, str(tmp_path)).where("rank = 1").head().doc == 1
