@@ -179,7 +179,7 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
 def score_sharded(rows: DataFrame, model: DataFrame) -> DataFrame:
     """(id, lang, blank, loss) by joins of each row's n-gram counts with the model, sharded on (lang, gram).
 
-    Rows that repeat an id and a text count as one and come out once.
+    Rows that repeat an id, a text and a language are counted once, and each of them comes out.
     """
     keyed = rows.withColumn("key", F.xxhash64("id", "text")).select("key", "lang", "text")
 
@@ -204,9 +204,9 @@ def score_sharded(rows: DataFrame, model: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         logp = F.coalesce(F.col(f"p{k}"), F.coalesce(f"b{k}", F.lit(0.0)) + logp)
     known = written(asked.select("lang", "gram", logp.alias("logp")).where("logp IS NOT NULL"))
-    sums = counts.join(known.hint("merge"), ["lang", "gram"]).groupBy("key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
-    ids = rows.select(F.xxhash64("id", "text").alias("key"), "id", "lang", "blank").dropDuplicates(["key", "id", "lang"])
-    return ids.join(sums.hint("merge"), "key", "left").select("id", "lang", "blank", "loss")
+    sums = counts.join(known.hint("merge"), ["lang", "gram"]).groupBy("key", "lang").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
+    ids = rows.select(F.xxhash64("id", "text").alias("key"), "id", "lang", "blank")
+    return ids.join(sums.hint("merge"), ["key", "lang"], "left").select("id", "lang", "blank", "loss")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -227,8 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     of its own. A language's threshold is ``slack`` times the ``quantile`` of its trusted rows'
     perplexities. Rows above it go, and so do rows without a word, whose perplexity is null. Where
     no row of the language is trusted, perplexity and threshold are null and rows with words stay.
-    A model of up to ``local_rows`` rows is held by each task; a larger one is joined by shards,
-    where rows that repeat id and text come out once. An empty table gives no rows.
+    A model of up to ``local_rows`` rows is held by each task; a larger one is joined by shards. An empty table gives no rows.
     """
     t = text_or_empty(text_col)
     model = train(docs, labels, id_col, text_col, lang_col, label_col)

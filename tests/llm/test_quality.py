@@ -101,3 +101,12 @@ def test_held_out_accuracy(spark):
 def test_query_covers_the_table(spark):
     d = "/root/testdata/sf0.001"
     assert op1_quality(spark, d).select("doc_id").distinct().count() == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_both_ways_keep_repeated_rows_and_languages_apart(spark):
+    rows = [(i, t, lang) for i, t in enumerate(TEXTS) for lang in ("en", "de")] + [(20, "zwei hunde", "de"), (1, TEXTS[1], "en"), (1, TEXTS[1], "en"), (30, "a dog", "en"), (30, "a dog", "de"), (40, None, "en"), (40, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in (*range(len(TEXTS)), 20)], "doc_id long, quality int")
+    local, sharded = (Counter((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 6), r.kept) for r in quality.classify(docs, labels, local_rows=n).collect()) for n in (10**6, 0))
+    assert local == sharded and sum(local.values()) == len(rows)
+    assert len({p for (i, _, p, _) in local if i == 30}) == 2
