@@ -1,31 +1,46 @@
-"""Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table."""
+"""Byte-level BPE by a global shuffle of distinct words, and decoding by a join with the token-byte table."""
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bylines.llm.texts import text_or_empty
 
-BLOCK_BYTES = 16 << 20  # text of a block, whose distinct words one task holds
-SHARD_WORDS = 400_000  # words, over all blocks, that one shard holds, about
+BLOCK_TOKENS = 3_000_000  # pre-tokens of a block; it ends with the text that reaches this
+BLOCK_WORDS = 300_000  # distinct pre-tokens of a block, likewise
+SHARD_BYTES = 4 << 20  # text for each shard of words, on which the number of shards depends
+LONG_TEXT = 4 << 20  # characters beyond which a text's pre-tokens are listed in stretches
+STRETCH = 1 << 19  # pre-tokens that are listed or laid out at once
+DOCS = -1  # in place of a shard: the row that holds a block's documents and positions
 
 
 @cache
-def pre_tokens(pattern: str):
-    """All matches of the pre-token pattern; cached by worker."""
+def splitter(pattern: str):
     import regex
 
-    return regex.compile(pattern).findall
+    return regex.compile(pattern)
+
+
+def pre_tokens(text: str, pattern: str) -> Iterator[list[str]]:
+    """All matches of the pre-token pattern, in lists of bounded length where the text is long."""
+    if len(text) <= LONG_TEXT:
+        yield splitter(pattern).findall(text)
+        return
+    found = (m[0] for m in splitter(pattern).finditer(text))
+    while part := list(islice(found, STRETCH)):
+        yield part
 
 
 @cache
@@ -41,114 +56,200 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-@cache
-def token_bytes(path: str) -> pa.Array:
-    """The token-byte table: bytes by id."""
-    table: list[bytes | None] = [None] * (max(ranks(path).values()) + 1)
-    for token, rank in ranks(path).items():
-        table[rank] = token
-    return pa.array(table, pa.binary())
-
-
-def packed(items: list[bytes]) -> bytes:
-    """A list of byte strings as one compressed value."""
-    body = np.fromiter(map(len, items), dtype="<u4", count=len(items)).tobytes() + b"".join(items)
-    return len(items).to_bytes(4, "little") + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def unpacked(value: bytes) -> Iterator[bytes]:
-    n, size = int.from_bytes(value[:4], "little"), int.from_bytes(value[4:12], "little")
-    body = pa.decompress(value[12:], decompressed_size=size, codec="zstd", asbytes=True)
-    at = 4 * n
-    for length in np.frombuffer(body, dtype="<u4", count=n).tolist():
-        yield body[at : at + length]
-        at += length
-
-
-def sharded_words(texts: pa.ChunkedArray, pattern: str, shards: int) -> list[list[str]]:
-    """The distinct pre-tokens of a block by shard, sorted."""
-    distinct: set[str] = set()
-    split = pre_tokens(pattern)
-    for t in texts:
-        distinct.update(split(t.as_py()))
-    out: list[list[str]] = [[] for _ in range(shards)]
-    while distinct:
-        w = distinct.pop()
-        out[crc32(w.encode()) % shards].append(w)
-    for words in out:
-        words.sort()
-    return out
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def token_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table (token, bytes), as long as the vocabulary."""
+    table = ranks(path)
+    return spark.createDataFrame(pa.table({"token": pa.array(list(table.values()), pa.int32()), "bytes": pa.array(list(table), pa.binary())}))
+
+
+def shut(body: bytes) -> bytes:
+    """Compressed bytes after their length."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def opened(value: bytes) -> bytes:
+    return pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+
+
+def shut_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, all first bytes before all second ones, as high bytes are mostly alike."""
+    return shut(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def opened_numbers(value: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(opened(value), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _rows(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
+
+
+def exploded(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, block_tokens: int, block_words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's (id, text) rows: the positions of all pre-tokens, and the distinct ones by shard.
+
+    A block's distinct words have numbers, most frequent first. Its DOCS row holds the number at
+    each position (body) and the count of positions of each document (sizes); for each shard that
+    has words, a row holds their numbers, byte lengths (sizes) and bytes (body).
+    """
+    task = TaskContext.get()
+    block = (task.partitionId() if task else 0) << 32
+    known: dict[str, int] = {}
+    places: list[np.ndarray] = []
+    docs, sizes, held = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        at = np.concatenate(places) if places else np.zeros(0, np.uint32)
+        by_count = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
+        number = np.empty(len(known), np.uint32)
+        number[by_count] = np.arange(len(known), dtype=np.uint32)
+        yield _rows(schema, key=[2 * block + 1], block=[block], shard=[DOCS], sizes=[shut_numbers(np.array(sizes))], body=[shut_numbers(number[at])], docs=[docs])
+        words = [w.encode() for w in known]
+        shard = np.fromiter((crc32(w) % shards for w in words), np.int64, len(words))
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        out: dict[str, list] = {"key": [], "block": [], "shard": [], "numbers": [], "sizes": [], "body": []}
+        for mine in np.split(order, cuts[1:]) if len(order) else []:
+            here = [words[i] for i in mine.tolist()]
+            s = int(shard[mine[0]])
+            for c, v in zip(out.values(), (2 * s, block, s, shut_numbers(number[mine]), shut_numbers(np.fromiter(map(len, here), np.uint32, len(here))), shut(b"".join(here))), strict=True):
+                c.append(v)
+        yield _rows(schema, **out)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            n = 0
+            for part in pre_tokens(b.column(1)[i].as_py(), pattern):
+                places.append(np.fromiter((known.setdefault(w, len(known)) for w in part), np.uint32, len(part)))
+                n += len(part)
+            docs.append(b.column(0)[i].as_py())
+            sizes.append(n)
+            held += n
+            if held >= block_tokens or len(known) >= block_words:
+                yield from flush()
+                known, places, docs, sizes, held, block = {}, [], [], [], 0, block + 1
+    if docs:
+        yield from flush()
+
+
+def encoded_words(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Rows of words with their ids instead: sizes count the ids of each word, body holds them.
+
+    Rows come by shard, so each distinct word of a shard is encoded once for all blocks.
+    """
+    encode, known, held = encoder(ranks_path, pattern).encode_ordinary, {}, DOCS
+    for b in batches:
+        at = {name: b.schema.get_field_index(name) for name in ("shard", "sizes", "body")}
+        for i in range(b.num_rows):
+            row = b.slice(i, 1)
+            if (shard := row.column(at["shard"])[0].as_py()) == DOCS:
+                yield row
+                continue
+            if shard != held:
+                known, held = {}, shard
+            ends = np.cumsum(opened_numbers(row.column(at["sizes"])[0].as_py())).tolist()
+            body, start, ids = opened(row.column(at["body"])[0].as_py()), 0, []
+            for end in ends:
+                w = body[start:end]
+                if (one := known.get(w)) is None:
+                    one = known[w] = encode(w.decode())
+                ids.append(one)
+                start = end
+            columns = row.columns
+            columns[at["sizes"]] = pa.array([shut_numbers(np.fromiter(map(len, ids), np.uint32, len(ids)))], pa.binary())
+            columns[at["body"]] = pa.array([shut_numbers(np.fromiter((x for one in ids for x in one), np.uint32))], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, schema=row.schema)
+
+
+def laid_out(rows: pa.Table, id_col: str) -> pa.Table:
+    """A block's documents with their ids, which the positions of their words put in order."""
+    shards = rows.column("shard").to_pylist()
+    own = shards.index(DOCS)
+    parts = [[opened_numbers(rows.column(c)[i].as_py()) for i in range(len(shards)) if i != own] for c in ("numbers", "sizes", "body")]
+    number, size, ids = (np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts)
+    begins, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    begins[number], sizes[number] = np.cumsum(size, dtype=np.int64) - size, size
+    places = opened_numbers(rows.column("body")[own].as_py())
+    doc_ends = np.cumsum(opened_numbers(rows.column("sizes")[own].as_py()), dtype=np.int64)
+    out, ends, total = [], [np.zeros(1, np.int64)], 0
+    for at in range(0, len(places), STRETCH):
+        here = places[at : at + STRETCH]
+        n = sizes[here]
+        after = np.cumsum(n)
+        out.append(ids[np.repeat(begins[here] - (after - n), n) + np.arange(after[-1])].astype(np.int32))
+        ends.append(after + total)
+        total += int(after[-1])
+    upto = np.concatenate(ends)[np.concatenate([[0], doc_ends])].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+    return pa.table({id_col: rows.column("docs")[own].values, "ids": lists})
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, block_words: int = BLOCK_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, ids array<int>) for every row, null texts as empty ones.
 
-    Rows are dealt into blocks. A block sends its distinct pre-tokens, sorted and packed by shard
-    of a hash of the word; a shard encodes each distinct word once for all blocks and sends the
-    ids back in the same order; the block then lays the ids out by the positions of its words.
-    So a word crosses once for each block and not once for each occurrence, and the texts of a
-    block, dealt once, serve both passes. Repeated rows are encoded each; a very long text makes
-    its block longer; an empty table gives no rows.
+    A task explodes its texts into pre-tokens with positions, block by block; a block's distinct
+    pre-tokens go to shards of a hash of the word, which encode each distinct word once for all
+    blocks; their ids go back to the block, where positions put them in order. A word thus crosses
+    once for each block, not once for each occurrence, so neither a frequent word nor a large group
+    of copies loads one task, and no text crosses at all.
+
+    ``df`` gives the same rows to the same tasks when a lost task is run again, as tables do.
+    Repeated rows and ids are encoded each; a text longer than a block is a block of its own; an
+    empty table gives no rows; other columns are not read.
     """
-    t = text_or_empty(text_col)
-    rows = df.select(F.col(id_col), t.alias("_t"))
-    total = rows.agg(F.sum(F.octet_length("_t"))).head()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    shards = max(1, blocks * block_bytes // 40 // shard_words)
-    dealt = rows.select(F.pmod(F.xxhash64(id_col, "_t"), F.lit(blocks)).cast("int").alias("block"), id_col, "_t")
-
-    def words_of(table: pa.Table) -> pa.Table:
-        values = [packed([w.encode() for w in words]) for words in sharded_words(table.column("_t"), pattern, shards)]
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * shards, pa.int32()), "shard": pa.array(range(shards), pa.int32()), "words": pa.array(values, pa.binary())})
-
-    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known, held = encoder(ranks_path, pattern), {}, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = batch.column(1)[i].as_py()
-                if shard != held:
-                    known, held = {}, shard
-                out = []
-                for w in unpacked(batch.column(2)[i].as_py()):
-                    if (ids := known.get(w)) is None:
-                        ids = known[w] = np.array(enc.encode_ordinary(w.decode()), dtype="<u4").tobytes()
-                    out.append(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([packed(out)], pa.binary())], names=["block", "shard", "ids"])
-
-    def laid_out(docs: pa.Table, codes: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
-        split = pre_tokens(pattern)
-        words = sharded_words(docs.column("_t"), pattern, shards)
-        for shard, ids in zip(codes.column("shard").to_pylist(), codes.column("ids"), strict=True):
-            known.update(zip(words[shard], unpacked(ids.as_py()), strict=True))
-        del words
-        flat = [b"".join(map(known.__getitem__, split(t.as_py()))) for t in docs.column("_t")]
-        known.clear()
-        ends = np.concatenate([[0], np.cumsum([len(f) // 4 for f in flat], dtype=np.int64)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype="<u4").astype(np.int32)))
-        return pa.table({id_col: docs.column(id_col), "ids": lists})
-
-    sent = dealt.groupBy("block").applyInArrow(words_of, "block int, shard int, words binary")
-    back = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(ids_of, "block int, shard int, ids binary")
-    schema = rows.select(id_col).schema.add("ids", T.ArrayType(T.IntegerType()))
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(laid_out, schema)
-
-
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col``, the bytes of each row's ids: a join of each id, by its number, with the fixed table of token bytes.
-
-    Null ids give null bytes and no ids give none. An id that the table lacks raises.
+    rows = df.select(F.col(id_col), text_or_empty(text_col).alias("_t"))
+    shards = max(1, (rows.agg(F.sum(F.octet_length("_t"))).head()[0] or 0) // shard_bytes)
+    id_type = rows.schema[0].dataType
+    spec = T.StructType().add("key", "long").add("block", "long").add("shard", "integer").add("numbers", "binary").add("sizes", "binary").add("body", "binary").add("docs", T.ArrayType(id_type))
+    schema = to_arrow_schema(spec)
+    sent = rows.mapInArrow(lambda batches: exploded(batches, pattern, shards, block_tokens, block_words, schema), spec)
+    back = sent.repartition("key").sortWithinPartitions("shard").mapInArrow(lambda batches: encoded_words(batches, ranks_path, pattern), spec)
+    return back.groupBy("block").applyInArrow(lambda table: laid_out(table, id_col), T.StructType().add(id_col, id_type).add("ids", T.ArrayType(T.IntegerType())))
+
+
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with ``out_col``, the bytes of each row's ids.
+
+    Ids are exploded with their positions and joined with the token-byte table, which is as long as
+    the vocabulary and therefore broadcast; the order of rows within a task, in which exploding and
+    joining leave them, puts the bytes of a row together without a shuffle. Null ids give
+    null bytes and no ids give none. An id that the table lacks raises an error.
     """
     kept = [c for c in df.columns if c != out_col]
     schema = df.select(*kept).schema.add(out_col, "binary")
-    at = kept.index(ids_col)
+    ids_at = kept.index(ids_col)
+    each = df.select(F.struct(*kept).alias("row"), F.posexplode_outer(ids_col).alias("at", "token"))
+    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row")  # the other columns come once, with the first position
+    table = F.broadcast(token_bytes(df.sparkSession, ranks_path))
+    met = each.select(first, "at", "token").join(table.withColumnRenamed("token", "known"), F.col("token") == F.col("known"), "left").select("row", "at", "bytes")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks_path)
-        for b in batches:
-            ids = b.column(at)
-            pieces = pa.ListArray.from_arrays(ids.offsets, pc.take(table, ids.values))
-            joined = pc.if_else(ids.is_valid(), pc.binary_join(pieces, pa.scalar(b"", pa.binary())), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), joined], names=schema.names)
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts = None, []
 
-    return df.select(*kept).mapInArrow(join, schema)
+        def out(rows: list[pa.Array], values: list[bytes]) -> pa.RecordBatch:
+            fields = pa.concat_arrays(rows).flatten()
+            has = fields[ids_at].is_valid().to_pylist()
+            return pa.RecordBatch.from_arrays([*fields, pa.array([v if h else None for v, h in zip(values, has, strict=True)], pa.binary())], names=schema.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, at, found = b.columns
+            if found.null_count != at.null_count:
+                raise ValueError("an id is not in the token-byte table")
+            offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+            body = found.buffers()[2]
+            body = body.to_pybytes() if body else b""
+            starts = np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False))
+            cuts = [int(offsets[0]), *offsets[starts].tolist(), int(offsets[-1])]
+            pieces = [body[x:y] for x, y in zip(cuts, cuts[1:])]
+            parts.append(pieces[0])
+            if len(starts):
+                begun = rows.take(pa.array(starts))
+                done = [b"".join(parts), *pieces[1:-1]]
+                yield out([*([row] if row is not None else []), begun.slice(0, len(starts) - 1)], done[row is None :])
+                row, parts = begun.slice(len(starts) - 1, 1), [pieces[-1]]
+        if row is not None:
+            yield out([row], [b"".join(parts)])
+
+    return met.mapInArrow(put_together, schema)

@@ -57,8 +57,8 @@ def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    found = decode(encode(read(spark, sf_dir, "documents"), *own), *own)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = decode(encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
