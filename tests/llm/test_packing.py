@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def wanted(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -40,7 +39,7 @@ def test_pieces():
 
 
 def test_odd_texts(spark, tmp_path):
-    texts = ["Hello there", None, "", "   \x1c á é x\r\ny ΟΔΟΣ İ", "it's 123 <|endoftext|>!!", "w " * 5000, "́ \ńx", "日本語テキスト 🙂🙂", "dup", "x\x85y​z"]
+    texts = ["Hello there", None, "", "   \x1c á é x\r\ny ΟΔΟΣ İ", "it's 123 <|endoftext|>!!", "end <|endoftext|> of a<|startoftext|>b <|endoftext|><|endoftext|>", "w " * 5000, "́ \ńx", "日本語テキスト 🙂🙂", "dup", "DON'T. \"It's\" dogs' 5. a's' x<|ENDOFTEXT|> (a)... É!! Σ! ΟΔΟΣ. a>|. ½! '' 'S. x'S'", "x\x85y​z"]
     rows = list(enumerate(texts))
     spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int").write.parquet(f"{tmp_path}/documents.parquet")
     got = op5_binary_packing(spark, str(tmp_path)).collect()
