@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,46 +211,51 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``, the bytes of each row's ids.
 
-    Ids are exploded with their positions and joined with the token-byte table, which is as long as
-    the vocabulary and therefore broadcast; the order of rows within a task, in which exploding and
-    joining leave them, puts the bytes of a row together without a shuffle. Null ids give
-    null bytes and no ids give none. An id that the table lacks raises an error.
+    The distinct ids of each Arrow batch of rows become rows of their own before it, which meet the
+    token-byte table in a join; as long as the vocabulary, that table is broadcast. Exploding and
+    joining leave the order of rows within a task, so the batch behind finds its tokens' bytes
+    before it and lays them out by position, without a shuffle. Null ids give null bytes and no ids
+    give none. An id that the table lacks raises an error.
     """
     kept = [c for c in df.columns if c != out_col]
     schema = df.select(*kept).schema.add(out_col, "binary")
-    ids_at = kept.index(ids_col)
-    each = df.select(F.struct(*kept).alias("row"), F.posexplode_outer(ids_col).alias("at", "token"))
-    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row")  # the other columns come once, with the first position
-    table = F.broadcast(token_bytes(df.sparkSession, ranks_path))
-    met = each.select(first, "at", "token").join(table.withColumnRenamed("token", "known"), F.col("token") == F.col("known"), "left").select("row", "at", "bytes")
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, parts = None, []
-
-        def out(rows: list[pa.Array], values: list[bytes]) -> pa.RecordBatch:
-            fields = pa.concat_arrays(rows).flatten()
-            has = fields[ids_at].is_valid().to_pylist()
-            return pa.RecordBatch.from_arrays([*fields, pa.array([v if h else None for v, h in zip(values, has, strict=True)], pa.binary())], names=schema.names)
+    types, ids_at = to_arrow_schema(schema), kept.index(ids_col)
+    rows = df.select(F.struct(*kept).alias("row"), F.lit(None).cast("int").alias("token"))
+    spec = T.StructType().add("row", rows.schema["row"].dataType).add("token", "integer")  # either may be null
+    rows_schema = to_arrow_schema(spec)
+    table = F.broadcast(token_bytes(df.sparkSession, ranks_path)).withColumnRenamed("token", "known")
 
+    def with_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows, at, found = b.columns
-            if found.null_count != at.null_count:
-                raise ValueError("an id is not in the token-byte table")
-            offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
-            body = found.buffers()[2]
-            body = body.to_pybytes() if body else b""
-            starts = np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False))
-            cuts = [int(offsets[0]), *offsets[starts].tolist(), int(offsets[-1])]
-            pieces = [body[x:y] for x, y in zip(cuts, cuts[1:])]
-            parts.append(pieces[0])
-            if len(starts):
-                begun = rows.take(pa.array(starts))
-                done = [b"".join(parts), *pieces[1:-1]]
-                yield out([*([row] if row is not None else []), begun.slice(0, len(starts) - 1)], done[row is None :])
-                row, parts = begun.slice(len(starts) - 1, 1), [pieces[-1]]
-        if row is not None:
-            yield out([row], [b"".join(parts)])
+            tokens = b.column(0).flatten()[ids_at].flatten().unique().drop_null().cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(tokens), rows_schema.field(0).type), tokens], schema=rows_schema)
+            yield pa.RecordBatch.from_arrays(b.columns, schema=rows_schema)
 
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, behind = [], [], False
+        for b in batches:
+            told = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(told, prepend=~told[:1])).tolist()
+            for start, end in zip(cuts, [*cuts[1:], len(told)]):
+                run = b.slice(start, end - start)
+                if told[start]:
+                    if run.column(2).null_count:
+                        raise ValueError("an id is not in the token-byte table")
+                    if behind:
+                        keys, values, behind = [], [], False
+                    keys.append(run.column(1))
+                    values.append(run.column(2))
+                    continue
+                behind = True
+                columns = run.column(0).flatten()
+                ids = columns[ids_at]
+                flat = ids.flatten()
+                where = pc.index_in(flat.cast(pa.int32()), value_set=pa.concat_arrays(keys)) if len(flat) else pa.array([], pa.int32())
+                pieces = pc.take(pa.concat_arrays(values), where) if len(flat) else pa.array([], pa.binary())
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), pa.scalar(b"", pa.binary()))
+                yield pa.RecordBatch.from_arrays([*columns, pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.binary()))], schema=types)
+
+    each = rows.mapInArrow(with_distinct, spec)
+    met = each.join(table, F.col("token") == F.col("known"), "left").select("row", "token", "bytes")
     return met.mapInArrow(put_together, schema)
