@@ -25,81 +25,145 @@ MAIN = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SCOPES = {"article", "aside", "blockquote", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
-# Names that pages give to parts beside the article, as whole words of class, id or role.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|discussion|footer|gdpr|header|menu|masthead|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|trending|widget)(?:$|[\s_-])",
-    re.I,
-)
+LEARNT = (INLINE | VOID | ASIDE | ENDS_P | SCOPES | set(CLOSES) | {"caption", "details", "figcaption", "summary", "tbody", "thead", "tfoot", "address"}) - MAIN  # tags that get weights of their own
+# Words in the names (class, id, role) that pages give to parts beside the article ...
+BESIDE = set("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus discussion footer gdpr header menu masthead modal nav navbar navigation newsletter notice notices pagination popup promo promos promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets".split())
+# ... words that may stand with them in a name, ...
+NEUTRAL = set("area article articles aside bar block body bottom box button buttons card center class col column container content cta entry form global group head icon icons id inner item items left link links list main media more outer page panel post posts primary reader right row secondary section site slot stories story strip text thread title top user unit wrap wrapper".split())
+# ... names of readers' words, which may outweigh a short article, and of the article itself, whose header is its own.
+READERS = {"comment", "comments", "disqus", "discussion", "replies", "reply", "respond"}
+OWN = {"article", "content", "entry", "main", "post", "story"}
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW_END = {n: re.compile(rf"</{n}\b[^>]*>?", re.I) for n in RAW}
 
 
+def beside_name(value: str) -> str | None:
+    """The word in a class, id or role that sets a part beside the article, if every other word of that name is a neutral one."""
+    for name in value.split():
+        parts = [p.lower().rstrip("0123456789") for p in _PARTS.split(name)]
+        parts = [p for p in parts if p]
+        told = [p for p in parts if p in BESIDE]
+        if told and all(p in BESIDE or p in NEUTRAL for p in parts) and not ({"header", "masthead", "notice"} >= set(told) and OWN & set(parts)):
+            return next((p for p in told if p in READERS), told[0])
+    return None
+
+
 def parse(page: str) -> list[tuple[str, str, int, bool, int]]:
     """Tokens in page order: (text, feature, block, aside, main).
 
     A tag has text "", a piece of text its own; the feature is the tag's name or "word", "link word".
     ``block`` counts stretches between block tags, ``aside`` holds within parts that element or
     class names set beside the article, ``main`` is the number of the enclosing article or main
-    element, 0 outside. Unclosed and unopened tags are taken as browsers do, roughly.
+    element, 0 outside. A name does not set beside what holds both over half of the page's words and
+    a first heading, main or article element (of readers' words, no article). Unclosed and unopened
+    tags are taken as browsers do, roughly, in time that grows with the page's length: open elements
+    are counted, and looked up only if they are there.
     """
-    out, stack, block, mains, at, n = [], [], 0, 0, 0, len(page)
+    out: list[tuple[str, str, int, int, int]] = []  # as returned, with the element in place of aside
+    parents, marks, counts, heads = [0], [""], [0], [0]  # of elements: the one around, why it may stand beside, its words, 1 if it holds an article, 2 for a first heading or main element
+    stack: list[tuple[str, int, int, bool]] = []  # open elements: name, element, main, in a link
+    frames: list[tuple[str, dict[str, int]]] = [("", {})]  # open scopes, with the open elements in each by name
+    scopes: dict[str, int] = {}
+    endless: set[str] = set()
+    block, mains, at, n = 0, 0, 0, len(page)
+
+    def close_to(names: set[str]) -> None:
+        """Close all up to the last open element of ``names``, which is there."""
+        while True:
+            name = stack.pop()[0]
+            if name in SCOPES:
+                frames.pop()
+                scopes[name] -= 1
+            else:
+                frames[-1][1][name] -= 1
+            if name in names:
+                return
+
+    def is_open(names: set[str]) -> bool:
+        """Whether one of ``names`` is open, with no scope but table cells around it."""
+        for scope, held in reversed(frames):
+            if scope in names or any(held.get(x) for x in names):
+                return True
+            if scope not in ("td", "th"):
+                return False
+        return False
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = (m[2] or "").lower()
-        top = stack[-1] if stack else ("", False, 0, False)
+        _, element, main, link = stack[-1] if stack else ("", 0, 0, False)
         if not name:
             if page[m.start()] != "<" or m[0] == "<":
-                out.append((m[0], "link word" if top[3] else "word", block, top[1], top[2]))
+                counts[element] += len(m[0].split())
+                out.append((m[0], "link word" if link else "word", block, element, main))
             continue
         if name not in INLINE:
             block += name != "br"
             if name == "br" and not m[1]:
-                out.append((" ", "word", block, top[1], top[2]))
+                out.append((" ", "word", block, element, main))
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES and name not in SCOPES:
-                    break
-            out.append(("", "/" + name, block, top[1], top[2]))
+            if scopes.get(name) if name in SCOPES else frames[-1][1].get(name):
+                close_to({name})
+            out.append(("", "/" + name, block, element, main))
             continue
         if name in RAW and name != "head":
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else n if name in ("script", "style", "title", "textarea") else at
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style", "title", "textarea"):
+                at = n
+            else:
+                endless.add(name)
             continue
-        if name == "body":
-            stack = [s for s in stack if s[0] == "html"]
-        if name in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(name, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in SCOPES - {"td", "th"}:
-                break
-        top = stack[-1] if stack else ("", False, 0, False)
-        beside, main = top[1] or name in ASIDE, top[2]
-        if m[3] and not beside:
-            for k in _NAMES.finditer(m[3]):
-                value = k[2] or k[3] or k[4] or ""
-                key = k[1].lower()
-                if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key not in ("style", "itemprop") and name not in ("html", "body", *MAIN) and BESIDE.search(value)):
-                    beside = True
-        if name in MAIN and not beside:
-            mains += 1
-            main = main if main and name == "article" and any(s[0] == "article" for s in stack) else mains
-        out.append(("", name, block, beside, main))
+        if name == "body":  # closes what stood open before it
+            while stack and stack[-1][0] != "html":
+                close_to({stack[-1][0]})
+        if name in ENDS_P and frames[-1][1].get("p"):
+            close_to({"p"})
+        if name in CLOSES and is_open(CLOSES[name]):
+            close_to(CLOSES[name])
+        _, element, main, link = stack[-1] if stack else ("", 0, 0, False)
+        if name in MAIN:
+            if not (main and name == "article" and scopes.get("article")):
+                mains += 1
+                main = mains
+        own = element
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, beside, main, top[3] or name == "a"))
-    return out
+            own = len(parents)
+            parents.append(element)
+            counts.append(0)
+            heads.append(2 if name in ("h1", "main") else int(name == "article"))
+            marks.append("tag" if name in ASIDE else mark_of(name, m[3]) if m[3] else "")
+            stack.append((name, own, main, link or name == "a"))
+            if name in SCOPES:
+                frames.append((name, {}))
+                scopes[name] = scopes.get(name, 0) + 1
+            else:
+                frames[-1][1][name] = frames[-1][1].get(name, 0) + 1
+        out.append(("", name, block, own, main))
+    for e in range(len(parents) - 1, 0, -1):
+        if marks[e] != "tag":
+            counts[parents[e]] += counts[e]
+            heads[parents[e]] = max(heads[parents[e]], heads[e])
+    aside = [False]
+    for e in range(1, len(parents)):
+        void = counts[e] * 2 > counts[0] and marks[e] != "tag" and (heads[e] > (marks[e] in READERS))
+        aside.append(aside[parents[e]] or (marks[e] != "" and not void))
+    return [(text, feature, block, aside[element], main) for text, feature, block, element, main in out]
+
+
+def mark_of(name: str, attributes: str) -> str:
+    """"tag" for a hidden element, a word of BESIDE for one so named, or nothing."""
+    for k in _NAMES.finditer(attributes):
+        value, key = k[2] or k[3] or k[4] or "", k[1].lower()
+        if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
+            return "tag"
+        if key not in ("style", "itemprop") and name not in ("html", "body", *MAIN) and (told := beside_name(value)):
+            return told
+    return ""
 
 
 def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +172,10 @@ def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for page in b.column(0).to_pylist():
             tokens = parse(page)
-            if len({t[4] for t in tokens} - {0}) != 1:
+            if len({t[4] for t in tokens if not t[3]} - {0}) != 1:
                 continue
             for text, feature, _, aside, main in tokens:
-                if feature.lstrip("/") not in MAIN:
+                if text or feature.lstrip("/") in LEARNT:
                     inside = main > 0 and not aside
                     counts.setdefault(feature, [0, 0])[0 if inside else 1] += len(text.split()) if feature.endswith("word") else 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], names=["feature", "inside", "outside"])
@@ -122,14 +186,13 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     A word weighs 1, in a link the less the more link words stand outside articles; a tag costs
     0.2 to 8, the more the greater its share outside. Tags seen seldom go towards a middle
-    cost, and tags never seen have fixed ones. Tags are names of the pages' own, and
-    only the 300 most frequent ones get weights.
+    cost; tags never seen, and names that HTML does not know, have fixed ones.
     """
     fit = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(html_col) <= HTML_BYTES))
     ids = written(fit.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct())
     chosen = fit.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select(F.col(html_col).alias("h"))
     counts = chosen.mapInArrow(feature_counts, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    rows = counts.orderBy((F.col("i") + F.col("o")).desc(), "feature").limit(300).collect()
+    rows = counts.collect()  # one row for each of LEARNT at most, and its end tag
     weights = {"word": 1.0}
     for r in rows:
         outside = (r.o + 2) / (r.i + r.o + 4)

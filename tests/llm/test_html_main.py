@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 from hypothesis import given
@@ -55,3 +56,22 @@ def test_odd_pages(spark):
     assert by[4] == "plain words only" and by[7] == "yes it is" and len(by[None]) == 399_999 and by[5] == "a"
     assert set(got[0].asDict()) == {"page_id", "text", "n_chars"}
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def test_wrappers_are_not_dropped():
+    body = "<h1>The title</h1><p>First words of a story that goes on.</p><p>Second part of it, as long.</p>"
+    want = "The title First words of a story that goes on. Second part of it, as long."
+    for name in ("wrap has-sidebar", "content no-comments", "page-with-header", "sidebar", "header", "social-science", "search-results", "comments"):
+        page = f"<div class='{name}'>{body}<div class='sidebar'>more to see here</div></div><nav>Home News Sport</nav>"
+        assert main_text(page, WEIGHTS) == want, name
+    assert main_text(f"<article><div class='article-header'><h1>The title</h1></div><p class='social-science'>{body[18:]}</article>", WEIGHTS) == want
+    long = "<p>I read this and have a very long comment on it, as always.</p>" * 9
+    assert main_text(f"<div>{body}</div><div class='post-comments'>{long}</div>", WEIGHTS) == want
+    assert main_text(f"<div>{body}</div><div class='commentList'>{long}</div>", WEIGHTS) == want
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for piece in ("<b>", "<p><b>", "<td>", "<li><i>", "<div>", "<svg>", "<span class='x'>", "</b>", "<tr><td>", "<a '\"", "<body>", "<article>"):
+        main_text(piece * (100_000 // len(piece)) + "text", WEIGHTS)
+    assert time.time() - began < 20
