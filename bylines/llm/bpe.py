@@ -21,9 +21,10 @@ from bylines.llm.texts import text_or_empty
 
 BLOCK_TOKENS = 3_000_000  # pre-tokens of a block; it ends with the text that reaches this
 BLOCK_WORDS = 300_000  # distinct pre-tokens of a block, likewise
-SHARD_BYTES = 4 << 20  # text for each shard of words, on which the number of shards depends
+SHARD_BYTES = 8 << 20  # text for each shard of words, on which the number of shards depends
 LONG_TEXT = 4 << 20  # characters beyond which a text's pre-tokens are listed in stretches
 STRETCH = 1 << 19  # pre-tokens that are listed or laid out at once
+DOCS_AT_ONCE = 500  # documents that are put together at once
 DOCS = -1  # in place of a shard: the row that holds a block's documents and positions
 
 
@@ -57,6 +58,11 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+def give_back_memory() -> None:
+    """Arrow of this worker gives freed memory back to the system, as several workers of an executor wait for each other."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     """The token-byte table (token, bytes), as long as the vocabulary."""
     table = ranks(path)
@@ -65,7 +71,7 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 def shut(body: bytes) -> bytes:
     """Compressed bytes after their length."""
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def opened(value: bytes) -> bytes:
@@ -91,8 +97,9 @@ def exploded(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, block
 
     A block's distinct words have numbers, most frequent first. Its DOCS row holds the number at
     each position (body) and the count of positions of each document (sizes); for each shard that
-    has words, a row holds their numbers, byte lengths (sizes) and bytes (body).
+    has words, a row holds their numbers, each less the one before, byte lengths (sizes) and bytes (body).
     """
+    give_back_memory()
     task = TaskContext.get()
     block = (task.partitionId() if task else 0) << 32
     known: dict[str, int] = {}
@@ -111,9 +118,9 @@ def exploded(batches: Iterator[pa.RecordBatch], pattern: str, shards: int, block
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         out: dict[str, list] = {"key": [], "block": [], "shard": [], "numbers": [], "sizes": [], "body": []}
         for mine in np.split(order, cuts[1:]) if len(order) else []:
-            here = [words[i] for i in mine.tolist()]
-            s = int(shard[mine[0]])
-            for c, v in zip(out.values(), (2 * s, block, s, shut_numbers(number[mine]), shut_numbers(np.fromiter(map(len, here), np.uint32, len(here))), shut(b"".join(here))), strict=True):
+            mine = mine[np.argsort(number[mine])]
+            here, s = [words[i] for i in mine.tolist()], int(shard[mine[0]])
+            for c, v in zip(out.values(), (2 * s, block, s, shut_numbers(np.diff(number[mine], prepend=np.uint32(0))), shut_numbers(np.fromiter(map(len, here), np.uint32, len(here))), shut(b"".join(here))), strict=True):
                 c.append(v)
         yield _rows(schema, **out)
 
@@ -164,23 +171,30 @@ def encoded_words(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: s
 
 def laid_out(rows: pa.Table, id_col: str) -> pa.Table:
     """A block's documents with their ids, which the positions of their words put in order."""
+    give_back_memory()
     shards = rows.column("shard").to_pylist()
     own = shards.index(DOCS)
     parts = [[opened_numbers(rows.column(c)[i].as_py()) for i in range(len(shards)) if i != own] for c in ("numbers", "sizes", "body")]
     number, size, ids = (np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts)
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[0]])])
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        number[a:b] = np.cumsum(number[a:b])
     begins, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     begins[number], sizes[number] = np.cumsum(size, dtype=np.int64) - size, size
     places = opened_numbers(rows.column("body")[own].as_py())
     doc_ends = np.cumsum(opened_numbers(rows.column("sizes")[own].as_py()), dtype=np.int64)
-    out, ends, total = [], [np.zeros(1, np.int64)], 0
+    upto = np.zeros(len(doc_ends) + 1, np.int32)  # where each document's ids end
+    out, total = [], 0
     for at in range(0, len(places), STRETCH):
         here = places[at : at + STRETCH]
         n = sizes[here]
         after = np.cumsum(n)
         out.append(ids[np.repeat(begins[here] - (after - n), n) + np.arange(after[-1])].astype(np.int32))
-        ends.append(after + total)
+        a, b = np.searchsorted(doc_ends, [at, at + STRETCH], side="right")
+        upto[a + 1 : b + 1] = after[doc_ends[a:b] - at - 1] + total
         total += int(after[-1])
-    upto = np.concatenate(ends)[np.concatenate([[0], doc_ends])].astype(np.int32)
+    a = np.searchsorted(doc_ends, 0, side="right")
+    upto[: a + 1] = 0
     lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
     return pa.table({id_col: rows.column("docs")[own].values, "ids": lists})
 
@@ -226,12 +240,14 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     table = F.broadcast(token_bytes(df.sparkSession, ranks_path)).withColumnRenamed("token", "known")
 
     def with_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for b in batches:
             tokens = b.column(0).flatten()[ids_at].flatten().unique().drop_null().cast(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(tokens), rows_schema.field(0).type), tokens], schema=rows_schema)
             yield pa.RecordBatch.from_arrays(b.columns, schema=rows_schema)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         keys, values, behind = [], [], False
         for b in batches:
             told = b.column(1).is_valid().to_numpy(zero_copy_only=False)
@@ -247,14 +263,16 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
                     values.append(run.column(2))
                     continue
                 behind = True
-                columns = run.column(0).flatten()
-                ids = columns[ids_at]
-                flat = ids.flatten()
-                where = pc.index_in(flat.cast(pa.int32()), value_set=pa.concat_arrays(keys)) if len(flat) else pa.array([], pa.int32())
-                pieces = pc.take(pa.concat_arrays(values), where) if len(flat) else pa.array([], pa.binary())
-                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), pa.scalar(b"", pa.binary()))
-                yield pa.RecordBatch.from_arrays([*columns, pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.binary()))], schema=types)
+                yield from (laid(run.slice(at, DOCS_AT_ONCE), pa.concat_arrays(keys), pa.concat_arrays(values)) for at in range(0, run.num_rows, DOCS_AT_ONCE)) if keys else (laid(run, None, None),)
+
+    def laid(run: pa.RecordBatch, keys: pa.Array | None, values: pa.Array | None) -> pa.RecordBatch:
+        columns = run.column(0).flatten()
+        ids = columns[ids_at]
+        flat = ids.flatten()
+        pieces = values.take(pc.index_in(flat.cast(pa.int32()), value_set=keys)) if len(flat) else pa.array([], pa.binary())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), pa.scalar(b"", pa.binary()))
+        return pa.RecordBatch.from_arrays([*columns, pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.binary()))], schema=types)
 
     each = rows.mapInArrow(with_distinct, spec)
     met = each.join(table, F.col("token") == F.col("known"), "left").select("row", "token", "bytes")
