@@ -37,18 +37,36 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each pass reads the column, and rows of a few bytes meet. A group of any size costs one
     pre-aggregated row from each task. The largest id stays (null only if all are null).
     """
+    return (
+        _candidates(df, id_col, text_col)
+        .groupBy("sha")
+        .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
+    )
+
+
+def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, sha) of the rows that share length and prefix hash with another row."""
     t = text_or_empty(text_col)
     rows = df.select(F.col(id_col).alias("_id"), t.alias("_t"), _length(t).alias("_len"))
     lengths = _survivors(rows, ["_len"])
     rows = rows.join(lengths, "_len", "left_semi").withColumn("_pre", _prefix(F.col("_t")))
     prefixes = _survivors(rows, ["_len", "_pre"])
     keyed = df.select(F.col(id_col).alias("_id"), t.alias("_t"), _length(t).alias("_len"), _prefix(t).alias("_pre"))
-    return (
-        keyed.join(prefixes, ["_len", "_pre"], "left_semi")
-        .groupBy(full_hash(F.col("_t")).alias("sha"))
-        .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+    return keyed.join(prefixes, ["_len", "_pre"], "left_semi").select("_id", full_hash(F.col("_t")).alias("sha"))
+
+
+def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id) of the rows that have an equal text of a larger id, and (id) of those that stay but stand there more than once.
+
+    Only rows that survive the refinement are hashed whole. A null id is smaller than any other. An empty table gives none.
+    """
+    rows = written(_candidates(df, id_col, text_col))
+    groups = written(rows.groupBy("sha").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    met = rows.join(groups.hint("merge"), "sha")
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    again = met.where(stays).groupBy("sha", "keep_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return met.where(~stays).select(F.col("_id").alias(id_col)), again.select(F.col("keep_id").alias(id_col))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

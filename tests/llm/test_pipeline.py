@@ -51,3 +51,15 @@ def test_run_packs_what_is_left(spark):
 
     got = [SimpleNamespace(**(r.asDict() | {"ids_crc32": zlib.crc32(r.ids)})) for r in rows]
     holds(got, dict(zip([r.doc_id for r in left], wanted([r.text for r in left]), strict=True)))
+
+
+def test_odd_and_empty_tables(spark):
+    rows = [(1, "Some Text", "en"), (1, "Some Text", "en"), (2, "some text", "en"), (2, "some text", "en"), (3, None, None), (4, "", "en"), (None, "a token=abcdefgh here", "en"), (None, "a token=abcdefgh here", "en"), (5, "word " * 30_000, "de")]
+    docs = spark.createDataFrame([(i, t, g, "s", 1, "extra") for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, docs.drop("_id"), D).collect()
+        assert stage(spark, docs.drop("_id").limit(0), D).count() == 0, name
+    assert sorted((r.doc_id or 0, r.text) for r in out["exact dedup"]) == sorted([(2, "some text"), (4, ""), (0, rows[6][1]), (5, rows[8][1])])
+    assert sorted(r.text or "" for r in out["secrets"] if r.doc_id is None) == ["a [SECRET] here"] * 2
+    assert len(out["secrets"]) == len(rows) and sum(r.length for r in out["packing"] if r.doc_id in (3, 4)) == 2
