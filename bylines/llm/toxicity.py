@@ -18,7 +18,7 @@ from bylines.scratch import written
 
 BITS, FACTORS = 17, 6
 STARTS = (5, 6, 7)  # a longer word also counts as its first letters, so that inflected forms teach each other
-TRAIN_ROWS = 8_000  # bound of the labelled rows that a model is fitted on; the driver takes about a minute for as many
+TRAIN_ROWS = 4_000  # bound of the labelled rows that a model is fitted on; the driver takes about a minute for as many
 SHRINK = 0.75  # a weight gives way to chance by so many standard deviations of its term's gradient under no effect
 CACHED_TERMS = 150_000
 _TERM = re.compile(r"[^\W_]+")
@@ -83,7 +83,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(*joined(rows))[0], -40, 40)))
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 20, rate: float = 0.15, seed: int = 7) -> Machine:
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 40, rate: float = 0.15, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss in batches of 64 rows, with L2 on the terms that a batch touches.
 
     A step also takes from each touched weight an L1 share in proportion to the noise of its term's
