@@ -118,3 +118,63 @@ def test_exact_whole_table(spark):
     got = {r.doc_id: r.text_sha256 for r in op10_exact_dedup(spark, d).collect()}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         assert got[r.doc_id] == hashlib.sha256((r.text or "").translate(UP).encode()).hexdigest()
+
+
+def brute_groups(rows):
+    odd = [0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(simhash.VIEWS)]
+    prints = []
+    for _, t in rows:
+        ws = {w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(UP)) if w}
+        views = []
+        for m in odd:
+            hs = []
+            for w in ws:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=42) * m % 2**64
+                h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+                hs.append(h ^ h >> 32)
+            views.append(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs)))
+        prints.append(views)
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j], strict=True)):
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    return Counter((i, least.get(g)) for (i, _), g in zip(rows, group, strict=True))
+
+
+@pytest.mark.parametrize("direct", [64, 1])
+def test_simhash_groups_small(spark, monkeypatch, direct):
+    monkeypatch.setattr(simhash, "DIRECT_CELL", direct)
+    base = [f"w{i}" for i in range(400)]
+    rows = ROWS + [(100 + k, " ".join(base[: 390 - 9 * k] + [f"é{k}"] * k + base[400 - 9 * k :])) for k in range(25)] + [(200, " \x0b "), (201, "a\xa0b C"), (202, "c a\xa0b")]
+    got = simhash.simhash_groups(docs(spark, rows))
+    assert Counter(tuple(r) for r in got.collect()) == brute_groups(rows)
+    assert simhash.simhash_groups(docs(spark, [])).count() == 0
+
+
+def test_simhash_groups_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert Counter(tuple(r) for r in simhash.simhash_groups(docs(spark, rows)).collect()) == brute_groups(rows)
+
+
+def test_simhash_groups_find_edited_copies(spark):
+    """Texts of 300 words with one word in 100 replaced, so that about 0.9 of five-word shingles stay, against their originals."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+    for n in range(120):
+        ws = rng.choices(vocabulary, k=300)
+        edited = list(ws)
+        for at in rng.sample(range(300), 3):
+            edited[at] = rng.choice(vocabulary)
+        rows += [(2 * n, " ".join(ws)), (2 * n + 1, " ".join(edited))]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs(spark, rows)).collect()}
+    assert sum(got[2 * n + 1] == 2 * n for n in range(120)) >= 114
+    assert len(set(got.values())) >= 120

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from bylines.llm.simhash import simhash_components
+from bylines.llm.simhash import simhash_groups
 from tests.llm.test_exact_shards_simhash import UP
 from tests.llm.test_packing import holds, wanted
 from tests.llm.test_secrets import base
@@ -29,7 +29,7 @@ def test_stages_one_by_one(spark):
     assert set(kept["exact dedup"]) == set(last.values())
 
     entered = spark.createDataFrame(list(kept["exact dedup"].values()), docs.schema)
-    assert set(kept["near dedup"]) == {r.component_id for r in simhash_components(entered).collect()}
+    assert set(kept["near dedup"]) == {r.component_id for r in simhash_groups(entered).collect()}
 
     assert set(kept["secrets"]) == set(kept["near dedup"])
     for i, r in kept["secrets"].items():
