@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.texts import text_or_empty
+from bylines.llm.texts import give_back_memory, text_or_empty
 from bylines.operators.numbering import number_within
 from bylines.scratch import written
 
@@ -97,6 +97,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        give_back_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -108,6 +109,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                         for c, v in zip(cols, (start, size, ids[4 * start : 4 * (start + size)], len(ids) // 4), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, PIECE, strict=True))], names=schema.names)
+            give_back_memory()
 
     return rows.mapInArrow(encode, schema)
 

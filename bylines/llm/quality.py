@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bylines.llm.texts import text_or_empty
+from bylines.llm.texts import give_back_memory, text_or_empty
 from bylines.scratch import written
 
 ORDER = 4  # characters of 16 bits, so that an n-gram is one long
@@ -66,6 +66,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
                 size = 0
     yield from flush()
+    give_back_memory()
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -157,6 +158,7 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = shared.value
+        give_back_memory()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
@@ -171,6 +173,8 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
                         for i, total in zip(mine, np.add.reduceat(each, starts).tolist(), strict=True):
                             loss[i] = -total / len(gs[i])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 3)), pa.array(loss, pa.float64())], names=schema.names)
+            del b, part
+            give_back_memory()
 
     schema = rows.select("id", "lang", "blank").schema.add("loss", "double")
     return rows.select("id", "lang", "text", "blank").mapInArrow(apply, schema)

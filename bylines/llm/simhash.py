@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from bylines.llm.texts import lower_ascii, text_or_empty
+from bylines.llm.texts import give_back_memory, lower_ascii, text_or_empty
 from bylines.operators.components import connected_components
 from bylines.scratch import written
 
@@ -176,11 +176,14 @@ def word_views(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        give_back_memory()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 found = [hasher.views(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+            del b, part
+            give_back_memory()
 
     return rows.mapInArrow(apply, schema).select("id", F.md5(F.array_join("views", ",").cast("binary")).alias("node"), "views")
 

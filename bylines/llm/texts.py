@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,3 +18,13 @@ def text_or_empty(text: str | Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z only to a-z. Where each character is one byte, ``lower`` does the same and is faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def give_back_memory() -> None:
+    """Memory that this worker has freed goes back to the system, as workers live on between the stages of an executor.
+
+    Arrow takes memory from the system's allocator, and where that is glibc's, it lets go of what it holds.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
