@@ -173,7 +173,6 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
                         for i, total in zip(mine, np.add.reduceat(each, starts).tolist(), strict=True):
                             loss[i] = -total / len(gs[i])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in (0, 1, 3)), pa.array(loss, pa.float64())], names=schema.names)
-            del b, part
             give_back_memory()
 
     schema = rows.select("id", "lang", "blank").schema.add("loss", "double")

@@ -182,7 +182,6 @@ def word_views(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 part = b.slice(at, 200)
                 found = [hasher.views(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
-            del b, part
             give_back_memory()
 
     return rows.mapInArrow(apply, schema).select("id", F.md5(F.array_join("views", ",").cast("binary")).alias("node"), "views")
