@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bylines.llm.alignment import link_counts
 from bylines.llm.bpe import decode, encode
 from bylines.llm.exact import exact_dedup
 from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
 from bylines.llm.html_main import extract_main_text
+from bylines.llm.infill import infill, parts, restored
 from bylines.llm.packing import pack_digests
 from bylines.llm.quality import classify
 from bylines.llm.secrets import KINDS, find_spans, named
@@ -88,6 +90,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill(read(spark, sf_dir, "documents"))
+    out, form = F.col("output"), F.col("form")
+    cut = found.select("doc_id", "n", "form", "output", parts(out, form).alias("x"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    chars = lambda c: F.char_length(c).cast("long")
+    return cut.select(
+        "doc_id", "n", "form", chars(F.col("x.prefix")).alias("prefix_chars"), chars(F.col("x.middle")).alias("middle_chars"),
+        digest(out).alias("output_sha256"), digest(restored(out, form)).alias("restored_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
@@ -99,6 +118,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_infill": op11_infill,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE_SQL = {
@@ -109,4 +130,14 @@ ORACLE_SQL = {
         ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op11_infill": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+        l AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM d),
+        n AS (SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM l),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+        p AS (SELECT doc_id, t, n, form, array_to_string(units[1:a], '') AS x, array_to_string(units[a + 1:b], '') AS y, array_to_string(units[b + 1:], '') AS z FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
