@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -21,21 +21,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bylines.llm.texts import give_back_memory, text_or_empty
 from bylines.scratch import written
 
+PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # of byte-level vocabularies
 BLOCK_BYTES = 2_000_000  # bytes of a block of documents; it ends with the text that reaches this
 BLOCK_DOCS = 2_000
-CACHED_CHUNKS = 200_000  # chunks that a worker keeps between blocks; it starts over beyond that
+LONG_TEXT = 1 << 20  # characters that are encoded at once
 STRETCH = 1 << 19  # tokens whose digits are laid out at once
 FIRST_WINDOW, WIDEN = 1, 4
 
 # A space after a letter, digit or ASCII mark begins a pre-token of one tokenizer and a piece of the
-# other, whatever stands before, so the chunks between such spaces encode alone.
+# other, whatever stands before, so what lies between such spaces encodes alone.
 _CUT = re.compile(r"(?<=[\w!-/:-@\[-`{-~]) ")
-_OTHER = re.compile(r"(?<![\w!-/:-@\[-`{-~]) ")
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before spaces that follow a word; each chunk stands for itself after one space."""
-    return _CUT.split(text) if _OTHER.search(text) else text.split(" ")
+def stretches(text: str) -> Iterator[str]:
+    """The text, or if it is long its parts between such spaces; each part stands for itself after one space."""
+    at = 0
+    while len(text) - at > LONG_TEXT and (cut := _CUT.search(text, at + LONG_TEXT)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
 
 
 def byte_level() -> dict[str, int]:
@@ -45,67 +49,60 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[begin : begin + size] of each, one after another."""
-    total = int(sizes.sum())
-    shift = begins - (np.cumsum(sizes) - sizes)
-    return values[np.repeat(shift, sizes) + np.arange(total)]
-
-
 class TwoEncoders:
-    """Ids of chunks by both tokenizers, each distinct chunk encoded once, as places in flat arrays."""
+    """Ids of texts, after a space, by both tokenizers, and the bytes of every id.
+
+    A is a byte-level vocabulary whose ids follow its merges, as those of the public files do; then
+    ranks say all, and are what encodes. Any other raises an error.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)
+        to_byte, vocab = byte_level(), model["model"]["vocab"]
+        added = {t["content"] for t in model["added_tokens"]}
+        ranks = {bytes(to_byte[c] for c in s): i for s, i in vocab.items() if s not in added}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["model"]["merges"]]
+        if model["normalizer"] or model["pre_tokenizer"]["type"] != "ByteLevel" or [vocab[m] for m in merges] != sorted(vocab[m] for m in merges):
+            raise ValueError("A must be a byte-level vocabulary in the order of its merges")
+        self.a = tiktoken.Encoding("a", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.space = self.b.piece_to_id("▁")
-        to_byte = byte_level()
-        names = {i: s for s, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_a = [bytes(to_byte[c] for c in names[i]) if i in names else b"" for i in range(max(names) + 1)]
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         whole = lambda i, s: bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace("▁", " ").encode()
         self.bytes_b = [whole(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.pieces = [pa.array(side, pa.binary()) for side in (self.bytes_a, self.bytes_b)]
         digits = [[f"{i}{end}" for i in range(n)] for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), (",", ";", ""))) for end in ends]
         self.digits = pa.array([x for part in digits for x in part])
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes = np.zeros((2, 0), np.int64)
-        self.flat = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.right = np.zeros(0, bool)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode chunks; a chunk is right where both sides' bytes are those of a space and the chunk."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        b = [ids if c else [self.space] for c, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)]  # no space is added to an empty text
-        want = [b" " + c.encode() for c in new]
-        right = [b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y)) for w, x, y in zip(want, a, b, strict=True)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.sizes = np.concatenate([self.sizes, [[len(x) for x in a], [len(y) for y in b]]], axis=1)
-        self.flat = [np.concatenate([old, np.fromiter(chain.from_iterable(ids), np.int64)]) for old, ids in zip(self.flat, (a, b), strict=True)]
-        self.right = np.concatenate([self.right, np.array(right, bool)])
+
+    def _joined_as(self, k: int, ids: np.ndarray, upto: np.ndarray, want: list[bytes]) -> np.ndarray:
+        """Which texts' bytes the tokens of a side join to."""
+        ends = np.concatenate([[0], np.cumsum((self.len_a, self.len_b)[k][ids])])
+        data = self.pieces[k].take(pa.array(ids.astype(np.int32))).buffers()[2]
+        joined, at = data.to_pybytes() if data else b"", ends[upto].tolist()
+        return np.fromiter((joined[a:b] == w for a, b, w in zip([0, *at], at, want)), bool, len(want))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """([ids of A, ids of B] of all texts one after another, [how many each text has]); texts that are empty or not right have none."""
-        if len(self.known) > CACHED_CHUNKS:
-            self.forget()
-        cut = [chunks(t) if t else [] for t in texts]
-        if new := list(set().union(*cut).difference(self.known)):
-            self.learn(new)
-        slots = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-        bad = np.zeros(len(texts), bool)
-        bad[doc[~self.right[slots]]] = True
-        keep = ~bad[doc]
-        slots, doc = slots[keep], doc[keep]
-        begins = np.cumsum(self.sizes, axis=1) - self.sizes
-        ids = [gathered(self.flat[k], begins[k][slots], self.sizes[k][slots]) for k in (0, 1)]
-        return ids, [np.bincount(doc, weights=self.sizes[k][slots], minlength=len(texts)).astype(np.int64) for k in (0, 1)]
+        """([ids of A, ids of B] of all texts one after another, [how many each text has]); texts that are empty or whose bytes differ have none."""
+        parts = [list(stretches(t)) if t else [] for t in texts]
+        flat = [p for own in parts for p in own]
+        a = [self.a.encode_to_numpy(" " + p) for p in flat]
+        b = [ids if p else [self.space] for p, ids in zip(flat, self.b.encode(flat, num_threads=1), strict=True)]  # no space is added to an empty text
+        doc = np.repeat(np.arange(len(texts)), [len(own) for own in parts])
+        ids = [np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64), np.fromiter(chain.from_iterable(b), np.int64)]
+        n = [np.bincount(doc, weights=[len(x) for x in side], minlength=len(texts)).astype(np.int64) if side else np.zeros(len(texts), np.int64) for side in (a, b)]
+        want = [(" " + t).encode() if t else b"" for t in texts]
+        right = np.logical_and(*[self._joined_as(k, ids[k], np.cumsum(n[k]), want) for k in (0, 1)])
+        if not right.all():
+            ids = [x[np.repeat(right, m)] for x, m in zip(ids, n, strict=True)]
+            n = [np.where(right, m, 0) for m in n]
+        return ids, n
 
 
 @cache
@@ -190,8 +187,12 @@ class Aligned:
 
         Each stretch of bytes between neighbouring ends of either side lies in one token of each.
         """
-        ends = np.union1d(*self.bytes)
-        a, b = (np.searchsorted(side, ends) for side in self.bytes)
+        size = int(self.bytes[0][-1]) + 1 if len(self.bytes[0]) else 0
+        marks = np.zeros((2, size), bool)
+        for k in (0, 1):
+            marks[k][self.bytes[k]] = True
+        ends = np.flatnonzero(marks[0] | marks[1])
+        a, b = (np.cumsum(m)[ends] - m[ends] for m in marks)  # how many ends lie before
         return np.repeat(np.arange(len(self.n[0])), self.n[0])[a], self.ids[0][a] << 32 | self.ids[1][b]
 
 

@@ -63,7 +63,7 @@ def hostile(n):
 @pytest.mark.parametrize("block_docs", [3, 2000])
 def test_link_counts_equal_brute_force(spark, monkeypatch, block_docs):
     monkeypatch.setattr(al, "BLOCK_DOCS", block_docs)
-    texts = TEXTS + hostile(400)
+    texts = TEXTS + hostile(250)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, block int, slots string").repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in al.link_counts(df, A, B).collect()}
     want = dict(enumerate(brute(texts)))
