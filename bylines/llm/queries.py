@@ -12,6 +12,7 @@ from bylines.llm.exact import exact_dedup
 from bylines.llm.fingerprints import as_hex, fingerprint_with_next, likeness
 from bylines.llm.html_main import extract_main_text
 from bylines.llm.infill import infill, parts, restored
+from bylines.llm.jaccard import jaccard_components
 from bylines.llm.packing import pack_digests
 from bylines.llm.quality import classify
 from bylines.llm.secrets import KINDS, find_spans, named
@@ -107,6 +108,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
@@ -120,6 +125,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_infill": op11_infill,
     "op12_alignment": op12_alignment,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL = {
