@@ -8,19 +8,55 @@ from pyspark.sql import functions as F
 from bylines.schemas import MAX_CLAIMS, NUMERIC
 
 
-def sentences(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_CLAIMS, longer_than: int = 40) -> DataFrame:
-    """(id, claim_id, claim, start, end): the first ``most`` sentences above a length, with offsets in the raw text.
+SENTENCE, SENTENCE_END = r"[^.?!]+[.?!]*|[.?!]+", r"^[.?!]"
+LINE, NO_END = r"[^\n]*\n|[^\n]+", r"^\z."
+_BLANK = r"[\s\x1c-\x1f]"
+FALLBACK_CHARS = 400
 
-    Offsets are running sums over the pieces between sentence ends, so repeated sentences keep
-    their own places. Sentence ends are full stop, exclamation or question mark before white space.
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, rf"(?U)\A{_BLANK}++|(?<!{_BLANK}){_BLANK}++\z", "")
+
+
+def _lead(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, rf"(?U)\A{_BLANK}++", ""))
+
+
+def _or_whole(found: Column, text: Column, start: Column) -> Column:
+    """The passages found, or the first FALLBACK_CHARS of a text that is not blank and has none."""
+    whole = stripped(text)
+    return F.when((F.size(found) > 0) | (whole == ""), found).otherwise(F.array(F.struct(F.left(whole, F.lit(FALLBACK_CHARS)).alias("quote"), start.alias("start"))))
+
+
+def sentences(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_CLAIMS, longer_than: int = 40, token: str = SENTENCE, skip: str = SENTENCE_END) -> DataFrame:
+    """(id, claim_id, claim, start, end, quote): the first ``most`` passages above a length, with their places in the raw text.
+
+    ``token`` cuts the text into passages without a gap, so their running length is their place; those that
+    match ``skip`` are none. A text that is not blank and has no long passage is one claim of its first
+    characters. ``claim`` is the quote cut to as many. All is told within the row, whatever the text's length.
     """
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"([.!?])(\s)", "$1\u0001$2"), "\u0001")).alias("pos", "piece"))
-    w = Window.partitionBy("id").orderBy("pos")
-    placed = cut.withColumn("at", F.coalesce(F.sum(F.char_length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lead = F.char_length("piece") - F.char_length(F.regexp_replace("piece", r"^\s+", ""))
-    whole = placed.select("id", "pos", F.regexp_replace("piece", r"^\s+", "").alias("claim"), (F.col("at") + lead).alias("start")).where(F.char_length("claim") > longer_than)
-    ranked = whole.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    return ranked.select("id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("claim_id"), "claim", F.col("start").cast("int").alias("start"), (F.col("start") + F.char_length("claim")).cast("int").alias("end"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast("array<struct<quote:string,start:int>>")
+
+    def step(x: Column, t: Column) -> Column:
+        own = stripped(t)
+        good = (F.size(x["out"]) < most) & (F.char_length(t) > longer_than) & ~t.rlike(skip) & (F.char_length(own) > longer_than)
+        found = F.struct(own.alias("quote"), (x["at"] + _lead(t)).alias("start"))
+        return F.struct((x["at"] + F.char_length(t)).alias("at"), F.when(good, F.array_append(x["out"], found)).otherwise(x["out"]).alias("out"))
+
+    cut = F.aggregate(F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("_t"), cut.alias("_c")).select("id", F.posexplode(_or_whole(F.col("_c"), F.col("_t"), _lead(F.col("_t")))).alias("n", "x"))
+    quote, start = F.col("x.quote"), F.col("x.start")
+    return rows.select("id", F.concat(F.lit("c"), (F.col("n") + 1).cast("string")).alias("claim_id"), F.left(quote, F.lit(FALLBACK_CHARS)).alias("claim"), start, (start + F.char_length(quote)).alias("end"), quote.alias("quote"))
+
+
+def every_sentence(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 40) -> DataFrame:
+    """(id, claim_id, pos, claim): all sentences above a length, or the start of a text without any; ids count all passages."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda t, i: F.struct(F.when(~t.rlike(SENTENCE_END), stripped(t)).alias("quote"), i.alias("start")))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(_or_whole(F.filter(cut, lambda x: F.char_length(x["quote"]) > longer_than), text, F.lit(0))).alias("x"))
+    return rows.select("id", F.concat(F.lit("c"), (F.col("x.start") + 1).cast("string")).alias("claim_id"), F.col("x.start").alias("pos"), F.left("x.quote", F.lit(FALLBACK_CHARS)).alias("claim"))
 
 
 def entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,7 +77,7 @@ def ground(text: Column, quote: Column) -> Column:
     """struct(start, end, grounding): where the quote stands in the text, exactly or not at all."""
     at = F.instr(text, quote)
     return F.when(F.coalesce(at, F.lit(0)) > 0, F.struct((at - 1).alias("start"), (at - 1 + F.char_length(quote)).alias("end"), F.lit("exact").alias("grounding"))).otherwise(
-        F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("ungrounded").alias("grounding"))
+        F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("not_found").alias("grounding"))
     )
 
 
@@ -68,23 +104,3 @@ def check_worthy(claims: DataFrame) -> DataFrame:
     """Check-worthy claims of each run, or all of a run that has none."""
     any_ = F.max(F.coalesce(F.col("checkworthy"), F.lit(False)).cast("int")).over(Window.partitionBy("run_id"))
     return claims.withColumn("_any", any_).where((F.col("_any") == 0) | F.col("checkworthy")).drop("_any")
-
-
-def overlapping(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
-    """(run_id, a_id, b_id, overlap): spans of two passes within a run that share ``least`` of the shorter one."""
-    x, y = (d.select("run_id", F.col("claim_id").alias(f"{n}_id"), F.col("start").alias(f"{n}_start"), F.col("end").alias(f"{n}_end")) for d, n in ((a, "a"), (b, "b")))
-    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    shorter = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
-    met = x.join(y, (x["run_id"] == y["run_id"]) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
-    return met.where(shorter > 0).select(x["run_id"], "a_id", "b_id", (shared / shorter).alias("overlap")).where(F.col("overlap") >= least)
-
-
-def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(run_id, a_id, b_id, agreement): mutually best overlaps are one claim, all others stay on their own; nothing is lost."""
-    pairs = overlapping(a, b)
-    best = lambda side, other: F.row_number().over(Window.partitionBy("run_id", side).orderBy(F.col("overlap").desc(), side, other))
-    matched = pairs.withColumn("ra", best("a_id", "b_id")).withColumn("rb", best("b_id", "a_id")).where("ra = 1 AND rb = 1").select("run_id", "a_id", "b_id")
-    left = a.select("run_id", F.col("claim_id").alias("a_id")).join(matched, ["run_id", "a_id"], "left").select("run_id", "a_id", "b_id")
-    right = b.select("run_id", F.col("claim_id").alias("b_id")).join(matched, ["run_id", "b_id"], "left_anti").select("run_id", F.lit(None).cast("string").alias("a_id"), "b_id")
-    both = left.union(right)
-    return both.withColumn("agreement", F.when(F.col("a_id").isNull(), "b_only").when(F.col("b_id").isNull(), "a_only").otherwise("both"))

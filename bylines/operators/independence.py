@@ -76,6 +76,12 @@ def similar_texts(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     return members, written(jaccard_pairs(sets, SAME_WIRE))
 
 
+def merge_edges(docs: DataFrame, owners: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(run_id, a, b, rank) of all reasons to count two documents as one newsroom, as stars."""
+    close = pairs.where(F.col("jaccard") >= REPRINT - 1e-12)
+    return wire_edges(docs, members, pairs).union(owner_edges(docs, owners)).union(hash_edges(docs)).union(text_edges(docs, members, close))
+
+
 def independent_sources(docs: DataFrame, owners: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(run_id, doc, source, reason) for every row of ``docs(run_id, doc, publisher_id, body_hash, wire)``.
 
@@ -83,8 +89,7 @@ def independent_sources(docs: DataFrame, owners: DataFrame, members: DataFrame,
     order of MERGE_REASONS. Similarity may be computed once over all runs, but components are
     closed within a run only. Unknown owners and lone pages stay independent.
     """
-    close = pairs.where(F.col("jaccard") >= REPRINT - 1e-12)
-    edges = written(wire_edges(docs, members, pairs).union(owner_edges(docs, owners)).union(hash_edges(docs)).union(text_edges(docs, members, close)))
+    edges = written(merge_edges(docs, owners, members, pairs))
     comps = written(connected_components(edges, "a", "b", keys=("run_id",)))
     reasons = edges.join(comps, (edges["run_id"] == comps["run_id"]) & (edges["a"] == comps["node"])).groupBy(comps["run_id"], "component").agg(F.min("rank").alias("rank"))
     names = F.array(*[F.lit(r) for r in MERGE_REASONS])

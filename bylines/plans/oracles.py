@@ -28,7 +28,7 @@ DOC_SETS = f"dw AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents), ds AS (S
 CLASSES = f"{DOC_SETS}, dk AS (SELECT doc, s, min(doc) OVER (PARTITION BY s) AS rep FROM ds), sets AS (SELECT rep, s FROM dk WHERE doc = rep), x AS (SELECT rep, unnest(s) AS h FROM sets)"
 PAIRS = f"""{CLASSES}, common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY 1, 2),
     pairs AS (SELECT a, b, n / (len(p.s) + len(q.s) - n) AS jaccard FROM common JOIN sets p ON p.rep = a JOIN sets q ON q.rep = b WHERE n / (len(p.s) + len(q.s) - n) >= 0.8 - 1e-12)"""
-HASH = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') AND length(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))) > 0 THEN 'sha256:' || left(sha256(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))), 32) END"
+HASH = "CASE WHEN length(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))) > 0 THEN 'sha256:' || left(sha256(trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'))), 32) END"
 OWNER = "CASE WHEN substr({p}, 4)::INT % 2 = 1 THEN 'group' || (substr({p}, 4)::INT % 7) END"
 CARRIED = "carried AS (SELECT item_id AS claim, doc_id AS doc, source, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 HITS = f"h AS (SELECT doc_id AS doc, source AS publisher_id, {HASH} AS body_hash, text FROM documents)"
@@ -84,16 +84,51 @@ EVENTS = "ev AS (SELECT event_id, ts, user_id AS run_id, event_type AS layer, ['
 PIECES = "string_split(regexp_replace({t}, '([.!?])([ \\t\\n\\x0B\\f\\r])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 
 
-def sentence_ctes(name: str, text: str, most: int = 5) -> str:
-    return f"""{name}_p AS (SELECT doc_id, unnest({PIECES.format(t=text)}) AS piece, generate_subscripts({PIECES.format(t=text)}, 1) AS pos FROM documents),
-    {name}_a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_replace(piece, '^[ \\t\\n\\x0B\\f\\r]+', '') AS claim FROM {name}_p),
-    {name} AS (SELECT doc_id, 'c' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS claim_id, claim, CAST(base + length(piece) - length(claim) AS INT) AS start, CAST(base + length(piece) AS INT) AS "end" FROM {name}_a WHERE length(claim) > 40 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= {most})"""
+WS = "[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x85\\xa0]"
+SENTENCE, LINE = "[^.?!]+[.?!]*|[.?!]+", "[^\\n]*\\n|[^\\n]+"
+LEFT = "regexp_replace({t}, '^" + WS + "+', '')"
+STRIP = "regexp_replace(" + LEFT + ", '" + WS + "+$', '')"
+
+
+def sentence_ctes(name: str, most: int = 5, token: str = SENTENCE) -> str:
+    """The first passages over 40 characters of each document with their places, or the start of a text without any."""
+    cut = f"regexp_extract_all(text, '{token}')"
+    return f"""{name}_p AS (SELECT doc_id, unnest({cut}) AS tok, generate_subscripts({cut}, 1) AS pos FROM documents WHERE text IS NOT NULL),
+    {name}_a AS (SELECT *, coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(tok) - length({LEFT.format(t='tok')}) AS start, {STRIP.format(t='tok')} AS quote FROM {name}_p),
+    {name}_l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM {name}_a WHERE length(quote) > 40 AND NOT ({token == SENTENCE} AND regexp_matches(tok, '^[.?!]'))),
+    {name}_k AS (SELECT doc_id, n, pos, quote, start FROM {name}_l WHERE n <= {most}
+        UNION ALL SELECT doc_id, 1, 1, left({STRIP.format(t='text')}, 400), length(text) - length({LEFT.format(t='text')}) FROM documents WHERE {STRIP.format(t='text')} <> '' AND doc_id NOT IN (SELECT doc_id FROM {name}_l)),
+    {name} AS (SELECT doc_id, n, pos, 'c' || n AS claim_id, left(quote, 400) AS claim, quote, CAST(start AS INT) AS start, CAST(start + length(quote) AS INT) AS "end" FROM {name}_k)"""
+
+
+MERGED = f"""RECURSIVE {sentence_ctes('s', 8)}, {sentence_ctes('l', 8, LINE)},
+    a AS (SELECT *, CASE WHEN ends_with(claim, '?') THEN 'opinion' ELSE 'fact' END AS kind FROM s), b AS (SELECT *, CASE WHEN ends_with(claim, '?') THEN 'opinion' WHEN regexp_matches(claim, '[0-9]') THEN 'fact' END AS kind FROM l),
+    o AS (SELECT a.doc_id, a.n AS i, b.n AS j, (least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start) AS o FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"),
+    cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, i, j) AS k FROM o WHERE o >= 0.5),
+    walk AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS i, 0::BIGINT AS j, false AS took, []::BIGINT[] AS ua, []::BIGINT[] AS ub FROM cand
+        UNION ALL SELECT c.doc_id, c.k, c.i, c.j, NOT list_contains(ua, c.i) AND NOT list_contains(ub, c.j), CASE WHEN list_contains(ua, c.i) OR list_contains(ub, c.j) THEN ua ELSE list_append(ua, c.i) END, CASE WHEN list_contains(ua, c.i) OR list_contains(ub, c.j) THEN ub ELSE list_append(ub, c.j) END FROM walk w JOIN cand c ON c.doc_id = w.doc_id AND c.k = w.k + 1),
+    pair AS (SELECT doc_id, i, j FROM walk WHERE took),
+    every AS (
+        SELECT p.doc_id, 0 AS part, p.i AS x, a.claim_id AS old, a.claim AS text, CASE WHEN a.kind <> b.kind THEN 'unclear' ELSE coalesce(a.kind, b.kind, 'unspecified') END AS kind, a.start, a."end", 'both' AS agreement, 2 AS variants,
+            'both passes (sentences, lines) extracted this span' || CASE WHEN a.kind <> b.kind THEN '; passes disagreed on label (' || a.kind || ' vs ' || b.kind || '), recorded as unclear' ELSE '' END AS agreement_note
+        FROM pair p JOIN a ON a.doc_id = p.doc_id AND a.n = p.i JOIN b ON b.doc_id = p.doc_id AND b.n = p.j
+        UNION ALL SELECT a.doc_id, 1, a.n, a.claim_id, a.claim, a.kind, a.start, a."end", 'pass_a_only', 1, 'only pass A (sentences) extracted this span — lower extraction confidence, not evidence the claim is wrong' FROM a ANTI JOIN pair p ON a.doc_id = p.doc_id AND a.n = p.i
+        UNION ALL SELECT b.doc_id, 2, b.n, b.claim_id, b.claim, b.kind, b.start, b."end", 'pass_b_only', 1, 'only pass B (lines) extracted this span — lower extraction confidence, not evidence the claim is wrong' FROM b ANTI JOIN pair p ON b.doc_id = p.doc_id AND b.n = p.j),
+    merged AS (SELECT doc_id, 'c' || row_number() OVER (PARTITION BY doc_id ORDER BY start, old, part, x) AS claim_id, text, kind, start, "end", agreement, agreement_note, variants FROM every)"""
 
 
 ORACLE_SQL = {
     "pages_vs_newsrooms_per_claim": f"{components(CLAIM_NODES, True)} SELECT item_id AS claim, count(doc) AS document_count, count(DISTINCT source) AS independent_source_count, count(doc) - count(DISTINCT source) AS republished FROM benchmark LEFT JOIN found ON run = item_id GROUP BY 1",
     "old_vs_new_counts": f"{components(CLAIM_NODES, True)} SELECT run AS claim, count(*) AS pages, count(DISTINCT publisher_id) AS old, count(DISTINCT source) AS new, count(DISTINCT publisher_id) - count(DISTINCT source) AS delta, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM found JOIN h USING (doc) GROUP BY 1",
-    "independent_sources": f"{components(ALL_NODES, False)} SELECT doc, source, reason FROM found",
+    "independent_sources": f"{components(ALL_NODES, True)} SELECT doc, source, reason FROM found",
+    "incremental_independence": f"{components(ALL_NODES, True)} SELECT doc, source, reason FROM found",
+    "publisher_dedupe": f"""WITH RECURSIVE {PAIRS}, cls AS (SELECT doc, rep FROM dk), near AS (SELECT a, b FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT b, a FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT rep, rep FROM sets),
+        p AS (SELECT doc_id AS doc, source, row_number() OVER (ORDER BY CASE WHEN trim(left(split_part(coalesce(text, ''), chr(10), 1), 120)) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(coalesce(text, '')) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(coalesce(lang, '')) <> '' THEN 1 ELSE 0 END DESC, 'https://' || source || '.example.com/' || doc_id, doc_id) AS i FROM documents),
+        before AS (SELECT q.i, list(p.i ORDER BY p.i) AS l FROM near JOIN cls u ON u.rep = near.a JOIN cls v ON v.rep = near.b JOIN p ON p.doc = u.doc JOIN p q ON q.doc = v.doc AND q.source = p.source AND p.i < q.i GROUP BY 1),
+        walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, 0::BIGINT AS leader UNION ALL
+            SELECT w.i + 1, CASE WHEN list_has_any(kept, coalesce(l, [])) THEN kept ELSE list_append(kept, w.i + 1) END, coalesce(list_min(list_intersect(kept, coalesce(l, []))), w.i + 1)
+            FROM walk w LEFT JOIN before ON before.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM documents))
+        SELECT p.doc, k.doc AS kept_doc FROM walk JOIN p ON p.i = walk.i JOIN p k ON k.i = leader""",
     "passage_search": f"WITH {CARRIED} SELECT claim, doc FROM carried",
     "exact_url_dedupe": f"WITH c AS (SELECT {CANONICAL} AS canonical, page_id, url, (trim(url) <> '')::INT + (trim(html) <> '')::INT AS completeness FROM pages) SELECT canonical, page_id, completeness FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY completeness DESC, url, page_id) = 1",
     "publisher_identity": f"SELECT page_id, {DOMAIN} AS domain, {DOMAIN} AS publisher FROM pages",
@@ -113,16 +148,15 @@ ORACLE_SQL = {
     "coverage_report": f"WITH {GATE}, ran AS (SELECT * FROM gate WHERE status = 'run'), l AS (SELECT claim, unnest(coalesce(langs, ['any'])) AS lang FROM ran), ls AS (SELECT claim, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages_covered FROM l GROUP BY 1) SELECT claim, any_value(languages_covered) AS languages_covered, CASE WHEN bool_and(max_age IS NOT NULL) THEN strftime(DATE '2026-09-16' - CAST(max(max_age) AS INT), '%Y-%m-%d') END AS earliest_reachable_date, count(*) AS adapters_run FROM ran JOIN ls USING (claim) GROUP BY 1",
     "existence_ladder": f"WITH {LADDER} SELECT claim, outcome, strength, attempts_run, hits FROM ladder",
     "existence_class": f"WITH {LADDER} SELECT claim, CASE WHEN claim % 3 = 0 AND hits > 0 AND strength = 'exact' AND EXISTS (SELECT 1 FROM carried c WHERE c.claim = ladder.claim AND len(regexp_extract_all(lower(left(string_split(c.text, chr(10))[1], 120)), '[a-z0-9]+')) > 0 AND c.doc = (SELECT max(doc) FROM carried m WHERE m.claim = ladder.claim)) THEN 'title_match' WHEN strength IN ('exact', 'loose') THEN 'title_match' ELSE 'not_found' END AS existence FROM ladder",
-    "heuristic_claims": f'WITH {sentence_ctes("s", "text")} SELECT doc_id, claim_id, claim, start, "end" FROM s',
-    "claim_grounding": f"WITH {sentence_ctes('s', 'text')} SELECT doc_id, count(*) FILTER (contains(d.text, claim)) AS exact, count(*) FILTER (NOT contains(d.text, claim || '~~')) AS ungrounded, min(instr(d.text, claim) - 1) AS first_start FROM s JOIN documents d USING (doc_id) GROUP BY 1",
+    "heuristic_claims": f'WITH {sentence_ctes("s")} SELECT doc_id, claim_id, claim, start, "end" FROM s',
+    "claim_grounding": f"WITH {sentence_ctes('s')} SELECT doc_id, count(*) FILTER (contains(d.text, quote)) AS exact, count(*) FILTER (NOT contains(d.text, quote || '~~')) AS ungrounded, min(instr(d.text, quote) - 1) AS first_start FROM s JOIN documents d USING (doc_id) GROUP BY 1",
     "heuristic_entities": r"WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS entity FROM documents) SELECT doc_id, entity, count(*) AS mentions FROM e GROUP BY 1, 2",
-    "claim_selection": rf"""WITH {sentence_ctes('s', 'text', 12)}, c AS (SELECT doc_id, claim_id, start, CAST(CASE WHEN regexp_matches(claim, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(claim, '{NUMBER}') THEN 2 ELSE 0 END + CASE WHEN ends_with(claim, '?') THEN -3 ELSE 1 END + 1 + CASE WHEN ends_with(claim, '.') THEN 1 ELSE 0 END AS INT) AS score FROM s),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(substr(claim_id, 2) AS INT)) AS rank FROM c) SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r""",
+    "claim_selection": rf"""WITH {sentence_ctes('s', 1 << 40)}, c AS (SELECT doc_id, 'c' || pos AS claim_id, pos, CAST(CASE WHEN regexp_matches(claim, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(claim, '{NUMBER}') THEN 2 ELSE 0 END + CASE WHEN ends_with(claim, '?') THEN -3 ELSE 1 END + 1 + CASE WHEN ends_with(claim, '.') THEN 1 ELSE 0 END AS INT) AS score FROM s),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c) SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r""",
     "entity_disagreements": r"""WITH a AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')))) AS e FROM documents), b AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 8))) AS e FROM documents),
         o AS (SELECT doc_id, 'a' AS side FROM a ANTI JOIN b USING (doc_id, e) UNION ALL SELECT doc_id, 'b' FROM b ANTI JOIN a USING (doc_id, e)) SELECT doc_id, count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM o GROUP BY 1""",
-    "two_pass_reconcile": f"""WITH {sentence_ctes('a', 'text')}, {sentence_ctes('b', "translate(text, chr(10), '.')")}, o AS (SELECT a.doc_id, a.claim_id AS x, b.claim_id AS y, (least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start) AS o FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, x ORDER BY o DESC, y) AS rx, row_number() OVER (PARTITION BY doc_id, y ORDER BY o DESC, x) AS ry FROM o WHERE o >= 0.5), m AS (SELECT doc_id, count(*) AS n FROM r WHERE rx = 1 AND ry = 1 GROUP BY 1),
-        c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) GROUP BY 1) SELECT c.doc_id, c.n - coalesce(m.n, 0) AS claims, coalesce(m.n, 0) AS agreed, round_even(coalesce(m.n, 0) / (c.n - coalesce(m.n, 0)), 4) AS agreement_rate FROM c LEFT JOIN m ON m.doc_id = c.doc_id""",
+    "two_pass_reconcile": f"WITH {MERGED} SELECT doc_id, count(*) AS claims, count(*) FILTER (agreement = 'both') AS agreed, round_even(count(*) FILTER (agreement = 'both') / count(*), 4) AS agreement_rate FROM merged GROUP BY 1",
+    "merged_claims": f'WITH {MERGED} SELECT doc_id, claim_id, text, kind, start, "end", agreement, agreement_note, variants FROM merged',
     "entity_merge": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM documents), la AS (SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')) AS l FROM w), lb AS (SELECT doc_id, list_filter(l, lambda x: length(x) >= 8) AS l FROM w),
         u AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos, 'a' AS who FROM la UNION ALL SELECT doc_id, unnest(l), generate_subscripts(l, 1), 'b' FROM lb), g AS (SELECT doc_id, lower(t) AS entity, CASE WHEN count(DISTINCT who) = 2 THEN 'both' ELSE min(who) END AS source, min((who, pos)) AS o FROM u GROUP BY 1, 2)
         SELECT doc_id, entity, source FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) <= 30""",

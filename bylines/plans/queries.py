@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bylines.functions import url as U
 from bylines.functions.text import first_that
+from bylines.operators import agreement as A
 from bylines.operators import claims as C
+from bylines.operators import dedupe as D
+from bylines.operators import grounding as G
 from bylines.operators import independence as I
 from bylines.operators import report as R
 from bylines.operators import search as S
 from bylines.operators import similarity as J
 from bylines.operators import stance as T
 from bylines.operators import trace as E
-from bylines.schemas import MAX_BYTES, STATUS_RANK
-from bylines.scratch import written
+from bylines.schemas import MAX_BYTES, PASS_CLAIMS, STATUS_RANK
+from bylines.scratch import shared_dir, written
 from bylines.sources.tables import claims, hits, key_of, owners, table
+from bylines.streaming import independence as N
 from bylines.streaming import pages as P
 
 def today():
@@ -24,6 +30,7 @@ def today():
 
 
 SOURCES = [f"src{i}" for i in range(20)]
+ARRIVALS = 3  # micro-batches
 
 
 # pages and publishers
@@ -93,13 +100,31 @@ def same_owner_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
-    return I.independent_sources(docs, owners(spark), *similarity(spark, sf))
+    """Sources of some documents; only the texts of those are compared."""
+    texts = hits(spark, sf).join(docs.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    return I.independent_sources(docs, owners(spark), *I.similar_texts(texts, "doc", "text"))
 
 
 def independent_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a page of one run, grouped by reprint only: with an owner map one group would swallow the table."""
-    none = owners(spark).withColumn("parent_group", F.lit(None).cast("string"))
-    return I.independent_sources(hits(spark, sf), none, *similarity(spark, sf)).select("doc", "source", "reason")
+    """Every document as a page of one run."""
+    return _sources(spark, sf, hits(spark, sf)).select("doc", "source", "reason")
+
+
+def publisher_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of feeds that send no body hash, deduped within each publisher from the most complete page on."""
+    h = hits(spark, sf).withColumn("body_hash", F.lit(None).cast("string")).withColumn("less", -I.completeness(["title", "text", "language"]))
+    return D.greedy_dedupe(h, *similarity(spark, sf), ["less", "canonical_url"]).select("doc", "kept_doc")
+
+
+def incremental_independence(spark: SparkSession, sf: str) -> DataFrame:
+    """As independent_sources, but page by page: documents arrive in micro-batches, and each one meets a stored index."""
+    spot = f"{shared_dir(spark)}/bylines-tables/{uuid.uuid4().hex}"
+    arriving = hits(spark, sf).select("run_id", F.col("doc").cast("long"), "publisher_id", "body_hash", "wire", "text")
+    arriving.repartition(ARRIVALS, "doc").write.parquet(f"{spot}/in")
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{spot}/in")
+    store = N.Store(spark, f"{spot}/store")
+    N.keep_independent(stream, store, owners(spark), f"{spot}/checkpoint").awaitTermination()
+    return store.sources().select("doc", "source", "reason")
 
 
 def merge_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,14 +228,14 @@ def existence_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heuristic_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return C.sentences(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return C.sentences(table(spark, sf, "documents"), "doc_id", "text").drop("quote").withColumnRenamed("id", "doc_id")
 
 
 def claim_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """Each heuristic claim, and a spoilt copy of it, located in its document again."""
     docs = table(spark, sf, "documents")
     quotes = written(C.sentences(docs, "doc_id", "text"))
-    both = quotes.select("id", "claim_id", F.explode(F.array(F.struct(F.lit(True).alias("true_quote"), F.col("claim").alias("quote")), F.struct(F.lit(False).alias("true_quote"), F.concat("claim", F.lit("~~")).alias("quote")))).alias("q")).select("id", "claim_id", "q.*")
+    both = quotes.select("id", "claim_id", F.explode(F.array(F.struct(F.lit(True).alias("true_quote"), F.col("quote")), F.struct(F.lit(False).alias("true_quote"), F.concat("quote", F.lit("~~")).alias("quote")))).alias("q")).select("id", "claim_id", "q.*")
     met = docs.join(both.hint("merge"), docs["doc_id"] == both["id"]).withColumn("g", C.ground(F.col("text"), F.col("quote")))
     return met.groupBy("doc_id").agg(F.count_if(F.col("g.grounding") == "exact").alias("exact"), F.count_if(F.col("g.grounding") != "exact").alias("ungrounded"), F.min("g.start").alias("first_start"))
 
@@ -220,23 +245,54 @@ def heuristic_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claim_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of each document scored for search; five at most are selected, the rest skipped, none lost."""
-    docs = table(spark, sf, "documents")
-    s = C.sentences(docs, "doc_id", "text", most=12)
+    """All sentences of each document scored for search; five at most are selected, the rest skipped, none lost."""
+    s = C.every_sentence(table(spark, sf, "documents"), "doc_id", "text")
     scored = s.select(
-        F.col("id").alias("run_id"), "claim_id", F.col("start").alias("pos"),
+        F.col("id").alias("run_id"), "claim_id", "pos",
         C.search_score(F.col("claim"), F.col("claim").rlike("[A-Z][a-z]+ [A-Z][a-z]+"), F.when(F.col("claim").rlike("[?]$"), "opinion").otherwise("fact"), F.lit("exact"), F.lit(None), F.col("claim").rlike("[.]$")).alias("score"),
     )
     return C.select_claims(scored).select(F.col("run_id").alias("doc_id"), "claim_id", "score", "rank", "selected")
 
 
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Two extraction passes over every document, by sentences and by lines, eight claims each; questions are opinions to both, and to the second only what has a digit is a fact."""
+    docs = table(spark, sf, "documents")
+    question, number = F.col("claim").rlike("[?]$"), F.col("claim").rlike("[0-9]")
+
+    def side(kind, **by) -> DataFrame:
+        s = C.sentences(docs, "doc_id", "text", most=PASS_CLAIMS, **by)
+        return written(s.select(F.col("id").alias("run_id"), F.regexp_extract("claim_id", "[0-9]+", 0).cast("int").alias("i"), "claim_id", F.col("claim").alias("text"), kind.alias("kind"), F.col("quote").alias("source_quote"), F.lit("exact").alias("grounding"), "start", "end"))
+
+    a = side(F.when(question, "opinion").otherwise("fact"))
+    b = side(F.when(question, "opinion").when(number, "fact"), token=C.LINE, skip=C.NO_END)
+    return written(A.merge_passes(a, b, "sentences", "lines"))
+
+
+def merged_claims(spark: SparkSession, sf: str) -> DataFrame:
+    out = _merged(spark, sf)
+    return out.select(F.col("run_id").alias("doc_id"), "claim_id", "text", "kind", "start", "end", "agreement", "agreement_note", F.size("variant_texts").alias("variants"))
+
+
 def two_pass_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Two extraction rules over every document, by full stops and by lines, agreed by span."""
+    return A.agreement_rates(_merged(spark, sf)).withColumnRenamed("run_id", "doc_id")
+
+
+def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of every document, true to it, set in other marks and spaces, or changed by a word, located in the article that its reader sent in.
+
+    A document with a conversation of its number came with that conversation's first message pasted before it.
+    """
     docs = table(spark, sf, "documents")
-    a = written(C.sentences(docs, "doc_id", "text").withColumnRenamed("id", "run_id"))
-    b = written(C.sentences(docs.withColumn("text", F.translate("text", "\n", ".")), "doc_id", "text").withColumnRenamed("id", "run_id"))
-    out = C.reconcile(a, b).groupBy("run_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("agreement") == "both").alias("agreed"))
-    return out.select(F.col("run_id").alias("doc_id"), "claims", "agreed", F.bround(F.col("agreed") / F.col("claims"), 4).alias("agreement_rate"))
+    first = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "role", "text")).alias("pasted"))
+    inputs = docs.join(first.hint("merge"), docs["doc_id"] == first["conv_id"], "left").select(docs["doc_id"].alias("run_id"), "pasted", docs["text"].alias("fetched"))
+    merged = written(G.merge_inputs(inputs))
+    q, i = F.col("quote"), F.regexp_extract("claim_id", "[0-9]+", 0).cast("int")
+    dressed = F.regexp_replace(F.regexp_replace(F.translate(q, "'\"-", "\u2019\u201d\u2014"), r"\s+", " \u00a0 "), "^", "\u201c")
+    quote = F.when(i % 4 == 1, q).when(i % 4 == 2, F.regexp_replace(dressed, "^\u201c", "")).when(i % 4 == 3, F.regexp_replace(q, "^(\\S+) \\S+", "$1 otherwise")).otherwise(F.lit(None))
+    quotes = C.sentences(merged, "run_id", "text", most=PASS_CLAIMS).select(F.col("id").alias("run_id"), "claim_id", quote.alias("source_quote"))
+    found = G.locate_quotes(merged.select("run_id", "text"), quotes)
+    out = G.attribute_spans(found, merged.select("run_id", F.inline("segments")))
+    return out.select(F.col("run_id").alias("doc_id"), "claim_id", "start", "end", "grounding", "claim_source")
 
 
 def _extractors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -398,5 +454,5 @@ QUERIES = {f.__name__: f for f in (
     body_hash_reprint_groups, same_owner_groups, independent_sources, merge_evidence, old_vs_new_counts, capability_gate, adapter_rollup, coverage_report, existence_ladder,
     existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
     trigram_rank_hashed, vector_topk, stance_window, lexical_stance, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
-    layer_status, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
+    layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
 )}

@@ -5,6 +5,7 @@ FETCH_REASONS = ["ok", "skipped_no_url", "blocked", "not_found", "server_error",
 RAN = ["ok", "empty", "error"]
 STATUS_RANK = ["ok", "empty", "error", "skipped_no_key", "skipped_out_of_range"]
 MERGE_REASONS = ["same_wire", "same_owner", "reprint", "none"]
+LABELS = ["fact", "opinion", "unclear"]
 STANCE_LABELS = ["entailment", "contradiction", "neutral"]
 BACKED = ["corroborated_coverage", "event_corroborated"]
 CONTESTED = ["contested_reporting", "contested"]
@@ -30,5 +31,10 @@ NUMERIC = (
     r"|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|dozen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|trillion)\b"
     r"|\bper\s+cent\b|\bpercent\b"
 )
-SHINGLE_WORDS, SAME_WIRE, REPRINT = 5, 0.8, 0.9
+SHINGLE_WORDS, SAME_WIRE, REPRINT, DUPLICATE = 5, 0.8, 0.9, 0.9
 MAX_EVIDENCE, MAX_CLAIMS, STANCE_THRESHOLD, MAX_BYTES = 12, 5, 0.6, 5_000_000
+OVERLAP, PASS_CLAIMS = 0.5, 8
+# Quotation marks, primes and dashes, and what they count as.
+LIKE_ASCII = {
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00ab": '"', "\u00bb": '"', "\u2032": "'", "\u2033": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-",
+}
