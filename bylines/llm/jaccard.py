@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ FREQUENT = 250_000  # n-grams whose frequency every task knows; others count as
 SAMPLE_GRAMS = 1_000_000  # n-grams of a task that are counted together
 FILTER_BITS = 1 << 26  # of the filter of documents whose sets are needed
 CACHED_WORDS = 300_000
+TEXTS = 200  # that a task cuts at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # odd numbers
 
 
@@ -38,22 +40,29 @@ class Grams:
     def __init__(self, n: int = WORDS):
         self.n, self.known = n, {}
 
-    def of(self, text: str | None) -> np.ndarray:
+    def _hashed(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in range(n):
+            out = mixed((out + h[k : len(h) - n + 1 + k]) * _MIX[k % 3])
+        return out.view(np.int64)
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Words stand between ASCII white space, A-Z lowered; fewer than n are one gram of all; no words give none."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         known = self.known
-        for w in set(words).difference(known):
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        for w in set().union(*words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w, 42)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(h))
-        if not n:
-            return h.view(np.int64)
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mixed((out + h[k : len(h) - n + 1 + k]) * _MIX[k % 3])
-        return np.unique(out.view(np.int64))
+        sizes = [len(w) for w in words]
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+        runs, out, at = self._hashed(h, self.n), [], 0
+        for size in sizes:
+            s = np.sort(runs[at : at + size - self.n + 1] if size >= self.n else self._hashed(h[at : at + size], size) if size else runs[:0])
+            out.append(s[np.flatnonzero(np.diff(s, prepend=s[0] - 1 if s[0] > -(1 << 63) else 0))] if len(s) else s)
+            at += size
+        return out
 
 
 def key_of(grams: np.ndarray) -> bytes | None:
@@ -87,9 +96,9 @@ def frequent_grams(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[n
             return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
 
         for b in batches:
-            for text in b.column(0):
-                held.append(grams.of(text.as_py()))
-                size += len(held[-1])
+            for at in range(0, b.num_rows, TEXTS):
+                held += grams.of(b.column(0).slice(at, TEXTS).to_pylist())
+                size += sum(map(len, held[-TEXTS:]))
                 if size >= SAMPLE_GRAMS:
                     yield flush()
                     held, size = [], 0
@@ -118,11 +127,10 @@ def indexed_rows(docs: DataFrame, words: int, per_cent: int, table: tuple[np.nda
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, (hashes, freq) = Grams(words), shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 keys, sizes, prefixes = [], [], []
-                for text in part.column(1):
-                    s = grams.of(text.as_py())
+                for s in grams.of(part.column(1).to_pylist()):
                     keys.append(key_of(s))
                     sizes.append(len(s))
                     rank = np.zeros(len(s), np.int64)
@@ -154,9 +162,9 @@ def wanted_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
         for b in batches:
             at = b.column(2).to_numpy()
             inside = np.flatnonzero((filled[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            for i in range(0, len(inside), 500):
-                part = b.take(pa.array(inside[i : i + 500]))
-                sets = [grams.of(t.as_py()) for t in part.column(1)]
+            for i in range(0, len(inside), TEXTS):
+                part = b.take(pa.array(inside[i : i + TEXTS]))
+                sets = grams.of(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(s) for s in sets], pa.binary()), _lists(sets)], names=schema.names)
             give_back_memory()
 
@@ -215,23 +223,28 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = reps.select("key", "n", F.posexplode("prefix").alias("i", "h"))
     columns = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"))
     index = written(each.hint("merge").join(columns, "h").select("h", "key", "n", "i"))
-    wanted = reps.join(index.select("key").distinct().hint("merge"), "key", "left_semi").select("id", "key")
-    sets = written(wanted_sets(docs, words, written(wanted)))
     members = rows.select("id", "key", "n")
+
+    def similar(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
+        """The similar ones of two blocks' candidates; only sets that are in a candidate are made again."""
+        pairs = written(_product(a, b, per_cent, apart))
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = written(reps.select("id", "key").join(keys.hint("merge"), "key", "left_semi"))
+        return written(_verified(pairs, written(wanted_sets(docs, words, wanted)), per_cent))
+
     if every_link:
-        return members, written(_verified(_product(index, index, per_cent, F.col("a") < F.col("b")), sets, per_cent))
+        return members, similar(index, index, F.col("a") < F.col("b"))
     central = index.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
     rank = F.struct(F.col("shared"), F.col("key"))
     ranked = written(index.join(written(central).hint("merge"), "key"))
     hubs = written(ranked.groupBy("h").agg(F.max(rank).alias("hub"))).select("h", F.col("hub.key").alias("hub"))
     chosen = ranked.join(hubs.hint("merge"), "h").where(F.col("key") == F.col("hub")).select("h", "key", "n", "i")
-    star = written(_verified(_product(chosen, index, per_cent, F.col("a") != F.col("b")), sets, per_cent))
+    star = similar(chosen, index, F.col("a") != F.col("b"))
     ends = star.select("a", F.col("b").alias("key")).union(star.select("a", F.col("a").alias("key")))
     label = written(ends.groupBy("key").agg(F.min("a").alias("label")))
     labelled = written(index.join(label.hint("merge"), "key", "left"))
     apart = (F.col("a") < F.col("b")) & ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
-    rest = written(_verified(_product(labelled, labelled, per_cent, apart), sets, per_cent))
-    return members, star.union(rest)
+    return members, star.union(similar(labelled, labelled, apart))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, per_cent: int = PER_CENT) -> DataFrame:
