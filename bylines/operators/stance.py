@@ -123,6 +123,22 @@ def lexical_stance(premise: Column, claim: Column) -> Column:
     return let(F.struct(long_words(premise).alias("p"), long_words(claim).alias("h")), of)
 
 
+def by_newsroom(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``pairs(run_id, doc, ...)`` with source and missed: the independent source that ``sources(run_id, doc, source)`` puts a document in.
+
+    A document that no source holds is one of its own, which counts too many rather than too few,
+    and says so in ``missed``; a run without any sources misses all its documents. A document stands once in ``sources``.
+    """
+    known = sources.select("run_id", "doc", F.concat(F.lit("source "), F.col("source").cast("string")).alias("_s"))
+    met = pairs.join(known.hint("merge"), ["run_id", "doc"], "left")
+    return met.withColumn("source", F.coalesce("_s", F.concat(F.lit("page "), F.col("doc").cast("string")))).withColumn("missed", F.col("_s").isNull()).drop("_s")
+
+
+def join_misses(joined: DataFrame) -> DataFrame:
+    """(run_id, documents, sources, misses) of each run."""
+    return joined.groupBy("run_id").agg(F.countDistinct("doc").alias("documents"), F.countDistinct("source").alias("sources"), F.countDistinct(F.when(F.col("missed"), F.col("doc"))).alias("misses"))
+
+
 def direction(support: Column, contradict: Column) -> Column:
     return first_that([((support == 0) & (contradict == 0), "none"), (contradict > support, "contradict"), (support > contradict, "support")], "mixed")
 
@@ -169,15 +185,19 @@ def overall_state(fused: DataFrame) -> DataFrame:
 
 
 def support_rate(fused: DataFrame) -> DataFrame:
-    """Counts and the half-even share of scored claims that are backed; null with a reason where it does not apply."""
-    scored = F.count_if(F.col("state") != "not_assessed")
+    """Counts and the half-even share of scored claims that are backed; null with a reason where it does not apply.
+
+    Of a run whose article is out of range nothing counts as scored, whatever was. ``fused`` holds the claims
+    of runs; a row with a null claim stands for a run without any.
+    """
     out = fused.groupBy("run_id").agg(
-        scored.alias("scored"), F.count_if(F.col("state").isin(BACKED)).alias("backed"), F.count_if(F.col("state").isin(CONTESTED)).alias("contested"),
-        F.count_if(F.col("state") == "not_assessed").alias("unassessed"), F.coalesce(F.bool_or(F.col("existence") == "out_of_range"), F.lit(False)).alias("beyond"),
+        F.count("claim").alias("claims"), F.count_if(F.col("state") != "not_assessed").alias("s"), F.count_if(F.col("state").isin(BACKED)).alias("b"), F.count_if(F.col("state").isin(CONTESTED)).alias("c"),
+        F.coalesce(F.bool_or(F.col("existence") == "out_of_range"), F.lit(False)).alias("beyond"),
     )
-    why = F.when(F.col("beyond"), "out_of_range").when(F.col("scored") == 0, "not_assessed")
-    pct = F.when(why.isNull(), F.bround(F.try_divide(100 * F.col("backed"), F.col("scored")))).cast("int")
-    return out.select("run_id", "scored", "backed", "contested", "unassessed", pct.alias("support_pct"), why.alias("omitted_because"))
+    why = F.when(F.col("claims") == 0, "no_claims").when(F.col("beyond"), "out_of_range").when(F.col("s") == 0, "not_assessed")
+    known = lambda c: F.when(why.isNull(), F.col(c)).otherwise(0)
+    pct = F.when(why.isNull(), F.bround(F.try_divide(100 * F.col("b"), F.col("s")))).cast("int")
+    return out.select("run_id", known("s").alias("scored"), known("b").alias("backed"), known("c").alias("contested"), (F.col("claims") - known("s")).alias("unassessed"), pct.alias("support_pct"), why.alias("omitted_because"))
 
 
 def vector_top_k(vectors: DataFrame, id_col: str, vec_col: str, every: int = 20, k: int = 5, blocks: int = 16) -> DataFrame:

@@ -34,10 +34,14 @@ CARRIED = "carried AS (SELECT item_id AS claim, doc_id AS doc, source, d.text FR
 HITS = f"h AS (SELECT doc_id AS doc, source AS publisher_id, {HASH} AS body_hash, text FROM documents)"
 
 
-def components(nodes: str, owners: bool, reach: str = "") -> str:
+def components(nodes: str, owners: bool) -> str:
+    return f"WITH RECURSIVE {closure(f'{PAIRS}, {HITS}, {CARRIED}', nodes, owners)}"
+
+
+def closure(before: str, nodes: str, owners: bool) -> str:
     """Recursive closure over all reprint pairs, and owner pairs, within each run of ``nodes(run, doc)``."""
     owner = f"(({OWNER.format(p='p.publisher_id')}) = ({OWNER.format(p='q.publisher_id')}))" if owners else "false"
-    return f"""WITH RECURSIVE {PAIRS}, {HITS}, {CARRIED}, nodes AS ({nodes}),
+    return f"""{before}, nodes AS ({nodes}),
     cls AS (SELECT doc, rep FROM dk),
     near AS (SELECT a, b FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT b, a FROM pairs WHERE jaccard >= 0.9 - 1e-12 UNION SELECT rep, rep FROM sets),
     edges AS (
@@ -70,8 +74,9 @@ STANCE = f"""{WINDOW}, sw AS (SELECT claim, doc, source, {LONG.format(t='d.text'
     so AS (SELECT *, len(list_intersect(p, h)) / greatest(len(h), 1) AS o, list_has_any(p, [{listed(NEGATIONS)}]) <> list_has_any(h, [{listed(NEGATIONS)}]) AS neg FROM sw),
     st AS (SELECT claim, doc, source, CASE WHEN len(p) = 0 OR len(h) = 0 THEN 'neutral' WHEN neg AND o > 0.3 THEN 'contradiction' WHEN o >= 0.45 THEN 'entailment' ELSE 'neutral' END AS label,
         round(CASE WHEN len(p) = 0 OR len(h) = 0 THEN 0.5 WHEN neg AND o > 0.3 THEN 0.6 WHEN o >= 0.45 THEN least(0.58 + o * 0.3, 0.85) ELSE greatest(0.4, 1 - o) END, 6) AS score FROM so)"""
-FUSED = f"""{STANCE}, lab AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1),
-    ev AS (SELECT claim, doc, coalesce({OWNER.format(p='source')}, source) AS src, label = 'entailment' AND score >= 0.6 AS up, label = 'contradiction' AND score >= 0.6 AS down, coalesce(q = 1, false) AS aup, coalesce(q = 0, false) AS adown, q IS NOT NULL AS took FROM st LEFT JOIN lab ON doc_id = doc),
+DESKS = closure(f"RECURSIVE {STANCE}, {PAIRS.replace(DOC_SETS + ', ', '')}, {HITS}", "SELECT DISTINCT claim % 7 AS run, doc FROM st", True)
+FUSED = f"""{DESKS}, lab AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1),
+    ev AS (SELECT st.claim, st.doc, found.source AS src, label = 'entailment' AND score >= 0.6 AS up, label = 'contradiction' AND score >= 0.6 AS down, coalesce(q = 1, false) AS aup, coalesce(q = 0, false) AS adown, q IS NOT NULL AS took FROM st JOIN found ON found.run = st.claim % 7 AND found.doc = st.doc LEFT JOIN lab ON doc_id = st.doc),
     sums AS (SELECT claim, count(*) AS pairs, count(DISTINCT src) FILTER (up) AS nli_support, count(DISTINCT src) FILTER (down) AS nli_contradict, count(DISTINCT src) FILTER (aup) AS llm_support, count(DISTINCT src) FILTER (adown) AS llm_contradict,
         count(DISTINCT src) FILTER (up OR aup) AS support, count(DISTINCT src) FILTER (down OR adown) AS contradict, sign(count(*) FILTER (up) - count(*) FILTER (down)) AS nd, sign(count(*) FILTER (aup) - count(*) FILTER (adown)) AS ld,
         count(*) FILTER (up OR down) > 0 AS nany, count(*) FILTER (aup OR adown) > 0 AS lany FROM ev GROUP BY 1),
@@ -166,8 +171,11 @@ ORACLE_SQL = {
     "lexical_stance": f"WITH {STANCE} SELECT claim, doc, label, score FROM st",
     "claim_fusion": f"WITH {FUSED} SELECT claim, nli_support, nli_contradict, llm_support, llm_contradict, support, contradict, agreement, state FROM fused",
     "overall_state": f"WITH {FUSED} SELECT run_id, CASE WHEN bool_and(state = 'not_assessed') THEN 'not_assessed' WHEN bool_or(state = 'contested_reporting') THEN 'contested_reporting' WHEN bool_or(agreement = 'contested') THEN 'contested' WHEN bool_or(state = 'corroborated_coverage') THEN 'corroborated_coverage' WHEN bool_or(state = 'event_corroborated') THEN 'event_corroborated' WHEN bool_or(state = 'single_source') THEN 'single_source' ELSE 'no_corroboration_found' END AS state FROM fused GROUP BY 1",
-    "support_rate": f"""WITH {FUSED}, n AS (SELECT run_id, count(*) FILTER (state <> 'not_assessed') AS scored, count(*) FILTER (state IN ('corroborated_coverage', 'event_corroborated')) AS backed, count(*) FILTER (state IN ('contested', 'contested_reporting')) AS contested, count(*) FILTER (state = 'not_assessed') AS unassessed FROM fused GROUP BY 1)
-        SELECT *, CASE WHEN run_id <> 6 AND scored > 0 THEN CAST(round_even(100.0 * backed / scored, 0) AS INT) END AS support_pct, CASE WHEN run_id = 6 THEN 'out_of_range' WHEN scored = 0 THEN 'not_assessed' END AS omitted_because FROM n""",
+    "support_rate": f"""WITH {FUSED}, n AS (SELECT run_id, count(*) AS claims, count(*) FILTER (state <> 'not_assessed') AS s, count(*) FILTER (state IN ('corroborated_coverage', 'event_corroborated')) AS b, count(*) FILTER (state IN ('contested', 'contested_reporting')) AS c, CASE WHEN run_id = 6 THEN 'out_of_range' WHEN count(*) FILTER (state <> 'not_assessed') = 0 THEN 'not_assessed' END AS why FROM fused GROUP BY 1)
+        SELECT run_id, CASE WHEN why IS NULL THEN s ELSE 0 END AS scored, CASE WHEN why IS NULL THEN b ELSE 0 END AS backed, CASE WHEN why IS NULL THEN c ELSE 0 END AS contested, claims - CASE WHEN why IS NULL THEN s ELSE 0 END AS unassessed, CASE WHEN why IS NULL THEN CAST(round_even(100.0 * b / s, 0) AS INT) END AS support_pct, why AS omitted_because FROM n""",
+    "source_join_misses": f"""WITH {DESKS} SELECT run AS run_id, count(*) AS documents, count(DISTINCT CASE WHEN reason = 'same_owner' THEN 'page ' || doc ELSE 'source ' || source END) AS sources, count(*) FILTER (reason = 'same_owner') AS misses FROM found GROUP BY 1""",
+    "stream_live_state": f"""WITH {EVENTS}, l AS (SELECT run_id, max_by(layer, (ts, event_id)) AS layer, max_by(status, (ts, event_id)) AS status, count(*) AS n_events, count(*) FILTER (status = 'error') AS errors, max(ts) AS ts FROM ev GROUP BY 1),
+        q AS (SELECT *, status = 'running' AND ts + INTERVAL 1 HOUR < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR AS stale FROM l) SELECT run_id, layer, CASE WHEN stale THEN 'error' ELSE status END AS status, n_events, errors, stale FROM q""",
     "claim_source_matrix": f"WITH {STANCE}, v AS (SELECT claim, source, CASE label WHEN 'entailment' THEN score WHEN 'contradiction' THEN -score ELSE 0.0 END AS x FROM st) SELECT claim, " + ", ".join(f"coalesce(max_by(x, abs(x)) FILTER (source = '{s}'), 0.0) AS {s}" for s in SOURCES) + " FROM v GROUP BY 1",
     "trace_runs": f"WITH {EVENTS}, f AS (SELECT *, CASE WHEN lag(layer) OVER w IS NOT DISTINCT FROM layer AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS BIGINT) AS island FROM f) SELECT run_id, island, layer, count(*) AS n, max_by(status, (ts, event_id)) AS last_status, count(DISTINCT detail) AS details FROM i GROUP BY 1, 2, 3",
     "layer_status": f"WITH {EVENTS}, g AS (SELECT run_id, layer, max_by(status, (ts, event_id)) FILTER (status <> 'running') AS last, min((ts, event_id)) FILTER (status = 'error') AS e, max((ts, event_id)) FILTER (status IN ('ok', 'empty', 'skipped')) AS ok FROM ev GROUP BY 1, 2) SELECT run_id, layer, CASE WHEN e < ok AND last <> 'error' THEN 'degraded' ELSE coalesce(last, 'running') END AS status FROM g",

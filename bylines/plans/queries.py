@@ -24,6 +24,7 @@ from bylines.scratch import shared_dir, written
 from bylines.sources.tables import claims, hits, key_of, owners, table
 from bylines.streaming import independence as N
 from bylines.streaming import pages as P
+from bylines.streaming import runs as L
 
 def today():
     return F.lit("2026-09-16").cast("date")
@@ -353,18 +354,32 @@ def lexical_stance(spark: SparkSession, sf: str) -> DataFrame:
     return _stances(spark, sf).select("claim", "doc", "label", "score")
 
 
+def _evidence_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Scored pairs of each desk's claims with the newsroom behind their document, and the newsrooms found, by desk."""
+    pairs = _stances(spark, sf).withColumn("run_id", F.col("claim") % 7)
+    seen = pairs.select("run_id", "doc").distinct()
+    docs = written(hits(spark, sf).drop("run_id").join(seen.hint("merge"), "doc").select("run_id", "doc", "publisher_id", "body_hash", "wire"))
+    return pairs, written(_sources(spark, sf, docs))
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     """All claims of one desk (claim modulo 7) are a run; editorial labels stand for the analyst."""
-    pairs = _stances(spark, sf)
-    groups = F.broadcast(owners(spark))
+    pairs, sources = _evidence_sources(spark, sf)
     labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("doc")).agg(F.max("quality").alias("quality"))
-    met = pairs.join(groups, "publisher_id", "left").join(labels, "doc", "left")
-    met = met.select((F.col("claim") % 7).alias("run_id"), "claim", "doc", F.coalesce("parent_group", "publisher_id").alias("source"), "label", "score", F.when(F.col("quality") == 1, "support").when(F.col("quality") == 0, "contradict").alias("analyst"))
+    met = T.by_newsroom(pairs, sources).join(labels.hint("merge"), "doc", "left")
+    met = met.select("run_id", "claim", "doc", "source", "label", "score", F.when(F.col("quality") == 1, "support").when(F.col("quality") == 0, "contradict").alias("analyst"))
     runs = claims(spark, sf).select((F.col("claim") % 7).alias("run_id"), "claim")
     existence = runs.select("run_id").distinct().select("run_id", F.when(F.col("run_id") == 6, "out_of_range").when(F.col("run_id") % 2 == 0, "title_match").otherwise("not_found").alias("existence"))
     return written(T.fuse_claims(runs, met, existence))
 
 
+def source_join_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and newsrooms of each desk when only pages without an owner were grouped, so the others are their own sources, and counted as misses."""
+    pairs, sources = _evidence_sources(spark, sf)
+    found = sources.where("reason <> 'same_owner'")
+    return T.join_misses(T.by_newsroom(pairs.select("run_id", "doc").distinct(), found))
+
+
 def claim_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf).drop("run_id", "existence")
 
@@ -407,8 +422,12 @@ def verification_record(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return _events_of(table(spark, sf, "events"))
+
+
+def _events_of(events: DataFrame) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(x) for x in ("ok", "running", "empty", "error", "skipped")]), (F.pmod(F.floor("value"), F.lit(5)) + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("layer"), status.alias("status"), "props", key_of(F.col("props")).alias("detail"))
+    return events.select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("layer"), status.alias("status"), "props", key_of(F.col("props")).alias("detail"))
 
 
 def trace_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,6 +442,15 @@ def live_run_state(spark: SparkSession, sf: str) -> DataFrame:
     return E.live_state(_events(spark, sf), "run_id", ["ts", "event_id"])
 
 
+def stream_live_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each run at the end of its trace as a stream; a layer that has been running for an hour of quiet is an error."""
+    spot = f"{shared_dir(spark)}/bylines-streams/{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    events = _events_of(spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet"))
+    L.drive(L.live_states(events.withColumn("ts", F.col("ts").cast("timestamp"))), f"{spot}/out", f"{spot}/checkpoint")
+    return L.latest(spark, f"{spot}/out")
+
+
 def run_history(spark: SparkSession, sf: str) -> DataFrame:
     """The latest event of each run, newest run first, with a place."""
     last = _events(spark, sf).groupBy("run_id").agg(F.max(F.struct("ts", "event_id")).alias("x"))
@@ -453,6 +481,6 @@ QUERIES = {f.__name__: f for f in (
     pages_vs_newsrooms_per_claim, passage_search, exact_url_dedupe, publisher_identity, source_bands, fetch_taxonomy, html_title, shingle_jaccard_pairs, shingle_classes,
     body_hash_reprint_groups, same_owner_groups, independent_sources, merge_evidence, old_vs_new_counts, capability_gate, adapter_rollup, coverage_report, existence_ladder,
     existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
-    trigram_rank_hashed, vector_topk, stance_window, lexical_stance, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
-    layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
+    trigram_rank_hashed, vector_topk, stance_window, lexical_stance, source_join_misses, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
+    layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, stream_live_state, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
 )}
