@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,8 @@ PER_CENT = 90  # least Jaccard similarity
 FREQUENT = 250_000  # n-grams whose frequency every task knows; others count as rare, which costs time, never results
 SAMPLE_GRAMS = 1_000_000  # n-grams of a task that are counted together
 FILTER_BITS = 1 << 26  # of the filter of documents whose sets are needed
-CACHED_WORDS = 300_000
+LONG_WORD = 64  # bytes
+STRETCH = 1 << 20  # bytes that are hashed at once
 TEXTS = 200  # that a task cuts at once
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # odd numbers
 
@@ -34,11 +34,59 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _byte_values() -> np.ndarray:
+    """A 64-bit number for each byte; A-Z have those of a-z."""
+    values = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
+    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+    return values
+
+
+_VALUE = _byte_values()
+_PLACE = np.cumprod(np.full(LONG_WORD, _MIX[1]))  # powers, modulo 2^64
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts, how many words each text has).
+
+    Words stand between ASCII white space, A-Z count as a-z. A word's bytes, each weighed by its place, are
+    summed for all words at once; words beyond LONG_WORD bytes are hashed one by one.
+    """
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    at = 0
+    while at < len(buf):
+        to = len(buf)
+        if to - at > STRETCH:  # a stretch ends behind a blank
+            found = np.flatnonzero(_BLANK[buf[at : at + STRETCH]])
+            k = at + STRETCH
+            while not len(found):
+                found = k - at + np.flatnonzero(_BLANK[buf[k : k + STRETCH]])
+                k += STRETCH
+            to = at + int(found[-1]) + 1
+        part = buf[at:to]
+        blank = _BLANK[part]
+        edges = np.flatnonzero(np.diff(blank, prepend=True))
+        starts, sizes = edges[0::2], np.diff(edges)[0::2]
+        if len(starts):
+            first = np.cumsum(sizes) - sizes
+            held = part[~blank]
+            place = np.minimum(np.arange(len(held)) - np.repeat(first, sizes), LONG_WORD - 1)
+            h = mixed(np.add.reduceat(_VALUE[held] * _PLACE[place], first) + sizes.astype(np.uint64) * _MIX[2])
+            for i in np.flatnonzero(sizes > LONG_WORD):
+                h[i] = xxhash.xxh64_intdigest(part[starts[i] : starts[i] + sizes[i]].tobytes().lower(), 42)
+            hashes.append(h)
+            counts += np.bincount(np.searchsorted(text_ends, starts + at, side="right"), minlength=len(texts))
+        at = to
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
 class Grams:
-    """Distinct n-grams of texts as sorted 64-bit hashes; hashes of words are remembered up to a bound."""
+    """Distinct n-grams of texts as sorted 64-bit hashes."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.known = n, {}
+        self.n = n
 
     def _hashed(self, h: np.ndarray, n: int) -> np.ndarray:
         """Hashes of all runs of n words."""
@@ -48,19 +96,12 @@ class Grams:
         return out.view(np.int64)
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Words stand between ASCII white space, A-Z lowered; fewer than n are one gram of all; no words give none."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        known = self.known
-        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        for w in set().union(*words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 42)
-        sizes = [len(w) for w in words]
-        h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+        """Fewer than n words are one gram of all; no words give none."""
+        h, sizes = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
         runs, out, at = self._hashed(h, self.n), [], 0
-        for size in sizes:
+        for size in sizes.tolist():
             s = np.sort(runs[at : at + size - self.n + 1] if size >= self.n else self._hashed(h[at : at + size], size) if size else runs[:0])
-            out.append(s[np.flatnonzero(np.diff(s, prepend=s[0] - 1 if s[0] > -(1 << 63) else 0))] if len(s) else s)
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
             at += size
         return out
 
@@ -120,16 +161,16 @@ def frequent_grams(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[n
 
 
 def indexed_rows(docs: DataFrame, words: int, per_cent: int, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, key, n, prefix): the name and size of each row's set, and its rarest n-grams, rarest first."""
+    """(id, key, n, prefix, r): the name and size of each row's set, its rarest n-grams, rarest first, and the frequency of the last of them."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = docs.select("id").schema.add("key", "binary").add("n", "integer").add("prefix", T.ArrayType(T.LongType()))
+    schema = docs.select("id").schema.add("key", "binary").add("n", "integer").add("prefix", T.ArrayType(T.LongType())).add("r", "long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, (hashes, freq) = Grams(words), shared.value
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)
-                keys, sizes, prefixes = [], [], []
+                keys, sizes, prefixes, last = [], [], [], []
                 for s in grams.of(part.column(1).to_pylist()):
                     keys.append(key_of(s))
                     sizes.append(len(s))
@@ -137,8 +178,10 @@ def indexed_rows(docs: DataFrame, words: int, per_cent: int, table: tuple[np.nda
                     if len(hashes) and len(s):
                         i = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                         rank = np.where(hashes[i] == s, freq[i], 0)
-                    prefixes.append(s[np.lexsort((s, rank))[: prefix_size(len(s), per_cent)]] if len(s) else s)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(prefixes)], names=schema.names)
+                    order = np.argsort(rank, kind="stable")[: prefix_size(len(s), per_cent)] if len(s) else []
+                    prefixes.append(s[order] if len(s) else s)
+                    last.append(int(rank[order[-1]]) if len(s) else 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(prefixes), pa.array(last, pa.int64())], names=schema.names)
             give_back_memory()
 
     return docs.select("id", "_t").mapInArrow(apply, schema)
@@ -178,22 +221,23 @@ def _needed(na: Column, nb: Column, per_cent: int) -> Column:
 
 
 def _product(a: DataFrame, b: DataFrame, per_cent: int, apart: Column) -> DataFrame:
-    """(a, b) whose sets may be similar, of two blocks of the index(key, n, i, h), as keys.
+    """(a, b) whose sets may be similar, of two blocks of the index(h, key, n, i, r, e), as keys.
 
     Rows of one column multiply; a cell's overlaps add up over the columns. At each common column the places tell
     how many more n-grams two sets can share, and sizes how many they must: pairs below are discarded,
-    first by each column alone, then by the sum of the columns and what may follow the last.
+    first by each column alone. In the end all that two sets share up to the place where the index of one of them stops
+    has been counted, so what may follow is what that one has left; pairs that miss their number with it are discarded too.
     """
-    x = a.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *[F.col(c).alias(f"{c}_a") for c in a.columns if c not in ("h", "key", "n", "i")])
-    y = b.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in ("h", "key", "n", "i")])
+    mine = ("key", "n", "i", "r", "e")
+    more = [c for c in a.columns if c not in ("h", *mine)]
+    x = a.select("h", F.col("key").alias("a"), *[F.col(c).alias(f"{c}a") for c in (*mine[1:], *more)])
+    y = b.select("h", F.col("key").alias("b"), *[F.col(c).alias(f"{c}b") for c in (*mine[1:], *more)])
     need = _needed(F.col("na"), F.col("nb"), per_cent)
-    after = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.least("ia", "ib") + 1 + after >= need)
+    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
     cells = x.hint("merge").join(y, "h").where(apart & close)
-    return (
-        cells.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-        .where(F.col("c") + after >= need).select("a", "b", "na", "nb")
-    )
+    left = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * per_cent / F.lit(100) - 1e-9) + 1)
+    first = F.when(F.struct("ra", "ea") < F.struct("rb", "eb"), left("na")).when(F.struct("ra", "ea") > F.struct("rb", "eb"), left("nb")).otherwise(F.least(left("na"), left("nb")))
+    return cells.groupBy("a", "b", "na", "nb", first.alias("after")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") + F.col("after") >= need).select("a", "b", "na", "nb")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -213,16 +257,16 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from the sizes discard most pairs; the other columns are multiplied for the rest only.
 
     With ``every_link`` false, the links have the same connected components but not all pairs: first
-    every column's sets meet the one of them that holds the most shared columns, and sets that
-    are similar to the same one meet no more. A large group of near copies then costs a star and not its square.
+    every column's sets meet the one of them that has the fewest rarer n-grams, and sets that are
+    similar to the same one meet no more. A large group of near copies then costs a star and not its square.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
     table = frequent_grams(docs, words)
     rows = written(indexed_rows(docs, words, per_cent, table))
-    reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    each = reps.select("key", "n", F.posexplode("prefix").alias("i", "h"))
+    reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "r", "prefix")]))
+    each = reps.select("key", "n", "r", F.element_at("prefix", -1).alias("e"), F.posexplode("prefix").alias("i", "h"))
     columns = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"))
-    index = written(each.hint("merge").join(columns, "h").select("h", "key", "n", "i"))
+    index = written(each.hint("merge").join(columns, "h").select("h", "key", "n", "i", "r", "e"))
     members = rows.select("id", "key", "n")
 
     def similar(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
@@ -234,16 +278,12 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if every_link:
         return members, similar(index, index, F.col("a") < F.col("b"))
-    central = index.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.struct(F.col("shared"), F.col("key"))
-    ranked = written(index.join(written(central).hint("merge"), "key"))
-    hubs = written(ranked.groupBy("h").agg(F.max(rank).alias("hub"))).select("h", F.col("hub.key").alias("hub"))
-    chosen = ranked.join(hubs.hint("merge"), "h").where(F.col("key") == F.col("hub")).select("h", "key", "n", "i")
+    chosen = written(index.groupBy("h").agg(F.min(F.struct("i", "key", "n", "r", "e")).alias("hub"))).select("h", "hub.*")
     star = similar(chosen, index, F.col("a") != F.col("b"))
     ends = star.select("a", F.col("b").alias("key")).union(star.select("a", F.col("a").alias("key")))
     label = written(ends.groupBy("key").agg(F.min("a").alias("label")))
     labelled = written(index.join(label.hint("merge"), "key", "left"))
-    apart = (F.col("a") < F.col("b")) & ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
+    apart = (F.col("a") < F.col("b")) & ~F.coalesce(F.col("labela") == F.col("labelb"), F.lit(False))
     return members, star.union(similar(labelled, labelled, apart))
 
 
