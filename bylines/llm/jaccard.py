@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,7 +90,9 @@ class Grams:
 
     def _hashed(self, h: np.ndarray, n: int) -> np.ndarray:
         """Hashes of all runs of n words."""
-        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        if len(h) < n:
+            return np.zeros(0, np.int64)
+        out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             out = mixed((out + h[k : len(h) - n + 1 + k]) * _MIX[k % 3])
         return out.view(np.int64)
@@ -221,26 +223,26 @@ def _needed(na: Column, nb: Column, per_cent: int) -> Column:
 
 
 def _product(a: DataFrame, b: DataFrame, per_cent: int, apart: Column) -> DataFrame:
-    """(a, b) whose sets may be similar, of two blocks of the index(h, key, n, i, r, e), as keys.
+    """(a, b) whose sets may be similar, of two blocks of the index(h, key, n, i, j, r, e), as keys.
 
-    Rows of one column multiply; a cell's overlaps add up over the columns. At each common column the places tell
-    how many more n-grams two sets can share, and sizes how many they must: pairs below are discarded,
-    first by each column alone. In the end all that two sets share up to the place where the index of one of them stops
+    Rows of one column multiply; a cell's overlaps add up over the columns. At each common column the places i tell
+    how many more n-grams two sets can share behind it, j how many columns that others have too they can share before, and
+    sizes how many they must share: pairs below are discarded, first by each column alone. In the end all that two sets share up to the place where the index of one of them stops
     has been counted, so what may follow is what that one has left; pairs that miss their number with it are discarded too.
     """
-    mine = ("key", "n", "i", "r", "e")
+    mine = ("key", "n", "i", "j", "r", "e")
     more = [c for c in a.columns if c not in ("h", *mine)]
     x = a.select("h", F.col("key").alias("a"), *[F.col(c).alias(f"{c}a") for c in (*mine[1:], *more)])
     y = b.select("h", F.col("key").alias("b"), *[F.col(c).alias(f"{c}b") for c in (*mine[1:], *more)])
     need = _needed(F.col("na"), F.col("nb"), per_cent)
-    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
+    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.least("ja", "jb") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
     cells = x.hint("merge").join(y, "h").where(apart & close)
     left = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * per_cent / F.lit(100) - 1e-9) + 1)
     first = F.when(F.struct("ra", "ea") < F.struct("rb", "eb"), left("na")).when(F.struct("ra", "ea") > F.struct("rb", "eb"), left("nb")).otherwise(F.least(left("na"), left("nb")))
     return cells.groupBy("a", "b", "na", "nb", first.alias("after")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") + F.col("after") >= need).select("a", "b", "na", "nb")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b, common) of the pairs that are similar, exactly."""
     left = pairs.hint("merge").join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = left.hint("merge").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
@@ -257,7 +259,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from the sizes discard most pairs; the other columns are multiplied for the rest only.
 
     With ``every_link`` false, the links have the same connected components but not all pairs: first
-    every column's sets meet the one of them that has the fewest rarer n-grams, and sets that are
+    every column's sets meet the one of them that has the fewest rarer n-grams of its own, and sets that are
     similar to the same one meet no more. A large group of near copies then costs a star and not its square.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
@@ -266,7 +268,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "r", "prefix")]))
     each = reps.select("key", "n", "r", F.element_at("prefix", -1).alias("e"), F.posexplode("prefix").alias("i", "h"))
     columns = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"))
-    index = written(each.hint("merge").join(columns, "h").select("h", "key", "n", "i", "r", "e"))
+    own = Window.partitionBy("key").orderBy("i")  # a set's few columns
+    index = written(each.hint("merge").join(columns, "h").withColumn("j", F.row_number().over(own) - 1).select("h", "key", "n", "i", "j", "r", "e"))
     members = rows.select("id", "key", "n")
 
     def similar(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
@@ -274,11 +277,11 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = written(_product(a, b, per_cent, apart))
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = written(reps.select("id", "key").join(keys.hint("merge"), "key", "left_semi"))
-        return written(_verified(pairs, written(wanted_sets(docs, words, wanted)), per_cent))
+        return written(similar_pairs(pairs, written(wanted_sets(docs, words, wanted)), per_cent))
 
     if every_link:
         return members, similar(index, index, F.col("a") < F.col("b"))
-    chosen = written(index.groupBy("h").agg(F.min(F.struct("i", "key", "n", "r", "e")).alias("hub"))).select("h", "hub.*")
+    chosen = written(index.groupBy("h").agg(F.min(F.struct((F.col("i") - F.col("j")).alias("alone"), "i", "key", "n", "j", "r", "e")).alias("hub"))).select("h", "hub.key", "hub.n", "hub.i", "hub.j", "hub.r", "hub.e")
     star = similar(chosen, index, F.col("a") != F.col("b"))
     ends = star.select("a", F.col("b").alias("key")).union(star.select("a", F.col("a").alias("key")))
     label = written(ends.groupBy("key").agg(F.min("a").alias("label")))
