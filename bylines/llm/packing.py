@@ -31,10 +31,10 @@ class WordEncoder:
     As by the library's defaults, a special token spelled out in a text becomes that token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.known = {"": b""}
 
     def learn(self, words: list[str]) -> None:
@@ -46,18 +46,22 @@ class WordEncoder:
             self.known[w] = ids[at:end]
             at = end
 
-    @staticmethod
-    def parts(w: str) -> tuple[str, str]:
-        """The word's stem and its last marks, which encode alone after a letter or digit; a plain stem is in lower case, as the tokenizer takes it."""
+    def parts(self, w: str) -> tuple[str, str]:
+        """The word's stem and its last marks, which encode alone after a letter or digit; a plain stem is in lower case, as the tokenizer takes it.
+
+        What counts is the character that the tokenizer sees: its normal form may end in a mark where the stem ends in a letter.
+        """
         stem = w.rstrip(TAIL)
         if "<|" in w or not stem or not stem[-1].isalnum():
             return w, ""
-        return stem.lower() if stem.isascii() else stem, w[len(stem) :]
+        if stem.isascii():
+            return stem.lower(), w[len(stem) :]
+        return (stem, w[len(stem) :]) if self.tokenizer.normalizer.normalize_str(stem)[-1:].isalnum() else (w, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.translate(_BLANKS).split(" ") if t.isascii() else _BLANK.sub(" ", t).split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached:
             self.known = {"": b""}
         new = [(w, *self.parts(w)) for w in set().union(*split).difference(self.known)]
         unknown = list({p for _, *two in new for p in two}.difference(self.known))
@@ -69,8 +73,8 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, cached: int) -> WordEncoder:
+    return WordEncoder(path, cached)
 
 
 def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
@@ -84,7 +88,7 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS) -> DataFrame:
+def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS) -> DataFrame:
     """(id, start, length, ids, doc_tokens) for each piece of each row; ``ids`` are little-endian unsigned 32-bit numbers.
 
     A document is its ids and END_ID, so a null or empty text is one piece of one id. Texts are
@@ -96,7 +100,7 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     schema = rows.select(id_col).schema.add("start", "long").add("length", "long").add("ids", "binary").add("doc_tokens", "long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cached)
         give_back_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -130,14 +134,14 @@ def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id", chunk_rows: int = 5
     return placed.withColumn("sequence_id", (first + F.col("_place")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_place")
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS) -> DataFrame:
     """Packed pieces with their ids: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     Rows that repeat an id are packed each; other columns are not read; an empty table gives no
     rows. The pieces are written to the shared folder once, as three passes number them, in
-    chunks of CHUNK_BYTES of ids at most.
+    chunks of CHUNK_BYTES of ids at most. ``cached`` words stay with a worker, some 200 bytes each.
     """
-    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest))
+    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest, cached))
     return bucket_pieces(pieces, id_col, max(1, CHUNK_BYTES // (4 * longest)))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from bylines.llm.packing import binary_pieces, pack
+from bylines.llm.packing import WordEncoder, binary_pieces, pack
 from bylines.llm.queries import op5_binary_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -59,3 +59,13 @@ def test_ids_repeats_and_nothing(spark):
     ids = {tuple(np.frombuffer(r.ids, "<u4")) for r in got}
     assert all(len(i) in (1, 2) for i in ids) and sum(r.length for r in got) == 8
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_every_letter_and_digit_before_a_mark():
+    """A mark after a character encodes apart only if the tokenizer still sees a letter or digit there."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    t, enc = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    for at in range(0, len(chars), 20_000):
+        texts = [f"a{c}. {c}!" for c in chars[at : at + 20_000]]
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        assert [x for x, g, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False), strict=True) if g != e.ids] == []
