@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from bylines.llm.jaccard import Grams, key_of, similar_pairs, wanted_sets
 from bylines.llm.texts import give_back_memory, lower_ascii, text_or_empty
 from bylines.operators.components import connected_components
 from bylines.scratch import written
@@ -19,9 +20,10 @@ from bylines.scratch import written
 SEGMENTS = 16  # of four bits: each count is 0 to 4 and takes one hex digit of a long
 SHINGLE_WORDS = 3
 DIRECT_CELL = 64  # fingerprints in a cell up to which pairs are compared directly
-VIEWS = 8  # fingerprints of a text in simhash_groups, each from other hashes of its words
+VIEWS = 12  # fingerprints of a text in simhash_groups, each from other hashes of its words
 GROUPS = (0xFFF, 0xFFF << 12, 0xFFF << 24, 0xFFF << 36, 0x7FFF << 48)  # the 16 segments, of counts to 4, in five groups
 CACHED_WORDS = 100_000
+NEAR_WORDS, NEAR_PER_CENT = 5, 80  # of shingles, and how many of them near duplicates share
 
 
 def words(text: Column) -> Column:
@@ -91,7 +93,7 @@ def agreeing_cells(v: Column) -> Column:
 
 
 def near_links(fps: DataFrame, keys: tuple[str, ...] = (), cells: Callable[[Column], Column] = grid_cells) -> DataFrame:
-    """Links (``keys``, a, b), a < b, among distinct fingerprints ``fp``, whose closure is that of all pairs at Hamming distance 2 or less.
+    """All pairs (``keys``, a, b), a < b, of distinct fingerprints ``fp`` at Hamming distance 2 or less.
 
     Fingerprints are compared within equal ``keys`` only, which hold no nulls; ``cells`` gives any two
     points at Manhattan distance 2 or less a common cell.
@@ -100,21 +102,22 @@ def near_links(fps: DataFrame, keys: tuple[str, ...] = (), cells: Callable[[Colu
     within 2 shares a grid cell. In cells of up to DIRECT_CELL fingerprints each pair is verified
     bit by bit. Larger cells never emit their pairs: their fingerprints also take the 65 words
     within one flipped bit, where two fingerprints share a word exactly when they differ in at
-    most 2 bits, and each one links to the smallest at its word. That path is exact too.
+    most 2 bits. A word is within one bit of 65 fingerprints at most, so no word has many pairs.
     """
     ks = list(keys)
     keyed = fps.select(*ks, "fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell")).hint("merge")
     counts = written(keyed.groupBy(*ks, "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    small = written(keyed.join(counts.where(f"n <= {DIRECT_CELL}").drop("n"), [*ks, "cell"], "left_semi"))
+    shared = written(keyed.join(counts, [*ks, "cell"]))
+    small = shared.where(f"n <= {DIRECT_CELL}").drop("n")
     a, b = small.withColumnRenamed("fp", "a"), small.withColumnRenamed("fp", "b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     direct = a.hint("merge").join(b, [*ks, "cell"]).where((F.col("a") < F.col("b")) & close).select(*ks, "a", "b")
-    large = keyed.join(counts.where(f"n > {DIRECT_CELL}").drop("n"), [*ks, "cell"], "left_semi").select(*ks, "fp").distinct()
+    large = shared.where(f"n > {DIRECT_CELL}").select(*ks, "fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(-(1 << 63) if k == 63 else 1 << k).cast("long")) for k in range(64)])
     words = written(large.select(*ks, "fp", F.explode(flips).alias("word")))
-    least = written(words.groupBy(*ks, "word").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    starred = words.join(least, [*ks, "word"]).where("fp > a").select(*ks, "a", F.col("fp").alias("b"))
-    return direct.union(starred).distinct()
+    x, y = words.withColumnRenamed("fp", "a"), words.withColumnRenamed("fp", "b")
+    flipped = x.hint("merge").join(y, [*ks, "word"]).where("a < b").select(*ks, "a", "b")
+    return direct.union(flipped).distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,43 +173,53 @@ class WordHasher:
 
 
 def word_views(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, views array) for each row: ``VIEWS`` fingerprints of the text's words, and a digest of all of them."""
+    """(id, node, n, views array) for each row: a name of the text's set of five-word shingles, its size, and ``VIEWS`` fingerprints of its words."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    schema = rows.select("id").schema.add("views", ArrayType(LongType()))
+    schema = rows.select("id").schema.add("node", "binary").add("n", "integer").add("views", ArrayType(LongType()))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, grams = WordHasher(), Grams(NEAR_WORDS)
         give_back_memory()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                found = [hasher.views(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+                texts = part.column(1).to_pylist()
+                sets, found = grams.of(texts), [hasher.views(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(s) or b"" for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
             give_back_memory()
 
-    return rows.mapInArrow(apply, schema).select("id", F.md5(F.array_join("views", ",").cast("binary")).alias("node"), "views")
+    return rows.mapInArrow(apply, schema)
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row: the smallest id reachable over texts that differ in at most 2 bits in any of ``VIEWS`` fingerprints.
-
-    Fingerprints are of the set of words (A-Z lowered, between ASCII white space), which an edit
-    changes less than it changes shingles, and several of them find what one misses: of pairs that share 0.8
-    of their five-word shingles, one fingerprint links 0.4 and eight link 0.9 directly, more over others. Texts with all fingerprints
-    equal count once. Null, empty and blank texts have fingerprints 0 and are linked. Repeated rows
-    come out each; ids that are null are reached like others but never are the smallest. An empty table
+    """(id, component_id) for every row: the smallest id reachable over verified links between near-duplicate texts.
+
+    Candidates differ in at most 2 bits in any of ``VIEWS`` fingerprints. These are of the set of words (A-Z lowered,
+    between ASCII white space), which an edit changes less than it changes shingles, and several of them find what one
+    misses. A candidate is a link if the texts share NEAR_PER_CENT of their five-word shingles, exactly; of
+    texts with an equal fingerprint each is compared with the first of them, and fingerprints near each other
+    stand for their first texts. Texts with equal shingles count once; null, empty and blank texts have none and are one group.
+    Repeated rows come out each; ids that are null are reached like others but never are the smallest. An empty table
     gives no rows.
     """
     rows = written(word_views(df, id_col, text_col))
-    sigs = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("views").alias("views")))
-    each = written(sigs.select("node", F.posexplode("views").alias("view", "fp")))
+    sigs = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("views").alias("views")))
+    each = written(sigs.where("n > 0").select("node", F.posexplode("views").alias("view", "fp")))
     heads = written(each.groupBy("view", "fp").agg(F.min("node").alias("head")))
     equal = each.hint("merge").join(heads, ["view", "fp"]).where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     near = written(near_links(heads.select("view", "fp"), ("view",), agreeing_cells))
     ends = near.hint("merge").join(heads.select("view", F.col("fp").alias("a"), F.col("head").alias("u")), ["view", "a"])
     ends = ends.hint("merge").join(heads.select("view", F.col("fp").alias("b"), F.col("head").alias("v")), ["view", "b"]).where("u != v").select("u", "v")
-    comps = connected_components(equal.union(ends), "u", "v")
-    whole = sigs.select("node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = written(whole.join(smallest, "component").select("node", "component_id"))
-    return rows.join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
+    pairs = equal.union(ends).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    size = sigs.select(F.col("node").alias("key"), "n")
+    sized = pairs.hint("merge").join(size.withColumnsRenamed({"key": "a", "n": "na"}), "a").hint("merge").join(size.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
+    asked = written(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NEAR_PER_CENT))
+    keys = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
+    wanted = written(sigs.select(F.col("least").alias("id"), F.col("node")).join(keys.hint("merge"), "node", "left_semi").select("id", F.col("node").alias("key")))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    links = written(similar_pairs(asked, written(wanted_sets(texts, NEAR_WORDS, wanted)), NEAR_PER_CENT))
+    comps = connected_components(links, "a", "b")
+    whole = sigs.select("node", "least").join(comps.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = written(whole.groupBy("component").agg(F.min("least").alias("component_id")))
+    by_node = written(whole.join(smallest.hint("merge"), "component").select("node", "component_id"))
+    return rows.select("id", "node").join(by_node.hint("merge"), "node").select(F.col("id").alias(id_col), "component_id")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
+from bylines.llm.jaccard import Grams, key_of
 from bylines.llm import simhash
 from bylines.llm.exact import exact_dedup
 from bylines.llm.queries import op3_rendezvous_shards, op4_simhash, op10_exact_dedup
@@ -134,12 +135,25 @@ def brute_groups(rows):
                 hs.append(h ^ h >> 32)
             views.append(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hs) > len(hs)))
         prints.append(views)
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if group[i] != group[j] and any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j], strict=True)):
-                old = group[i]
-                group = [group[j] if g == old else g for g in group]
+    keys, sets = [], {}
+    for _, t in rows:
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(UP)) if w]
+        n = min(5, len(ws))
+        keys.append(key_of(Grams(5).of([t])[0]) or b"")
+        sets[keys[-1]] = {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if ws else set()
+    views = {k: v for k, v in zip(keys, prints, strict=True) if sets[k]}
+    asked = set()
+    for at in range(simhash.VIEWS):
+        heads = {}
+        for k, v in views.items():
+            heads[v[at]] = min(heads.get(v[at], k), k)
+        asked |= {(k, heads[v[at]]) for k, v in views.items()} | {(p, q) for x, p in heads.items() for y, q in heads.items() if (x ^ y).bit_count() <= 2}
+    root = {k: k for k in keys}
+    for x, y in asked:
+        if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and root[x] != root[y]:
+            old = root[x]
+            root = {k: root[y] if r == old else r for k, r in root.items()}
+    group = [root[k] for k in keys]
     least = {}
     for (i, _), g in zip(rows, group, strict=True):
         if i is not None:
@@ -162,6 +176,14 @@ def test_simhash_groups_whole_table(spark):
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs(spark, rows)).collect()) == brute_groups(rows)
 
 
+def test_simhash_groups_leave_other_texts(spark):
+    """The words of a text in another order, or other text around a passage, are no near duplicate."""
+    ws = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(ws)), (2, " ".join(reversed(ws))), (3, " ".join(ws * 3)), (4, " ".join(ws[:120] + [f"u{i}" for i in range(80)]))]
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs(spark, rows)).collect()}
+    assert got[1] == 1 and got[2] == 2 and got[4] == 4
+
+
 def test_simhash_groups_find_edited_copies(spark):
     """Texts of 300 words with one word in 100 replaced, so that about 0.9 of five-word shingles stay, against their originals."""
     import random
