@@ -1,34 +1,120 @@
-"""Planned queries: rungs of the existence ladder, unique ids, rewrites, and what an analyst may see."""
+"""Planned queries: the ladder, claims and names of each run under unique ids, rewrites, and what an analyst may see."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bylines.functions.text import words
+from bylines.functions.text import let
+from bylines.schemas import KEYWORDS, LOOKED_UP, NON_VERBS, VERB_ENDS
 from bylines.scratch import written
 
 
-def existence_plan(runs: DataFrame, stopwords: list[str], keywords: int = 6) -> DataFrame:
-    """(run_id, query_id, template_id, attempt, query_text) of runs (run_id, headline): the phrase, all its words, its keywords.
+WORD = r"[A-Za-z][A-Za-z'\-]*"
 
-    Keywords are distinct words of three letters or more that are no stopwords: the longest, then
-    the earliest, in reading order. A headline without any gives no third rung, a blank one none.
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def headline_keywords(headline: Column, stopwords: list[str], most: int = KEYWORDS) -> Column:
+    """The most telling words of a headline, in reading order: capitalised ones first, then longer, then earlier ones.
+
+    A word counts once, at its first place, whatever its case; words of under three letters and stopwords do not count.
+    """
+
+    def of(w: Column) -> Column:
+        low = F.transform(w, lambda x: F.lower(x))
+        rows = F.transform(w, lambda x, i: F.struct((~x.rlike("^[A-Z]")).alias("plain"), (-F.length(x)).alias("short"), i.alias("at"), x.alias("word")))
+        good = F.filter(rows, lambda r: (F.length(r["word"]) >= 3) & ~F.lower(r["word"]).isin(stopwords) & (F.array_position(low, F.lower(r["word"])) == r["at"] + 1))
+        best = F.slice(F.array_sort(good), 1, most)
+        return F.transform(F.array_sort(F.transform(best, lambda r: F.struct(r["at"], r["word"]))), lambda r: r["word"])
+
+    return let(_words(headline), of)
+
+
+def main_verb(text: Column, consumed: Column, stopwords: list[str]) -> Column:
+    """The word that most looks like a main verb: the first that ends in -ed or -ing, else the first with another verb's ending; null without any."""
+
+    def rank(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        verb = (F.length(low) >= 4) & low.rlike(f"(?:{'|'.join(VERB_ENDS)})$") & ~low.isin(stopwords + NON_VERBS) & ~F.array_contains(consumed, low)
+        return F.when(verb, F.struct(F.when(low.rlike("(?:ed|ing)$"), 0).otherwise(1).alias("r"), i.alias("i"), low.alias("w")))
+
+    return F.array_min(F.transform(_words(text), rank))["w"]
+
+
+def claim_query(text: Column, entities: Column, stopwords: list[str]) -> Column:
+    """Entities that a claim names, its main verb and its numbers; without any of them its first 200 characters."""
+
+    def named(e: Column) -> Column:
+        quoted = F.regexp_replace(F.lower(e), r"([^\p{L}\p{N}\s])", r"\\$1")
+        return (F.length(e) >= 2) & F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+
+    found = F.array_distinct(F.filter(F.transform(entities, lambda e: F.trim(e)), named))
+
+    def of(f: Column) -> Column:
+        taken = F.flatten(F.transform(f, lambda e: _words(F.lower(e))))
+        parts = F.array_compact(F.concat(f, F.array(main_verb(text, taken, stopwords))))
+        every = F.concat(parts, F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d,.]*%?"), F.lit(0))), parts))
+        return F.when(F.size(every) > 0, F.array_join(every, " ")).otherwise(F.trim(F.left(text, F.lit(200))))
+
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(let(found, of))
+
+
+def free_ids(wanted: Column) -> Column:
+    """``wanted`` ids in order, where one that is taken gets the least of _2, _3... that is not, by ids given before it as they are or with a suffix."""
+
+    def give(taken: Column, want: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(want, F.lit("_"), n.cast("string")))
+        return F.array_append(taken, F.when(F.array_contains(taken, want), F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), 0)).otherwise(want))
+
+    return F.aggregate(wanted, F.array().cast("array<string>"), give)
+
+
+def date_bounds(start: Column, end: Column, confidence: Column) -> tuple[Column, Column]:
+    """Bounds of a search: those of a window of high confidence that are not blank, each for itself."""
+    return tuple(F.when(confidence == "high", F.nullif(F.trim(c), F.lit(""))) for c in (start, end))
+
+
+def query_plan(runs: DataFrame, claims: DataFrame, entities: DataFrame, stopwords: list[str]) -> DataFrame:
+    """(run_id, pos, query_id, kind, claim_id, query_text, template_id, attempt, date_from, date_to): all searches of each run.
+
+    ``runs(run_id, headline, date_start, date_end, confidence)``, ``claims(run_id, pos, claim_id, text)`` that were
+    selected, ``entities(run_id, pos, text, type)``. First the ladder for the headline, if there is one: the phrase, its words, its keywords;
+    then two searches for each claim, for the event and for fact checks; then one for each person, organisation or
+    place, each name once by lower case. Ids are unique within a run. A run's plan is a few dozen rows and is
+    made within its row. Runs without anything to search have no rows; claims without an id are "unknown".
     """
-    w = words(F.col("headline"))
-    rows = runs.select("run_id", F.trim("headline").alias("h"), w.alias("w")).where("h <> ''")
-    kept = F.filter(F.array_distinct("w"), lambda x: (F.length(x) >= 3) & ~x.isin(stopwords))
-    best = F.slice(F.array_sort(F.transform(kept, lambda x, i: F.struct((-F.length(x)).alias("l"), i.alias("i"), x.alias("x")))), 1, keywords)
-    rows = rows.withColumn("k", F.array_join(F.transform(F.array_sort(F.transform(best, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"]), " "))
-    rung = lambda n, name, text: F.struct(F.lit(n).alias("attempt"), F.lit(name).alias("template_id"), text.alias("query_text"))
-    plan = rows.select("run_id", F.explode(F.array(rung(1, "exact", F.concat(F.lit('"'), F.col("h"), F.lit('"'))), rung(2, "loose", F.array_join("w", " ")), rung(3, "keyword", F.col("k")))).alias("r")).select("run_id", "r.*").where("query_text <> ''")
-    return plan.select("run_id", F.concat(F.lit("existence_"), "attempt").alias("query_id"), "template_id", "attempt", "query_text")
-
-
-def unique_ids(queries: DataFrame, id_col: str = "query_id", order: str = "pos") -> DataFrame:
-    """Repeats of an id within a run get _2, _3 and so on."""
-    n = F.row_number().over(Window.partitionBy("run_id", id_col).orderBy(order))
-    return queries.withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") > 1, F.concat_ws("_", id_col, F.col("_n").cast("string"))).otherwise(F.col(id_col))).drop("_n")
+    c = claims.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.nullif("claim_id", F.lit("")), F.lit("unknown")).alias("claim_id"), F.coalesce("text", F.lit("")).alias("text")))).alias("c"))
+    e = entities.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"), "type"))).alias("e"))
+    none = lambda col, like: F.coalesce(F.col(col), F.array().cast(like.schema[col].dataType))
+    rows = runs.join(c.hint("merge"), "run_id", "left").join(e.hint("merge"), "run_id", "left").withColumns({"c": none("c", c), "e": none("e", e)})
+    since, until = date_bounds(F.col("date_start"), F.col("date_end"), F.col("confidence"))
+
+    def q(wanted, kind, claim_id, text, template, attempt=1, dated=True) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct(wanted.alias("query_id"), F.lit(kind).alias("kind"), claim_id.alias("claim_id"), text.alias("query_text"), F.lit(template).alias("template_id"), F.lit(attempt).alias("attempt"), (F.col("since") if dated else nothing).alias("date_from"), (F.col("until") if dated else nothing).alias("date_to"))
+
+    no_claim, head = F.lit(None).cast("string"), F.col("head")
+    keys = headline_keywords(head, stopwords)
+    rows = rows.select("run_id", "c", "e", F.trim(F.coalesce("headline", F.lit(""))).alias("head"), since.alias("since"), until.alias("until"))
+    ladder = F.array_compact(F.array(
+        F.when(head != "", q(F.lit("q_exist_1"), "existence", no_claim, F.concat(F.lit('"'), head, F.lit('"')), "exist_exact", 1)), F.when(head != "", q(F.lit("q_exist_2"), "existence", no_claim, head, "exist_loose", 2)),
+        F.when((head != "") & (F.size(keys) > 0), q(F.lit("q_exist_3"), "existence", no_claim, F.array_join(keys, " "), "exist_keyword", 3)),
+    ))
+    names = F.transform("e", lambda x: x["text"])
+    of_claims = F.flatten(F.transform("c", lambda x: F.array(
+        q(F.concat(F.lit("q_claim_"), x["claim_id"]), "claim", x["claim_id"], claim_query(x["text"], names, stopwords), "claim_event"),
+        q(F.concat(F.lit("q_fc_"), x["claim_id"]), "factcheck", x["claim_id"], F.trim(F.left(x["text"], F.lit(200))), "factcheck", dated=False),
+    )))
+    looked = F.filter("e", lambda x: x["type"].isin(LOOKED_UP) & (x["text"] != ""))
+    lows = F.transform(looked, lambda x: F.lower(x["text"]))
+    once = F.filter(looked, lambda x, i: F.array_position(lows, F.lower(x["text"])) == i + 1)
+    of_names = F.transform(once, lambda x, i: q(F.concat(F.lit("q_entity_"), i.cast("string")), "entity", no_claim, x["text"], "entity_lookup", dated=False))
+    plan = rows.select("run_id", ladder.alias("l"), of_claims.alias("m"), of_names.alias("n")).select("run_id", F.concat("l", "m", "n").alias("p"))
+    given = plan.select("run_id", "p", free_ids(F.transform("p", lambda x: x["query_id"])).alias("ids"))
+    return given.select("run_id", F.posexplode(F.arrays_zip("p", "ids")).alias("pos", "x")).select("run_id", "pos", F.col("x.ids").alias("query_id"), *[f"x.p.{n}" for n in ("kind", "claim_id", "query_text", "template_id", "attempt", "date_from", "date_to")])
 
 
 def accept_rewrites(plan: DataFrame, rewritten: DataFrame) -> DataFrame:

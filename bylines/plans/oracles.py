@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bylines.plans.queries import SOURCES
-from bylines.schemas import AGGREGATORS, FAMILIES, LEGACY, NEGATIONS, NUMERIC, SUFFIXES, TRACKING
+from bylines.schemas import AGGREGATORS, FAMILIES, LEGACY, NEGATIONS, NON_VERBS, NUMERIC, SUFFIXES, TRACKING, VERB_ENDS
 
 
 def listed(values: list[str]) -> str:
@@ -122,6 +122,27 @@ MERGED = f"""RECURSIVE {sentence_ctes('s', 8)}, {sentence_ctes('l', 8, LINE)},
     merged AS (SELECT doc_id, 'c' || row_number() OVER (PARTITION BY doc_id ORDER BY start, old, part, x) AS claim_id, text, kind, start, "end", agreement, agreement_note, variants FROM every)"""
 
 
+SELECTION = rf"""{sentence_ctes('s', 1 << 40)}, c AS (SELECT doc_id, 'c' || pos AS claim_id, pos, claim, CAST(CASE WHEN regexp_matches(claim, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(claim, '{NUMBER}') THEN 2 ELSE 0 END + CASE WHEN ends_with(claim, '?') THEN -3 ELSE 1 END + 1 + CASE WHEN ends_with(claim, '.') THEN 1 ELSE 0 END AS INT) AS score FROM s),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c)"""
+VERBS = "(" + "|".join(VERB_ENDS) + ")$"
+TOKENS = "regexp_extract_all({t}, '[A-Za-z][A-Za-z''\\-]*')"
+PLAN = rf"""seen AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z''\-]*'))) AS word FROM documents), stop AS (SELECT list(word) AS ws FROM (SELECT word FROM seen GROUP BY 1 HAVING count(*) * 4 >= (SELECT count(*) FROM documents))),
+    head AS (SELECT doc_id, trim(left(split_part(coalesce(text, ''), chr(10), 1), 120)) AS h, regexp_extract(coalesce(text, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS day FROM documents),
+    hw AS (SELECT doc_id, unnest({TOKENS.format(t='h')}) AS w, generate_subscripts({TOKENS.format(t='h')}, 1) AS i FROM head), hf AS (SELECT * FROM hw, stop WHERE length(w) >= 3 AND NOT list_contains(ws, lower(w)) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) = 1),
+    hk AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS keys FROM (SELECT * FROM hf QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN regexp_matches(w, '^[A-Z]') THEN 0 ELSE 1 END, -length(w), i) <= 6) GROUP BY 1),
+    en AS (SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS spot FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS l FROM documents)), ed AS (SELECT doc_id, name, min(spot) AS spot FROM en GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(spot)) <= 30),
+    el AS (SELECT doc_id, list(name ORDER BY spot) AS names FROM ed GROUP BY 1),
+    pc AS (SELECT r.doc_id, r.claim_id, r.claim, r.rank, list_filter(coalesce(names, []), lambda x: regexp_matches(lower(r.claim), '(^|[^\p{{L}}\p{{Nd}}_])' || lower(x) || '($|[^\p{{L}}\p{{Nd}}_])')) AS f FROM r LEFT JOIN el USING (doc_id) WHERE r.rank <= 5 AND r.score >= 0),
+    pw AS (SELECT doc_id, claim_id, f, unnest({TOKENS.format(t='claim')}) AS w, generate_subscripts({TOKENS.format(t='claim')}, 1) AS i FROM pc),
+    pv AS (SELECT doc_id, claim_id, arg_min(lower(w), (CASE WHEN regexp_matches(lower(w), '(ed|ing)$') THEN 0 ELSE 1 END, i)) AS verb FROM pw, stop WHERE length(w) >= 4 AND regexp_matches(lower(w), '{VERBS}') AND NOT list_contains(ws, lower(w)) AND lower(w) NOT IN ({listed(NON_VERBS)}) AND NOT list_contains(string_split(lower(array_to_string(f, ' ')), ' '), lower(w)) GROUP BY 1, 2),
+    pn AS (SELECT doc_id, claim_id, string_agg(n, ' ' ORDER BY i) AS nums FROM (SELECT doc_id, claim_id, n, min(i) AS i FROM (SELECT doc_id, claim_id, unnest(regexp_extract_all(claim, '[0-9][0-9,.]*%?')) AS n, generate_subscripts(regexp_extract_all(claim, '[0-9][0-9,.]*%?'), 1) AS i FROM pc) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    pq AS (SELECT pc.*, concat_ws(' ', CASE WHEN len(f) > 0 THEN array_to_string(f, ' ') END, verb, nums) AS q FROM pc LEFT JOIN pv USING (doc_id, claim_id) LEFT JOIN pn USING (doc_id, claim_id)),
+    lk AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS i FROM (SELECT * FROM ed WHERE len(string_split(name, ' ')) IN (2, 3) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY spot) = 1)),
+    plan AS (SELECT doc_id, 0 AS part, 1 AS spot, 0 AS sub, 'q_exist_1' AS query_id, 'existence' AS kind, NULL AS claim_id, '"' || h || '"' AS query_text, 'exist_exact' AS template_id, 1 AS attempt FROM head WHERE h <> ''
+        UNION ALL SELECT doc_id, 0, 2, 0, 'q_exist_2', 'existence', NULL, h, 'exist_loose', 2 FROM head WHERE h <> '' UNION ALL SELECT doc_id, 0, 3, 0, 'q_exist_3', 'existence', NULL, keys, 'exist_keyword', 3 FROM hk
+        UNION ALL SELECT doc_id, 1, rank, 0, 'q_claim_' || claim_id, 'claim', claim_id, CASE WHEN q = '' THEN trim(left(claim, 200)) ELSE q END, 'claim_event', 1 FROM pq UNION ALL SELECT doc_id, 1, rank, 1, 'q_fc_' || claim_id, 'factcheck', claim_id, trim(left(claim, 200)), 'factcheck', 1 FROM pq
+        UNION ALL SELECT doc_id, 2, i, 0, 'q_entity_' || i, 'entity', NULL, name, 'entity_lookup', 1 FROM lk)"""
+
 ORACLE_SQL = {
     "pages_vs_newsrooms_per_claim": f"{components(CLAIM_NODES, True)} SELECT item_id AS claim, count(doc) AS document_count, count(DISTINCT source) AS independent_source_count, count(doc) - count(DISTINCT source) AS republished FROM benchmark LEFT JOIN found ON run = item_id GROUP BY 1",
     "old_vs_new_counts": f"{components(CLAIM_NODES, True)} SELECT run AS claim, count(*) AS pages, count(DISTINCT publisher_id) AS old, count(DISTINCT source) AS new, count(DISTINCT publisher_id) - count(DISTINCT source) AS delta, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM found JOIN h USING (doc) GROUP BY 1",
@@ -156,10 +177,10 @@ ORACLE_SQL = {
     "heuristic_claims": f'WITH {sentence_ctes("s")} SELECT doc_id, claim_id, claim, start, "end" FROM s',
     "claim_grounding": f"WITH {sentence_ctes('s')} SELECT doc_id, count(*) FILTER (contains(d.text, quote)) AS exact, count(*) FILTER (NOT contains(d.text, quote || '~~')) AS ungrounded, min(instr(d.text, quote) - 1) AS first_start FROM s JOIN documents d USING (doc_id) GROUP BY 1",
     "heuristic_entities": r"WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS entity FROM documents) SELECT doc_id, entity, count(*) AS mentions FROM e GROUP BY 1, 2",
-    "claim_selection": rf"""WITH {sentence_ctes('s', 1 << 40)}, c AS (SELECT doc_id, 'c' || pos AS claim_id, pos, CAST(CASE WHEN regexp_matches(claim, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(claim, '{NUMBER}') THEN 2 ELSE 0 END + CASE WHEN ends_with(claim, '?') THEN -3 ELSE 1 END + 1 + CASE WHEN ends_with(claim, '.') THEN 1 ELSE 0 END AS INT) AS score FROM s),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM c) SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r""",
+    "claim_selection": f"WITH {SELECTION} SELECT doc_id, claim_id, score, rank, rank <= 5 AND score >= 0 AS selected FROM r",
     "entity_disagreements": r"""WITH a AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')))) AS e FROM documents), b AS (SELECT DISTINCT doc_id, lower(unnest(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 8))) AS e FROM documents),
         o AS (SELECT doc_id, 'a' AS side FROM a ANTI JOIN b USING (doc_id, e) UNION ALL SELECT doc_id, 'b' FROM b ANTI JOIN a USING (doc_id, e)) SELECT doc_id, count(*) FILTER (side = 'a') AS only_a, count(*) FILTER (side = 'b') AS only_b FROM o GROUP BY 1""",
+    "query_plan": rf"""WITH {SELECTION}, {PLAN} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, spot, sub) - 1 AS pos, query_id, kind, claim_id, query_text, template_id, attempt, CASE WHEN kind IN ('existence', 'claim') AND day <> '' THEN day END AS date_from, CASE WHEN kind IN ('existence', 'claim') AND day <> '' THEN day END AS date_to FROM plan JOIN head USING (doc_id)""",
     "two_pass_reconcile": f"WITH {MERGED} SELECT doc_id, count(*) AS claims, count(*) FILTER (agreement = 'both') AS agreed, round_even(count(*) FILTER (agreement = 'both') / count(*), 4) AS agreement_rate FROM merged GROUP BY 1",
     "merged_claims": f'WITH {MERGED} SELECT doc_id, claim_id, text, kind, start, "end", agreement, agreement_note, variants FROM merged',
     "entity_merge": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM documents), la AS (SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')) AS l FROM w), lb AS (SELECT doc_id, list_filter(l, lambda x: length(x) >= 8) AS l FROM w),

@@ -14,12 +14,13 @@ from bylines.operators import claims as C
 from bylines.operators import dedupe as D
 from bylines.operators import grounding as G
 from bylines.operators import independence as I
+from bylines.operators import plan as Q
 from bylines.operators import report as R
 from bylines.operators import search as S
 from bylines.operators import similarity as J
 from bylines.operators import stance as T
 from bylines.operators import trace as E
-from bylines.schemas import MAX_BYTES, PASS_CLAIMS, STATUS_RANK
+from bylines.schemas import MAX_BYTES, MOST_NAMES, PASS_CLAIMS, STATUS_RANK
 from bylines.scratch import shared_dir, written
 from bylines.sources.tables import claims, hits, key_of, owners, table
 from bylines.streaming import independence as N
@@ -296,6 +297,23 @@ def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("run_id").alias("doc_id"), "claim_id", "start", "end", "grounding", "claim_source")
 
 
+def query_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches of every document as an article: its first line, its selected claims, and the names in it; words of a quarter of all documents are stopwords."""
+    docs = table(spark, sf, "documents")
+    said = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z'\\-]*"), F.lit(0)))).alias("word"))
+    common = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 4 >= docs.count())
+    stopwords = sorted(r["word"] for r in common.collect())  # at most four times the words of a mean document
+    window = F.regexp_extract("text", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
+    runs = hits(spark, sf).select(F.col("doc").alias("run_id"), F.col("title").alias("headline"), window.alias("date_start"), window.alias("date_end"), F.lit("high").alias("confidence"))
+    s = C.every_sentence(docs, "doc_id", "text")
+    picked = claim_selection(spark, sf).where("selected").select(F.col("doc_id").alias("id"), "claim_id", "rank")
+    chosen = written(s.join(picked.hint("merge"), ["id", "claim_id"]).select(F.col("id").alias("run_id"), F.col("rank").alias("pos"), "claim_id", F.col("claim").alias("text")))
+    runs_of = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))
+    names = docs.select(F.col("doc_id").alias("run_id"), F.posexplode(F.slice(F.array_distinct(runs_of), 1, MOST_NAMES)).alias("pos", "text"))
+    typed = names.withColumn("type", F.when(F.size(F.split("text", " ")) == 2, "PERSON").when(F.size(F.split("text", " ")) == 3, "ORG").otherwise("OTHER"))
+    return Q.query_plan(runs, chosen, written(typed), stopwords).withColumnRenamed("run_id", "doc_id")
+
+
 def _extractors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
 
@@ -480,7 +498,7 @@ def stream_trace_tail(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     pages_vs_newsrooms_per_claim, passage_search, exact_url_dedupe, publisher_identity, source_bands, fetch_taxonomy, html_title, shingle_jaccard_pairs, shingle_classes,
     body_hash_reprint_groups, same_owner_groups, independent_sources, merge_evidence, old_vs_new_counts, capability_gate, adapter_rollup, coverage_report, existence_ladder,
-    existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
+    existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, query_plan, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
     trigram_rank_hashed, vector_topk, stance_window, lexical_stance, source_join_misses, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
     layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, stream_live_state, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
 )}

@@ -38,3 +38,9 @@ OVERLAP, PASS_CLAIMS = 0.5, 8
 LIKE_ASCII = {
     "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00ab": '"', "\u00bb": '"', "\u2032": "'", "\u2033": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-",
 }
+KEYWORDS, MOST_NAMES = 6, 30
+LOOKED_UP = ["PERSON", "ORG", "GPE"]
+VERB_ENDS = ["ed", "ing", "ises", "izes", "ise", "ize", "ates", "ate", "s"]
+NON_VERBS = [
+    "is", "was", "are", "were", "be", "been", "being", "has", "have", "had", "does", "did", "this", "his", "its", "as", "us", "news", "press", "series", "process", "business", "access", "analysis", "crisis",
+]
