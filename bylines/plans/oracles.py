@@ -200,6 +200,7 @@ ORACLE_SQL = {
     "claim_source_matrix": f"WITH {STANCE}, v AS (SELECT claim, source, CASE label WHEN 'entailment' THEN score WHEN 'contradiction' THEN -score ELSE 0.0 END AS x FROM st) SELECT claim, " + ", ".join(f"coalesce(max_by(x, abs(x)) FILTER (source = '{s}'), 0.0) AS {s}" for s in SOURCES) + " FROM v GROUP BY 1",
     "trace_runs": f"WITH {EVENTS}, f AS (SELECT *, CASE WHEN lag(layer) OVER w IS NOT DISTINCT FROM layer AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS BIGINT) AS island FROM f) SELECT run_id, island, layer, count(*) AS n, max_by(status, (ts, event_id)) AS last_status, count(DISTINCT detail) AS details FROM i GROUP BY 1, 2, 3",
     "layer_status": f"WITH {EVENTS}, g AS (SELECT run_id, layer, max_by(status, (ts, event_id)) FILTER (status <> 'running') AS last, min((ts, event_id)) FILTER (status = 'error') AS e, max((ts, event_id)) FILTER (status IN ('ok', 'empty', 'skipped')) AS ok FROM ev GROUP BY 1, 2) SELECT run_id, layer, CASE WHEN e < ok AND last <> 'error' THEN 'degraded' ELSE coalesce(last, 'running') END AS status FROM g",
+    "run_history_sink": f"""WITH {EVENTS.replace("AS detail FROM", "AS detail, props FROM")} SELECT CAST(run_id AS VARCHAR) AS run_id, min(ts) AS created_at, max(ts) AS updated_at, max_by(layer, (ts, event_id)) AS phase, max_by(status, (ts, event_id)) AS status, CAST(count(*) FILTER (status = 'ok') AS INT) AS completed_layer, max_by(props, (ts, event_id)) AS envelope FROM ev GROUP BY 1""",
     "live_run_state": f"WITH {EVENTS} SELECT run_id, max_by(layer, (ts, event_id)) AS layer, max_by(status, (ts, event_id)) AS status, count(*) AS n_events, count(*) FILTER (status = 'error') AS errors FROM ev GROUP BY 1",
     "run_history": "WITH l AS (SELECT user_id AS run_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1) SELECT run_id, last_event, row_number() OVER (ORDER BY ts DESC, last_event DESC) AS place FROM l",
     "message_sequence": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq FROM conversations",

@@ -22,6 +22,7 @@ from bylines.operators import stance as T
 from bylines.operators import trace as E
 from bylines.schemas import MAX_BYTES, MOST_NAMES, PASS_CLAIMS, STATUS_RANK
 from bylines.scratch import shared_dir, written
+from bylines.sources import history as H
 from bylines.sources.tables import claims, hits, key_of, owners, table
 from bylines.streaming import independence as N
 from bylines.streaming import pages as P
@@ -479,6 +480,23 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
     return placed.join(days.withColumn("later", later).select("day", "later"), "day").select("run_id", F.col("x.event_id").alias("last_event"), (F.col("later") + F.col("i")).alias("place"))
 
 
+def run_history_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run saved by two writers, after each of its days by one and at its end by the other, the first one's saves once more; what the table lists in the end."""
+    e = _events(spark, sf).withColumn("day", F.to_date("ts"))
+
+    def states(rows: DataFrame, *by: str) -> DataFrame:
+        at = F.struct("ts", "event_id")
+        last = rows.groupBy("run_id", *by).agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.max_by("layer", at).alias("phase"), F.max_by("status", at).alias("status"), F.count_if(F.col("status") == "ok").cast("int").alias("completed_layer"), F.max_by("props", at).alias("envelope"))
+        none = F.lit(None).cast("string")
+        return written(last.select(F.col("run_id").cast("string").alias("run_id"), "created_at", "updated_at", none.alias("original_text"), none.alias("original_url"), none.alias("headline"), "phase", "status", "completed_layer", "envelope"))
+
+    history = H.RunHistory(spark, f"{shared_dir(spark)}/bylines-tables/{uuid.uuid4().hex}")
+    daily, whole = states(e, "day"), states(e)
+    for rows, name in ((daily, "a-days"), (whole, "b-end"), (daily, "a-days")):
+        history.save(rows, name)
+    return history.latest().select("run_id", "created_at", "updated_at", "phase", "status", "completed_layer", "envelope")
+
+
 def message_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return E.message_sequence(table(spark, sf, "conversations"), "conv_id", ["turn", "role", "text"]).select("conv_id", "turn", "role", "seq")
 
@@ -500,5 +518,5 @@ QUERIES = {f.__name__: f for f in (
     body_hash_reprint_groups, same_owner_groups, independent_sources, merge_evidence, old_vs_new_counts, capability_gate, adapter_rollup, coverage_report, existence_ladder,
     existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, query_plan, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
     trigram_rank_hashed, vector_topk, stance_window, lexical_stance, source_join_misses, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
-    layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, stream_live_state, live_run_state, run_history, message_sequence, stream_page_dedupe, stream_trace_tail,
+    layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, stream_live_state, live_run_state, run_history, run_history_sink, message_sequence, stream_page_dedupe, stream_trace_tail,
 )}
