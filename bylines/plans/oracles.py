@@ -194,6 +194,10 @@ ORACLE_SQL = {
     "overall_state": f"WITH {FUSED} SELECT run_id, CASE WHEN bool_and(state = 'not_assessed') THEN 'not_assessed' WHEN bool_or(state = 'contested_reporting') THEN 'contested_reporting' WHEN bool_or(agreement = 'contested') THEN 'contested' WHEN bool_or(state = 'corroborated_coverage') THEN 'corroborated_coverage' WHEN bool_or(state = 'event_corroborated') THEN 'event_corroborated' WHEN bool_or(state = 'single_source') THEN 'single_source' ELSE 'no_corroboration_found' END AS state FROM fused GROUP BY 1",
     "support_rate": f"""WITH {FUSED}, n AS (SELECT run_id, count(*) AS claims, count(*) FILTER (state <> 'not_assessed') AS s, count(*) FILTER (state IN ('corroborated_coverage', 'event_corroborated')) AS b, count(*) FILTER (state IN ('contested', 'contested_reporting')) AS c, CASE WHEN run_id = 6 THEN 'out_of_range' WHEN count(*) FILTER (state <> 'not_assessed') = 0 THEN 'not_assessed' END AS why FROM fused GROUP BY 1)
         SELECT run_id, CASE WHEN why IS NULL THEN s ELSE 0 END AS scored, CASE WHEN why IS NULL THEN b ELSE 0 END AS backed, CASE WHEN why IS NULL THEN c ELSE 0 END AS contested, claims - CASE WHEN why IS NULL THEN s ELSE 0 END AS unassessed, CASE WHEN why IS NULL THEN CAST(round_even(100.0 * b / s, 0) AS INT) END AS support_pct, why AS omitted_because FROM n""",
+    "analyst_stances": f"""WITH {STANCE.replace("st AS (SELECT claim, doc, source,", "st AS (SELECT claim, doc, source, source_id,").replace("sw AS (SELECT claim, doc, source,", "sw AS (SELECT claim, doc, source, source_id,")}, lab AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1)
+        SELECT claim % 7 AS run_id, 'c' || claim AS claim_id, source_id, CASE WHEN claim % 7 = 6 THEN NULL WHEN q = 1 THEN 'supports' WHEN q = 0 THEN 'refutes' ELSE 'unrelated' END AS analyst_stance FROM st LEFT JOIN lab ON doc_id = doc""",
+    "analyst_intake": f"""WITH {STANCE}, c AS (SELECT claim % 7 AS run_id, count(DISTINCT claim) AS n FROM st GROUP BY 1)
+        SELECT run_id, CASE WHEN run_id = 6 THEN 0 ELSE n END AS rows, CASE WHEN run_id = 6 THEN 0 ELSE n END AS dropped, CASE WHEN run_id = 6 THEN 0 ELSE n END AS participating, CASE WHEN run_id = 6 THEN 1 ELSE 0 END AS rejects FROM c""",
     "source_join_misses": f"""WITH {DESKS} SELECT run AS run_id, count(*) AS documents, count(DISTINCT CASE WHEN reason = 'same_owner' THEN 'page ' || doc ELSE 'source ' || source END) AS sources, count(*) FILTER (reason = 'same_owner') AS misses FROM found GROUP BY 1""",
     "stream_live_state": f"""WITH {EVENTS}, l AS (SELECT run_id, max_by(layer, (ts, event_id)) AS layer, max_by(status, (ts, event_id)) AS status, count(*) AS n_events, count(*) FILTER (status = 'error') AS errors, max(ts) AS ts FROM ev GROUP BY 1),
         q AS (SELECT *, status = 'running' AND ts + INTERVAL 1 HOUR < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR AS stale FROM l) SELECT run_id, layer, CASE WHEN stale THEN 'error' ELSE status END AS status, n_events, errors, stale FROM q""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bylines.functions import url as U
 from bylines.functions.text import first_that
 from bylines.operators import agreement as A
+from bylines.operators import analyst as Y
 from bylines.operators import claims as C
 from bylines.operators import dedupe as D
 from bylines.operators import grounding as G
@@ -392,6 +393,34 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return written(T.fuse_claims(runs, met, existence))
 
 
+def _analyst(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs by desk, and rows and rejects of an analyst who reads the editorial labels, names one document nobody showed for each claim, and sends no list for desk 6."""
+    labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("doc")).agg(F.max("quality").alias("quality"))
+    pairs = _stances(spark, sf).join(labels.hint("merge"), "doc", "left").select((F.col("claim") % 7).alias("run_id"), F.concat(F.lit("c"), F.col("claim").cast("string")).alias("claim_id"), "source_id", "quality")
+    pairs = written(pairs)
+    ids = lambda c: F.collect_list(F.when(c, F.col("source_id")))
+    q = F.col("quality")
+    said = pairs.groupBy("run_id", "claim_id").agg(F.array_append(ids(q == 1), F.lit("s0")).alias("supported_by"), ids(q == 0).alias("contradicted_by"), ids(q.isNull()).alias("unrelated"))
+    text = F.to_json(F.struct(F.collect_list(F.struct("claim_id", "supported_by", "contradicted_by", "unrelated")).alias("claims")))
+    sent = said.groupBy("run_id").agg(text.alias("payload")).withColumn("payload", F.when(F.col("run_id") == 6, F.lit('{"claims": null}')).otherwise(F.col("payload")))
+    return pairs, *(written(x) for x in Y.take_in(written(sent), pairs.select("run_id", "source_id").distinct()))
+
+
+def analyst_stances(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, rows, _ = _analyst(spark, sf)
+    return Y.attach_stances(pairs, rows).select("run_id", "claim_id", "source_id", "analyst_stance")
+
+
+def analyst_intake(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, rows that take part, dropped ids and rejects of each desk."""
+    pairs, rows, rejects = _analyst(spark, sf)
+    took = Y.participated(rows).groupBy("run_id").agg(F.count(F.lit(1)).alias("participating"))
+    per = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("dropped").alias("dropped"))
+    lost = rejects.groupBy("run_id").agg(F.count(F.lit(1)).alias("rejects"))
+    met = pairs.select("run_id").distinct().join(per, "run_id", "left").join(took, "run_id", "left").join(lost, "run_id", "left")
+    return met.fillna(0, ["rows", "dropped", "participating", "rejects"])
+
+
 def source_join_misses(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and newsrooms of each desk when only pages without an owner were grouped, so the others are their own sources, and counted as misses."""
     pairs, sources = _evidence_sources(spark, sf)
@@ -517,6 +546,6 @@ QUERIES = {f.__name__: f for f in (
     pages_vs_newsrooms_per_claim, passage_search, exact_url_dedupe, publisher_identity, source_bands, fetch_taxonomy, html_title, shingle_jaccard_pairs, shingle_classes,
     body_hash_reprint_groups, same_owner_groups, independent_sources, merge_evidence, old_vs_new_counts, capability_gate, adapter_rollup, coverage_report, existence_ladder,
     existence_class, heuristic_claims, claim_grounding, heuristic_entities, claim_selection, query_plan, two_pass_reconcile, entity_merge, entity_disagreements, trigram_rank,
-    trigram_rank_hashed, vector_topk, stance_window, lexical_stance, source_join_misses, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
+    trigram_rank_hashed, vector_topk, stance_window, lexical_stance, source_join_misses, analyst_stances, analyst_intake, claim_fusion, overall_state, support_rate, risk_rules, claim_source_matrix, verification_record, trace_runs,
     layer_status, publisher_dedupe, merged_claims, quote_grounding, incremental_independence, stream_live_state, live_run_state, run_history, run_history_sink, message_sequence, stream_page_dedupe, stream_trace_tail,
 )}

@@ -44,3 +44,4 @@ VERB_ENDS = ["ed", "ing", "ises", "izes", "ise", "ize", "ates", "ate", "s"]
 NON_VERBS = [
     "is", "was", "are", "were", "be", "been", "being", "has", "have", "had", "does", "did", "this", "his", "its", "as", "us", "news", "press", "series", "process", "business", "access", "analysis", "crisis",
 ]
+SLOTS = ["date", "place", "number", "actor", "other"]
