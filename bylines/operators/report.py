@@ -9,11 +9,12 @@ from bylines.functions.text import first_that
 
 
 def publication_risk(state: Column) -> Column:
-    return first_that([(state.isin("corroborated_coverage", "event_corroborated"), "low"), (state == "single_source", "medium"), (state.isin("not_assessed", "no_corroboration_found"), "unknown")], "high")
+    return first_that([(state.isin("corroborated_coverage", "event_corroborated"), "low"), (state == "single_source", "moderate"), (state == "not_assessed", "unknown")], "high")
 
 
 def recommendation(state: Column) -> Column:
-    return first_that([(state.isin("corroborated_coverage", "event_corroborated"), "proceed"), (state == "single_source", "seek_second_source"), (state.isin("contested", "contested_reporting"), "editor_review")], "more_research")
+    """The decision that rules propose to an editor; none of them says that a claim is false."""
+    return first_that([(state.isin("corroborated_coverage", "event_corroborated"), "verified"), (state.isin("contested", "contested_reporting", "single_source", "not_assessed"), "needs_investigation")], "unverifiable")
 
 
 def risk_rules(states: DataFrame, counts: DataFrame, rates: DataFrame, existence: DataFrame) -> DataFrame:

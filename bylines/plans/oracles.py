@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bylines.plans.queries import SOURCES
-from bylines.schemas import AGGREGATORS, FAMILIES, LEGACY, NEGATIONS, NON_VERBS, NUMERIC, SUFFIXES, TRACKING, VERB_ENDS
+from bylines.schemas import AGGREGATORS, FAMILIES, LEGACY, NEGATIONS, NON_VERBS, NUMERIC, PAYWALL_MARKERS, SUFFIXES, TRACKING, VERB_ENDS
 
 
 def listed(values: list[str]) -> str:
@@ -159,10 +159,10 @@ ORACLE_SQL = {
     "exact_url_dedupe": f"WITH c AS (SELECT {CANONICAL} AS canonical, page_id, url, (trim(url) <> '')::INT + (trim(html) <> '')::INT AS completeness FROM pages) SELECT canonical, page_id, completeness FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY completeness DESC, url, page_id) = 1",
     "publisher_identity": f"SELECT page_id, {DOMAIN} AS domain, {DOMAIN} AS publisher FROM pages",
     "source_bands": f"WITH p AS (SELECT {DOMAIN} AS domain FROM pages), f AS (SELECT domain, {FAMILY} AS family FROM p) SELECT CASE WHEN contains(domain, 'google.com') OR domain IN ({listed(AGGREGATORS)}) THEN 'aggregator' WHEN family IN ({listed(LEGACY)}) THEN 'known_legacy' ELSE 'unknown' END AS band, count(*) AS pages, count(DISTINCT family) AS families FROM f GROUP BY 1",
-    "fetch_taxonomy": """WITH s AS (SELECT page_id, html, CASE page_id % 17 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 418 ELSE 200 END AS http_status, length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS body, len(regexp_extract_all(html, '(?i)<script\\b')) AS scripts FROM pages),
-        r AS (SELECT page_id, http_status, CASE WHEN http_status IN (401, 403, 429) THEN 'blocked' WHEN http_status IN (404, 410) THEN 'not_found' WHEN http_status >= 500 THEN 'server_error' WHEN http_status >= 400 THEN 'http_error' WHEN strlen(html) > 5000000 THEN 'too_large' WHEN body >= 80 THEN 'ok'
-        WHEN regexp_matches(html, '(?i)subscribe to continue|paywall') THEN 'empty_paywall' WHEN scripts >= 8 OR scripts >= 5 AND length(html) > 1500 THEN 'empty_js_required' ELSE 'empty_not_article' END AS fetch_reason FROM s)
-        SELECT *, CASE WHEN fetch_reason = 'ok' THEN 'ok' WHEN starts_with(fetch_reason, 'empty_') THEN 'empty' ELSE 'error' END AS fetch_status FROM r""",
+    "fetch_taxonomy": f"""WITH s AS (SELECT page_id, html, CASE page_id % 17 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 418 WHEN 5 THEN NULL ELSE 200 END AS http_status, length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS body, len(regexp_extract_all(html, '(?i)<script\\b')) AS scripts FROM pages),
+        r AS (SELECT page_id, http_status, body, CASE WHEN page_id % 17 = 5 THEN ['error_timeout', 'error_tls', 'error_dns', 'error_other'][page_id % 4 + 1] WHEN http_status = 403 THEN 'error_blocked' WHEN http_status = 404 THEN 'error_not_found' WHEN http_status = 503 THEN 'error_server' WHEN http_status = 418 THEN 'error_other' WHEN strlen(html) > 5000000 THEN 'error_too_large'
+            WHEN page_id % 19 = 1 THEN 'error_unsupported_type' WHEN body >= 80 THEN 'ok' WHEN {" OR ".join(f"contains(lower(html), '{m}')" for m in PAYWALL_MARKERS)} THEN 'empty_paywall' WHEN scripts >= 8 OR (scripts >= 5 AND length(html) > 1500) THEN 'empty_js_required' ELSE 'empty_not_article' END AS fetch_reason FROM s)
+        SELECT page_id, http_status, body AS extracted_char_count, fetch_reason, CASE WHEN fetch_reason = 'ok' THEN 'ok' WHEN starts_with(fetch_reason, 'empty_') THEN 'empty' ELSE 'error' END AS fetch_status FROM r""",
     "html_title": r"""SELECT page_id, left(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 240) AS title FROM pages""",
     "shingle_jaccard_pairs": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs",
     "shingle_classes": f"WITH {CLASSES} SELECT doc, rep FROM dk",
@@ -211,3 +211,23 @@ ORACLE_SQL = {
     "stream_page_dedupe": f"SELECT DISTINCT {CANONICAL} AS grouping_url FROM pages",
     "stream_trace_tail": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
 }
+
+
+OUTLETS = "list_sort(list(DISTINCT publisher_id))"
+EVIDENCE = "CASE reason WHEN 'none' THEN 'independent' ELSE reason END || ': ' || array_to_string(outlets[1:6], ', ') || CASE WHEN len(outlets) > 6 THEN ' and ' || (len(outlets) - 6) || ' more' ELSE '' END"
+SUMMED = f"summed AS (SELECT run, source, reason, count(*) AS members, {OUTLETS} AS outlets FROM found JOIN h USING (doc) GROUP BY ALL)"
+BY_DESK = f"SELECT claim % 7 AS run_id, sum(independent_source_count) AS newsrooms, sum(republished) AS republished FROM ({ORACLE_SQL['pages_vs_newsrooms_per_claim']}) GROUP BY 1"
+
+ORACLE_SQL |= {
+    "merge_evidence": f"{components(ALL_NODES, True)}, {SUMMED} SELECT source, reason, members, {EVIDENCE} AS evidence FROM summed",
+    "risk_rules": f"""SELECT o.run_id, o.state, CASE WHEN o.state IN ('corroborated_coverage', 'event_corroborated') THEN 'verified' WHEN o.state IN ('contested', 'contested_reporting', 'single_source', 'not_assessed') THEN 'needs_investigation' ELSE 'unverifiable' END AS recommendation,
+            CASE WHEN o.state IN ('corroborated_coverage', 'event_corroborated') THEN 'low' WHEN o.state = 'single_source' THEN 'moderate' WHEN o.state = 'not_assessed' THEN 'unknown' ELSE 'high' END AS risk,
+            concat_ws(',', CASE WHEN o.run_id = 6 THEN 'search_never_ran' END, CASE WHEN o.run_id <> 6 AND o.run_id % 2 = 1 THEN 'article_not_found_elsewhere' END, CASE WHEN unassessed > 0 THEN 'claims_not_assessed' END, CASE WHEN support_pct IS NULL THEN 'no_support_rate' END,
+                CASE WHEN newsrooms <= 1 THEN 'at_most_one_newsroom' END, CASE WHEN republished > 0 THEN 'pages_republish_each_other' END, CASE WHEN contested > 0 THEN 'claims_contested' END, 'contradiction_not_detectable') AS unknowns
+        FROM ({ORACLE_SQL['overall_state']}) o LEFT JOIN ({BY_DESK}) c ON c.run_id = o.run_id LEFT JOIN ({ORACLE_SQL['support_rate']}) r ON r.run_id = o.run_id""",
+    "verification_record": f"""SELECT p.claim, p.document_count || ' pages, ' || p.independent_source_count || ' independent sources' AS evidence_summary, coalesce(listed, '') AS source_assessment, coalesce(n, 0) AS citations,
+            CASE WHEN support_pct IS NULL THEN 'No support rate: ' || coalesce(omitted_because, 'no_claims') ELSE support_pct || '% of ' || scored || ' scored claims are backed by independent reporting' END AS support_sentence
+        FROM ({ORACLE_SQL['pages_vs_newsrooms_per_claim']}) p LEFT JOIN ({ORACLE_SQL['support_rate']}) r ON r.run_id = p.claim % 7
+        LEFT JOIN ({components(CLAIM_NODES, True)}, {SUMMED}, e AS (SELECT run, source, {EVIDENCE} AS evidence, members FROM summed), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY source) AS i FROM e)
+            SELECT run, count(*) AS n, string_agg(evidence || ' (' || members || ')', '; ' ORDER BY i) FILTER (i <= 8) AS listed FROM k GROUP BY 1) l ON l.run = p.claim""",
+}

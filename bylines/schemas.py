@@ -1,7 +1,14 @@
 """Fixed values of the data model: enumerations, name lists and limits that results depend on."""
 
 # Fixed values.
-FETCH_REASONS = ["ok", "skipped_no_url", "blocked", "not_found", "server_error", "http_error", "too_large", "unsupported_type", "empty_paywall", "empty_js_required", "empty_not_article", "timeout", "tls", "dns"]
+FETCH_REASONS = [
+    "ok", "skipped_no_url", "empty_paywall", "empty_js_required", "empty_not_article", "error_dns", "error_timeout", "error_tls", "error_blocked", "error_not_found", "error_server", "error_unsupported_type", "error_too_large", "error_other",
+]
+PAYWALL_MARKERS = [
+    "subscribe to continue", "subscribe to read", "subscription-required", "piano-paywall", "data-paywall", 'id="paywall"', 'class="paywall"', "this article is for subscribers", "become a subscriber", "already a subscriber", "metered_paywall",
+]
+HTML_TYPES = ["text/html", "application/xhtml+xml"]
+MIN_BODY_CHARS = 80
 RAN = ["ok", "empty", "error"]
 STATUS_RANK = ["ok", "empty", "error", "skipped_no_key", "skipped_out_of_range"]
 MERGE_REASONS = ["same_wire", "same_owner", "reprint", "none"]
