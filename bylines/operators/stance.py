@@ -188,10 +188,10 @@ def support_rate(fused: DataFrame) -> DataFrame:
     """Counts and the half-even share of scored claims that are backed; null with a reason where it does not apply.
 
     Of a run whose article is out of range nothing counts as scored, whatever was. ``fused`` holds the claims
-    of runs; a row with a null claim stands for a run without any.
+    of runs; a row with a null state stands for a run without any claim.
     """
     out = fused.groupBy("run_id").agg(
-        F.count("claim").alias("claims"), F.count_if(F.col("state") != "not_assessed").alias("s"), F.count_if(F.col("state").isin(BACKED)).alias("b"), F.count_if(F.col("state").isin(CONTESTED)).alias("c"),
+        F.count("state").alias("claims"), F.count_if(F.col("state") != "not_assessed").alias("s"), F.count_if(F.col("state").isin(BACKED)).alias("b"), F.count_if(F.col("state").isin(CONTESTED)).alias("c"),
         F.coalesce(F.bool_or(F.col("existence") == "out_of_range"), F.lit(False)).alias("beyond"),
     )
     why = F.when(F.col("claims") == 0, "no_claims").when(F.col("beyond"), "out_of_range").when(F.col("s") == 0, "not_assessed")
