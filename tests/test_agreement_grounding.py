@@ -123,3 +123,34 @@ def test_segments_and_sources(spark):
     spans = locate_quotes(merged.select("run_id", "text"), spark.createDataFrame(quotes, "run_id long, claim_id string, source_quote string"))
     out = {(r.run_id, r.claim_id): (r.claim_source, r.grounding) for r in attribute_spans(spans, segments).collect()}
     assert out == {(1, "c1"): ("pasted", "exact"), (1, "c2"): ("fetched", "exact"), (1, "c3"): ("spans_both", "exact"), (1, "c4"): (None, "not_found"), (5, "c1"): (None, "not_found")}
+
+
+def plain_sentences(text, most=8):
+    out = [(m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in re.finditer(r"[^.?!]+[.?!]*", text) if len(m[0].strip()) > 40][:most]
+    return [q for _, q in out] or ([text.strip()[:400]] if text.strip() else [])
+
+
+def test_query_on_whole_tables_against_a_plain_version(spark):
+    from bylines.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    first = {}
+    for r in sorted(spark.read.parquet(f"{d}/conversations.parquet").collect(), key=lambda r: (r.turn, r.role, r.text)):
+        first.setdefault(r.conv_id, r.text)
+    flat = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).translate(str.maketrans(LIKE_ASCII)).casefold()).strip()
+    want = set()
+    for doc, fetched in docs.items():
+        pasted = first.get(doc) or ""
+        if pasted and fetched and flat(pasted) in flat(fetched):
+            pasted = ""
+        raw = pasted + ("\n\n" if pasted and fetched else "") + fetched
+        cut = len(raw) - len(fetched)
+        for i, q in enumerate(plain_sentences(raw), 1):
+            dressed = re.sub(r"\s+", "   ", q.translate(str.maketrans("'\"-", "’”—")), flags=re.ASCII)
+            quote = {1: q, 2: dressed, 3: re.sub(r"\A(\S+) \S+", r"\1 otherwise", q, flags=re.ASCII)}.get(i % 4)
+            start, end, how = plain_locate(raw, quote)
+            kinds = [] if start is None else [k for k, a, b in (("pasted", 0, cut), ("fetched", cut, len(raw))) if a < b and a < end and start < b]
+            want.add((doc, f"c{i}", start, end, how, None if not kinds else kinds[0] if len(kinds) == 1 else "spans_both"))
+    got = {(r.doc_id, r.claim_id, r.start, r.end, r.grounding, r.claim_source) for r in QUERIES["quote_grounding"](spark, d).collect()}
+    assert got == want and {r[4] for r in got} == {"exact", "normalised", "not_found"} and {"pasted", "fetched"} <= {r[5] for r in got}
