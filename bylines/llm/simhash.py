@@ -204,16 +204,16 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = written(word_views(df, id_col, text_col))
     sigs = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("views").alias("views")))
-    each = written(sigs.where("n > 0").select("node", F.posexplode("views").alias("view", "fp")))
-    heads = written(each.groupBy("view", "fp").agg(F.min("node").alias("head")))
-    equal = each.hint("merge").join(heads, ["view", "fp"]).where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    each = written(sigs.where("n > 0").select("node", "n", F.posexplode("views").alias("view", "fp")))
+    heads = written(each.groupBy("view", "fp").agg(F.min(F.struct("node", "n")).alias("head")))
+    sized = F.struct(F.col("node"), F.col("n"))
+    equal = each.hint("merge").join(heads, ["view", "fp"]).select(sized.alias("u"), F.col("head").alias("v"))
     near = written(near_links(heads.select("view", "fp"), ("view",), agreeing_cells))
     ends = near.hint("merge").join(heads.select("view", F.col("fp").alias("a"), F.col("head").alias("u")), ["view", "a"])
-    ends = ends.hint("merge").join(heads.select("view", F.col("fp").alias("b"), F.col("head").alias("v")), ["view", "b"]).where("u != v").select("u", "v")
-    pairs = equal.union(ends).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    size = sigs.select(F.col("node").alias("key"), "n")
-    sized = pairs.hint("merge").join(size.withColumnsRenamed({"key": "a", "n": "na"}), "a").hint("merge").join(size.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
-    asked = written(sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NEAR_PER_CENT))
+    ends = ends.hint("merge").join(heads.select("view", F.col("fp").alias("b"), F.col("head").alias("v")), ["view", "b"]).select("u", "v")
+    alike = (F.col("u.node") != F.col("v.node")) & (F.least("u.n", "v.n") * 100 >= F.greatest("u.n", "v.n") * NEAR_PER_CENT)
+    pairs = equal.union(ends).where(alike).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    asked = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
     keys = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
     wanted = written(sigs.select(F.col("least").alias("id"), F.col("node")).join(keys.hint("merge"), "node", "left_semi").select("id", F.col("node").alias("key")))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
