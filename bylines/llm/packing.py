@@ -35,6 +35,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.stays: dict[str, bool] = {}  # last characters, and whether they still are letters or digits in normal form
         self.known = {"": b""}
 
     def learn(self, words: list[str]) -> None:
@@ -56,7 +57,10 @@ class WordEncoder:
             return w, ""
         if stem.isascii():
             return stem.lower(), w[len(stem) :]
-        return (stem, w[len(stem) :]) if self.tokenizer.normalizer.normalize_str(stem)[-1:].isalnum() else (w, "")
+        last = stem[-1]
+        if last not in self.stays:
+            self.stays[last] = self.tokenizer.normalizer.normalize_str(last)[-1:].isalnum()
+        return (stem, w[len(stem) :]) if self.stays[last] else (w, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
