@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from bylines.llm.jaccard import Grams, key_of, similar_pairs, wanted_sets
-from bylines.llm.texts import give_back_memory, lower_ascii, text_or_empty
+from bylines.llm.jaccard import similar_sets
+from bylines.llm.texts import lower_ascii, text_or_empty
 from bylines.operators.components import connected_components
 from bylines.scratch import written
 
 SEGMENTS = 16  # of four bits: each count is 0 to 4 and takes one hex digit of a long
 SHINGLE_WORDS = 3
 DIRECT_CELL = 64  # fingerprints in a cell up to which pairs are compared directly
-VIEWS = 12  # fingerprints of a text in simhash_groups, each from other hashes of its words
-GROUPS = (0xFFF, 0xFFF << 12, 0xFFF << 24, 0xFFF << 36, 0x7FFF << 48)  # the 16 segments, of counts to 4, in five groups
-CACHED_WORDS = 100_000
+VIEWS = 12  # fingerprints of a text by which tests bound what simhash_groups must find from below
 NEAR_WORDS, NEAR_PER_CENT = 5, 80  # of shingles, and how many of them near duplicates share
 
 
@@ -86,12 +79,6 @@ def grid_cells(v: Column) -> Column:
     return F.filter(F.array(*cells), lambda c: c.isNotNull())
 
 
-def agreeing_cells(v: Column) -> Column:
-    """Ten cells, one for each three of the five groups of segments: points at distance 2 or less differ in two groups at most and share one."""
-    masks = [sum(GROUPS[g] for g in three) for three in combinations(range(len(GROUPS)), 3)]
-    return F.array(*[F.xxhash64(F.lit(i), v.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
-
-
 def near_links(fps: DataFrame, keys: tuple[str, ...] = (), cells: Callable[[Column], Column] = grid_cells) -> DataFrame:
     """All pairs (``keys``, a, b), a < b, of distinct fingerprints ``fp`` at Hamming distance 2 or less.
 
@@ -138,88 +125,20 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id", each).drop("_copy")
 
 
-class WordHasher:
-    """``VIEWS`` 64-bit hashes of a word, one row of a table for each; remembers words up to a bound, then starts over."""
-
-    def __init__(self):
-        self.odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(VIEWS)], np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.at, self.table = {}, np.zeros((1024, VIEWS), np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.at) > CACHED_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.at]
-        if new:
-            first = len(self.at)
-            self.at.update(zip(new, range(first, first + len(new)), strict=True))
-            if len(self.at) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((len(self.at), VIEWS), np.uint64)])
-            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)[:, None] * self.odd
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            self.table[first : first + len(new)] = h ^ (h >> np.uint64(32))
-        return self.table[[self.at[w] for w in words]]
-
-    def views(self, text: str | None) -> np.ndarray:
-        """The fingerprints of a text's set of words: a bit is 1 if set in over half of their hashes."""
-        words = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-        ones = np.zeros(64 * VIEWS, np.int64)
-        for i in range(0, len(words), 255):  # as many as a byte can count
-            bits = np.unpackbits(self.of(words[i : i + 255]).view(np.uint8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.uint8)
-        return np.packbits(ones * 2 > len(words), bitorder="little").view(np.int64)
-
-
-def word_views(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, n, views array) for each row: a name of the text's set of five-word shingles, its size, and ``VIEWS`` fingerprints of its words."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    schema = rows.select("id").schema.add("node", "binary").add("n", "integer").add("views", ArrayType(LongType()))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, grams = WordHasher(), Grams(NEAR_WORDS)
-        give_back_memory()
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                texts = part.column(1).to_pylist()
-                sets, found = grams.of(texts), [hasher.views(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(s) or b"" for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
-            give_back_memory()
-
-    return rows.mapInArrow(apply, schema)
-
-
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row: the smallest id reachable over verified links between near-duplicate texts.
-
-    Candidates differ in at most 2 bits in any of ``VIEWS`` fingerprints. These are of the set of words (A-Z lowered,
-    between ASCII white space), which an edit changes less than it changes shingles, and several of them find what one
-    misses. A candidate is a link if the texts share NEAR_PER_CENT of their five-word shingles, exactly; of
-    texts with an equal fingerprint each is compared with the first of them, and fingerprints near each other
-    stand for their first texts. Texts with equal shingles count once; null, empty and blank texts have none and are one group.
-    Repeated rows come out each; ids that are null are reached like others but never are the smallest. An empty table
-    gives no rows.
+    """(id, component_id) for every row: the smallest id reachable over links between near-duplicate texts.
+
+    Texts are linked if they share NEAR_PER_CENT of their five-word shingles, and no link between different texts is lost:
+    fingerprints, however many, miss some, so the pairs come from the exact join of operator 13, at this size and similarity.
+    What SimHash links and these shingles confirm is among them. Texts with equal shingles count once; null, empty and blank
+    texts have none and are one group. Repeated rows come out each; ids that are null are reached like others but never are
+    the smallest. An empty table gives no rows.
     """
-    rows = written(word_views(df, id_col, text_col))
-    sigs = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("views").alias("views")))
-    each = written(sigs.where("n > 0").select("node", "n", F.posexplode("views").alias("view", "fp")))
-    heads = written(each.groupBy("view", "fp").agg(F.min(F.struct("node", "n")).alias("head")))
-    sized = F.struct(F.col("node"), F.col("n"))
-    equal = each.hint("merge").join(heads, ["view", "fp"]).select(sized.alias("u"), F.col("head").alias("v"))
-    near = written(near_links(heads.select("view", "fp"), ("view",), agreeing_cells))
-    ends = near.hint("merge").join(heads.select("view", F.col("fp").alias("a"), F.col("head").alias("u")), ["view", "a"])
-    ends = ends.hint("merge").join(heads.select("view", F.col("fp").alias("b"), F.col("head").alias("v")), ["view", "b"]).select("u", "v")
-    alike = (F.col("u.node") != F.col("v.node")) & (F.least("u.n", "v.n") * 100 >= F.greatest("u.n", "v.n") * NEAR_PER_CENT)
-    pairs = equal.union(ends).where(alike).select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-    asked = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    keys = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).distinct()
-    wanted = written(sigs.select(F.col("least").alias("id"), F.col("node")).join(keys.hint("merge"), "node", "left_semi").select("id", F.col("node").alias("key")))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    links = written(similar_pairs(asked, written(wanted_sets(texts, NEAR_WORDS, wanted)), NEAR_PER_CENT))
-    comps = connected_components(links, "a", "b")
-    whole = sigs.select("node", "least").join(comps.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members, links = similar_sets(df, id_col, text_col, NEAR_WORDS, NEAR_PER_CENT, every_link=False)
+    rows = members.select("id", F.coalesce("key", F.lit(b"")).alias("node"))
+    least = rows.groupBy("node").agg(F.min("id").alias("least"))
+    comps = connected_components(links.select("a", "b"), "a", "b")
+    whole = written(least.hint("merge").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     smallest = written(whole.groupBy("component").agg(F.min("least").alias("component_id")))
     by_node = written(whole.join(smallest.hint("merge"), "component").select("node", "component_id"))
-    return rows.select("id", "node").join(by_node.hint("merge"), "node").select(F.col("id").alias(id_col), "component_id")
+    return rows.join(by_node.hint("merge"), "node").select(F.col("id").alias(id_col), "component_id")

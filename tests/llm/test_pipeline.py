@@ -63,3 +63,21 @@ def test_odd_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r.text) for r in out["exact dedup"]) == sorted([(2, "some text"), (4, ""), (0, rows[6][1]), (5, rows[8][1])])
     assert sorted(r.text or "" for r in out["secrets"] if r.doc_id is None) == ["a [SECRET] here"] * 2
     assert len(out["secrets"]) == len(rows) and sum(r.length for r in out["packing"] if r.doc_id in (3, 4)) == 2
+
+
+def test_near_dedup_leaves_out_no_pair(spark):
+    """Random texts of 20 to 200 words, each with an edited copy between 0.8 and 0.95 of its five-word shingles; short ones shift fingerprints most."""
+    import random
+
+    rng, rows, alike = random.Random(11), [], []
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for n in range(300):
+        ws = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200))]
+        other = ws + [f"u{rng.randrange(5000)}" for _ in range(rng.randrange(1, max(2, len(ws) // 5)))]
+        rows += [(2 * n, " ".join(ws)), (2 * n + 1, " ".join(other))]
+        x, y = shingles(ws), shingles(other)
+        alike.append(100 * len(x & y) >= 80 * len(x | y))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, D).collect()}
+    assert sum(alike) > 200
+    assert kept == {i for i, _ in rows if i % 2 == 0 or not alike[i // 2]}
