@@ -8,11 +8,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bylines.functions.text import first_that, let, long_words
 from bylines.schemas import BACKED, CONTESTED, MAX_EVIDENCE, NEGATIONS, SAME_ARTICLE, STANCE_THRESHOLD
+from bylines.scratch import written
 
 LOCAL_CELLS = 4_000_000  # bound of claims x grams that a task holds as a matrix
 
@@ -200,20 +202,50 @@ def support_rate(fused: DataFrame) -> DataFrame:
     return out.select("run_id", known("s").alias("scored"), known("b").alias("backed"), known("c").alias("contested"), (F.col("claims") - known("s")).alias("unassessed"), pct.alias("support_pct"), why.alias("omitted_because"))
 
 
-def vector_top_k(vectors: DataFrame, id_col: str, vec_col: str, every: int = 20, k: int = 5, blocks: int = 16) -> DataFrame:
+def vector_top_k(vectors: DataFrame, id_col: str, vec_col: str, every: int = 20, k: int = 5, block: int = 50_000, share: int = 100_000) -> DataFrame:
     """(query, neighbour, rank, cosine): for ids divisible by ``every``, the ``k`` nearest of all other rows.
 
-    The stated query set meets all rows block by block: queries are dealt into ``blocks`` so that a
-    task holds one block of queries against its share of rows, and only its k best per query move.
+    The stated query set meets all rows block by block: queries are dealt into blocks of about ``block`` and
+    rows into shares of about ``share``; a task multiplies a block by a share, as matrices of bounded size, and only
+    its k best per query move. The work is that of all pairs, and so quadratic; memory is not.
     """
     norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.where(F.size(vec_col) > 0).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double") / norm).alias("v"))
-    queries = unit.where(F.col("id") % every == 0).select(F.col("id").alias("query"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    rows = unit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("share", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    shares = queries.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = rows.hint("merge").join(shares, ["block", "share"]).where("id <> query")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = met.select("query", F.col("id").alias("neighbour"), "share", F.round(dot, 6).alias("cosine"))
-    order = [F.col("cosine").desc(), F.col("neighbour")]
-    local = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query", "share").orderBy(*order))).where(F.col("_r") <= k)
-    return top_k(local.drop("_r", "share"), "query", order, k)
+    unit = written(vectors.where((F.size(vec_col) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double") / norm).alias("v")))
+    asked = unit.where(F.col("id") % every == 0)
+    blocks = max(1, -(-asked.count() // block))
+    shares = max(8, -(-unit.count() // share))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.select("id", "v", deal(blocks).alias("block"), each(shares).alias("share"))
+    rows = unit.select("id", "v", each(blocks).alias("block"), deal(shares).alias("share"))
+    schema = "query long, neighbour long, cosine double"
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and r.num_rows:
+            r = r.sort_by("id")  # of equal cosines the smallest ids come first
+            ids, qids = r.column("id").to_numpy(), q.column("id").to_numpy()
+            sizes = pc.list_value_length(r.column("v")).to_numpy()
+            of_size = pc.list_value_length(q.column("v")).to_numpy()
+            for d in np.unique(of_size):
+                inside, asking = np.flatnonzero(sizes == d), np.flatnonzero(of_size == d)
+                if not len(inside):
+                    continue
+                matrix = lambda t, at: pc.list_flatten(t.column("v").take(pa.array(at))).to_numpy().reshape(len(at), d)  # noqa: E731, B023
+                m = matrix(r, inside)
+                for begin in range(0, len(asking), 64):
+                    at = asking[begin : begin + 64]
+                    c = matrix(q, at) @ m.T
+                    c[ids[inside][None, :] == qids[at][:, None]] = -np.inf
+                    n = min(k, c.shape[1])
+                    least = np.partition(c, c.shape[1] - n, axis=1)[:, -n]
+                    for j, row in enumerate(c):
+                        near = np.flatnonzero((row >= least[j] - 2e-6) & (row > -np.inf))  # what rounds to the same counts as equal
+                        score = np.round(row[near], 6) + 0.0
+                        first = np.argsort(-score, kind="stable")[:k]
+                        out.append((np.full(len(first), qids[at[j]]), ids[inside][near[first]], score[first]))
+        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table({"query": cols[0], "neighbour": cols[1], "cosine": cols[2]})
+
+    local = queries.groupBy("block", "share").cogroup(rows.groupBy("block", "share")).applyInArrow(best, schema)
+    return top_k(local, "query", [F.col("cosine").desc(), F.col("neighbour")], k)

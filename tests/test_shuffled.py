@@ -3,6 +3,7 @@
 import random
 
 from bylines.operators.independence import similar_texts
+from bylines.operators.stance import vector_top_k
 
 
 def written_bytes(spark) -> int:
@@ -20,3 +21,23 @@ def test_whole_sets_are_written_once_and_not_shuffled(spark):
     assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, 1000 + i) for i in range(20)] and members.count() == 320
     moved = written_bytes(spark) - before
     assert moved < 5 * 8 * 2000 * 320, moved
+
+
+def test_vectors_meet_as_matrices(spark):
+    """The k nearest, ties by id, as brute force finds them, over several blocks and shares; rows are sent to each block, not to each query."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64)).astype(np.float32)
+    v[100:110] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    before = written_bytes(spark)
+    got = {(r.query, r["rank"]): (r.neighbour, r.cosine) for r in vector_top_k(df, "vec_id", "embedding", block=100, share=500).collect()}
+    moved = written_bytes(spark) - before
+    u = v.astype(np.float64)
+    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+    for q in range(0, 3000, 20):
+        c = np.round(u @ u[q], 6)
+        order = [i for i in np.lexsort((np.arange(3000), -c)) if i != q][:5]
+        assert [got[q, j + 1] for j in range(5)] == [(i, c[i]) for i in order]
+    assert moved < 5 * 3000 * 64 * 8, moved
