@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from bylines.functions.text import shingle_set, words
+from bylines.functions.shingles import shingle_sets
 from bylines.operators.components import connected_components
 from bylines.operators.independence import merge_edges
+from bylines.operators.similarity import candidates, ends, frequent_shingles, index_rows, prefix_index, verified
 from bylines.schemas import MERGE_REASONS, SAME_WIRE
 from bylines.scratch import written
 
 DOC = "run_id long, doc long, publisher_id string, body_hash string, wire string, class string, batch long"
-CLASS = "class string, s array<long>, n int, batch long"
-INDEX = "h long, class string, n int, i int, batch long"
-PAIR = "a string, b string, jaccard double, batch long"
+TEXT = f"{DOC.removesuffix(', batch long')}, c long, n int, p array<long>, text string, batch long"
+INDEX = "c long, n int, p array<long>, batch long"
+ORDER = "h long, f long, batch long"
+PAIR = "a long, b long, jaccard double, batch long"
 SOURCE = "run_id long, doc long, source long, rank int, batch long"
-TABLES = {"docs": DOC, "classes": CLASS, "index": INDEX, "pairs": PAIR, "sources": SOURCE}
+TABLES = {"texts": TEXT, "docs": DOC, "index": INDEX, "order": ORDER, "pairs": PAIR, "sources": SOURCE}
 
 
 class Store:
@@ -38,8 +40,11 @@ class Store:
         fs, marks = self._folder("marks")
         return sorted(int(x.getPath().getName()) for x in fs.listStatus(marks)) if fs.exists(marks) else []
 
-    def add(self, batch: int, name: str, rows: DataFrame) -> None:
-        rows.select(*[c.split()[0] for c in TABLES[name].split(", ") if not c.startswith("batch")]).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+    def add(self, batch: int, name: str, rows: DataFrame) -> DataFrame:
+        """Write the rows of a batch, and read them back."""
+        fields, path = TABLES[name].removesuffix(", batch long"), f"{self.path}/{name}/batch={batch}"
+        rows.select(*[c.split()[0] for c in fields.split(", ")]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(fields).parquet(path)
 
     def complete(self, batch: int) -> None:
         fs, mark = self._folder("marks", str(batch))
@@ -57,58 +62,51 @@ class Store:
         return last.select("run_id", "doc", "x.source", F.coalesce(F.get(F.array(*[F.lit(r) for r in MERGE_REASONS]), "x.rank"), F.lit("none")).alias("reason"))
 
 
-def _prefix(n: str) -> str:
-    return f"{n} - cast(ceil({n} * {SAME_WIRE} - 1e-9) AS int) + 1"
+def _new_pairs(fresh: DataFrame, stored: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of similar classes of which one is new, from indexes (c, n, p) of the classes' first shingles.
 
-
-def _new_pairs(fresh: DataFrame, stored: DataFrame, fresh_sets: DataFrame, stored_sets: DataFrame) -> DataFrame:
-    """Pairs of similar classes of which one is new, by the classes' first shingles in the order of their hashes.
-
-    That order never changes, so what is stored stays valid however frequencies move.
+    Only shingles of a new class that another one has too go to the join, and only texts of candidates, which are cut again, are shuffled.
     """
-    every = fresh.union(stored)
-    x, y = (d.select("h", F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("i").alias(f"i{c}")) for d, c in ((fresh, "a"), (every, "b")))
-    after = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    need = F.ceil((F.col("na") + F.col("nb")) * SAME_WIRE / (1 + SAME_WIRE) - 1e-9)
-    close = (F.least("na", "nb") >= F.greatest("na", "nb") * SAME_WIRE - 1e-9) & (F.least("ia", "ib") + 1 + after >= need)
-    met = written(x.hint("merge").join(y, "h").where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = fresh_sets.union(stored_sets)
-    both = met.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= SAME_WIRE - 1e-12)
+    every = fresh.withColumn("new", F.lit(True)).union(stored.withColumn("new", F.lit(False)))
+    shared = written(every.select("new", F.explode("p").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.bool_or("new").alias("new")).where("f > 1 AND new").select("h"))
+    x, y = written(index_rows(fresh, shared)), written(index_rows(stored, shared))
+    met = candidates(x, x.union(y), SAME_WIRE, F.col("a") != F.col("b"))
+    met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = written(shingle_sets(ends(met, texts.select("c", "text")), ["c"], "text").select("c", "s"))
+    return verified(met, sets, SAME_WIRE)
 
 
 def fold_in(pages: DataFrame, batch: int, store: Store, owners: DataFrame) -> None:
     """Add a batch of ``pages(run_id, doc, publisher_id, body_hash, wire, text)`` and bring the sources of the runs it touches up to date.
 
     Pages that the store has, by run and doc, and repeats within the batch change nothing, whether the batch comes
-    again under its number or another. Only new texts are cut into shingles, and only pairs with a new
-    text are compared, through the stored index. Merge edges are drawn among the pages of touched runs;
+    again under its number or another. Only texts that come are cut into shingles, and only pairs with a new
+    text are compared, through the stored index. It follows the frequencies of the first batch with words for good: whatever
+    they become, what is stored stays valid. Texts are stored as they come, their sets are not. Merge edges are drawn among the pages of touched runs;
     those within an old source fall away, and components are sought among old sources and new pages only,
     so the work of a batch follows its runs, not the corpus. Pages with a null run or doc are left out.
     """
     if batch in store.batches():
         return
+    keep = ("run_id", "doc", "publisher_id", "body_hash", "wire", "class", "text")
+    cut = shingle_sets(pages.where("run_id IS NOT NULL AND doc IS NOT NULL"), [c for c in keep if c != "class"], "text").withColumn("c", F.xxhash64("class"))
+    begun = not store.read("index").isEmpty()
+    first = store.add(batch, "order", store.read("order").limit(0) if begun else frequent_shingles(cut))
+    new = store.add(batch, "texts", prefix_index(cut, "c", store.read("order").select("h", "f") if begun else first, SAME_WIRE, keep))
     known = store.read("docs").select("run_id", "doc")
-    seq = F.array_sort(shingle_set(words(F.col("text"))))
-    whole = pages.where("run_id IS NOT NULL AND doc IS NOT NULL").dropDuplicates(["run_id", "doc"]).join(known.hint("merge"), ["run_id", "doc"], "left_anti")
-    cut = whole.select("run_id", "doc", "publisher_id", "body_hash", "wire", seq.alias("s")).withColumn("class", F.when(F.size("s") > 0, F.md5(F.array_join("s", ",").cast("binary"))))
-    new = written(cut)
-    docs = new.select("run_id", "doc", "publisher_id", "body_hash", "wire", "class")
-    old_classes = store.read("classes").select("class", "s", "n")
-    first = new.where("class IS NOT NULL").groupBy("class").agg(F.first("s").alias("s"))
-    fresh = written(first.join(old_classes.select("class").hint("merge"), "class", "left_anti").select("class", "s", F.size("s").alias("n")))
-    index = written(fresh.select("class", "n", F.posexplode(F.expr(f"slice(s, 1, {_prefix('n')})")).alias("i", "h")).select("h", "class", "n", "i"))
-    pairs = written(_new_pairs(index, store.read("index").select("h", "class", "n", "i"), fresh, old_classes))
-    for name, rows in (("docs", docs), ("classes", fresh), ("index", index), ("pairs", pairs)):
-        store.add(batch, name, rows)
+    docs = store.add(batch, "docs", new.select(*keep[:-1]).dropDuplicates(["run_id", "doc"]).join(known.hint("merge"), ["run_id", "doc"], "left_anti"))
+    stored = store.read("index").select("c", "n", "p")
+    unseen = written(docs.where("class IS NOT NULL").select(F.xxhash64("class").alias("c")).distinct().join(stored.select("c").hint("merge"), "c", "left_anti"))
+    fresh = store.add(batch, "index", new.select("c", "n", "p").join(unseen.hint("merge"), "c", "left_semi").dropDuplicates(["c"]))
+    texts = store.read("texts").select("c", "text").union(new.select("c", "text"))
+    pairs = store.add(batch, "pairs", _new_pairs(fresh, stored, texts))
     touched = written(docs.select("run_id").distinct())
     here = written(store.read("docs").drop("batch").join(touched.hint("merge"), "run_id", "left_semi").union(docs))
     # classes are named by text digests in the store and by a page of theirs in the edge rules
-    names = written(here.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("rep")))
-    members = written(here.join(names.hint("merge"), "class").select(F.col("doc").alias("id"), "rep").distinct())
+    names = written(here.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("rep")).withColumn("c", F.xxhash64("class")))
+    members = written(here.join(names.select("class", "rep").hint("merge"), "class").select(F.col("doc").alias("id"), "rep").distinct())
     all_pairs = store.read("pairs").drop("batch").union(pairs)
-    named = all_pairs.join(names.select(F.col("class").alias("a"), F.col("rep").alias("x")).hint("merge"), "a").join(names.select(F.col("class").alias("b"), F.col("rep").alias("y")).hint("merge"), "b")
+    named = all_pairs.join(names.select(F.col("c").alias("a"), F.col("rep").alias("x")).hint("merge"), "a").join(names.select(F.col("c").alias("b"), F.col("rep").alias("y")).hint("merge"), "b")
     edges = written(merge_edges(here, owners, members, written(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"))))
     before = store.sources().join(touched.hint("merge"), "run_id", "left_semi").select("run_id", "doc", "source")
     named_now = written(here.select("run_id", "doc").join(before.hint("merge"), ["run_id", "doc"], "left").select("run_id", "doc", F.coalesce("source", "doc").alias("old")))

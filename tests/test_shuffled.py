@@ -4,6 +4,7 @@ import random
 
 from bylines.operators.independence import similar_texts
 from bylines.operators.stance import vector_top_k
+from bylines.streaming.independence import Store, fold_in
 
 
 def written_bytes(spark) -> int:
@@ -23,6 +24,21 @@ def test_whole_sets_are_written_once_and_not_shuffled(spark):
     assert moved < 5 * 8 * 2000 * 320, moved
 
 
+def test_batches_store_texts_once_and_shuffle_no_whole_sets(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(0, i, f"p{i}", None, None, " ".join(f"v{rng.randrange(10**6)}" for _ in range(2000))) for i in range(300)]
+    rows += [(0, 1000 + i, f"q{i}", None, None, r[5] + " more") for i, r in enumerate(rows[:20])]
+    schema = "run_id long, doc long, publisher_id string, body_hash string, wire string, text string"
+    store, owners = Store(spark, f"file://{tmp_path}/store"), spark.createDataFrame([], "publisher_id string, parent_group string")
+    before = written_bytes(spark)
+    for n, batch in enumerate((rows[:160], rows[160:])):
+        fold_in(spark.createDataFrame(batch, schema), n, store, owners)
+    moved = written_bytes(spark) - before
+    found = {r.doc: (r.source, r.reason) for r in store.sources().collect()}
+    assert found == {i: (i, "none") for i in range(20, 300)} | {i % 1000: (i % 1000, "reprint") for i in range(20)} | {1000 + i: (i, "reprint") for i in range(20)}
+    assert moved < 4 * 8 * 2000 * 320, moved
+
+
 def test_vectors_meet_as_matrices(spark):
     """The k nearest, ties by id, as brute force finds them, over several blocks and shares; rows are sent to each block, not to each query."""
     import numpy as np
