@@ -97,11 +97,12 @@ def top_k(scored: DataFrame, group: str, order: list[Column], k: int) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def stance_window(evidence: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
+def stance_window(evidence: DataFrame, most: int = MAX_EVIDENCE, has_text: Column | None = None) -> DataFrame:
     """The first ``most`` documents with text of each claim by ``score``; source_id numbers the unfiltered ranking."""
+    has_text = F.trim("premise") != "" if has_text is None else has_text
     order = Window.partitionBy("claim").orderBy(F.col("score").desc(), "doc")
     ranked = evidence.withColumn("position", F.row_number().over(order)).withColumn("source_id", F.concat(F.lit("s"), F.col("position").cast("string")))
-    return ranked.where(F.trim("premise") != "").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    return ranked.where(has_text).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
 def lexical_stance(premise: Column, claim: Column) -> Column:
