@@ -92,11 +92,11 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS) -> DataFrame:
+def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
     """(id, start, length, ids, doc_tokens) for each piece of each row; ``ids`` are little-endian unsigned 32-bit numbers.
 
     A document is its ids and END_ID, so a null or empty text is one piece of one id. Texts are
-    encoded whole, a few megabytes at a time.
+    encoded whole, a few megabytes at a time. Without ``keep`` a worker lets its encoder go after each task.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -118,6 +118,10 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, PIECE, strict=True))], names=schema.names)
             give_back_memory()
+        if not keep:
+            del enc
+            encoder.cache_clear()
+            give_back_memory()
 
     return rows.mapInArrow(encode, schema)
 
@@ -138,14 +142,14 @@ def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id", chunk_rows: int = 5
     return placed.withColumn("sequence_id", (first + F.col("_place")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_place")
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
     """Packed pieces with their ids: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     Rows that repeat an id are packed each; other columns are not read; an empty table gives no
     rows. The pieces are written to the shared folder once, as three passes number them, in
-    chunks of CHUNK_BYTES of ids at most. ``cached`` words stay with a worker, some 200 bytes each.
+    chunks of CHUNK_BYTES of ids at most. ``cached`` words stay with a worker, some 200 bytes each, without ``keep`` until a task ends.
     """
-    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest, cached))
+    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest, cached, keep))
     return bucket_pieces(pieces, id_col, max(1, CHUNK_BYTES // (4 * longest)))
 
 

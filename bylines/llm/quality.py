@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ TRUST_QUANTILE, SLACK = 0.99, 2.0
 LOCAL_ROWS = 4_000_000  # model rows, 24 bytes each, up to which each task holds the model
 TRUSTED_LOCAL = 4_000_000  # trusted ids up to which the trusted texts are picked without a shuffle
 FLUSH_CHARS = 2_000_000
+SCORED_CHARS = 250_000  # that are scored at once, or one text; grams and their order take some 60 bytes a character
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -152,6 +154,17 @@ class LocalModel:
         return out
 
 
+def parts(b: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have at most ``most`` bytes together, or of one row."""
+    ends = np.cumsum(pc.binary_length(b.column(col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
     """(id, lang, blank, loss) with the model, whose size the caller has checked, in each task."""
     shared = rows.sparkSession.sparkContext.broadcast(LocalModel(model.toArrow()))
@@ -160,8 +173,7 @@ def score_locally(rows: DataFrame, model: DataFrame) -> DataFrame:
         local = shared.value
         give_back_memory()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in parts(b, 2, SCORED_CHARS):
                 langs, gs = part.column(1).to_pylist(), [grams(t) for t in part.column(2).to_pylist()]
                 loss: list[float | None] = [None] * len(gs)
                 for lang in {x for x in langs if (x, ORDER) in local.of}:

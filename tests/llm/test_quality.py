@@ -110,3 +110,18 @@ def test_both_ways_keep_repeated_rows_and_languages_apart(spark):
     local, sharded = (Counter((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 6), r.kept) for r in quality.classify(docs, labels, local_rows=n).collect()) for n in (10**6, 0))
     assert local == sharded and sum(local.values()) == len(rows)
     assert len({p for (i, _, p, _) in local if i == 30}) == 2
+
+
+def test_long_texts_are_scored_few_at_a_time():
+    """A run of rows is bounded by the bytes of its texts, not by their number; a longer text stands alone, and no row is lost."""
+    import pyarrow as pa
+
+    from bylines.llm.quality import parts
+
+    texts = ["x" * n for n in (10, 90, 1, 0, 5000, 0, 60, 60)] + [None, "é" * 30]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    for whole in (b, b.slice(2)):
+        got = [p.column(0).to_pylist() for p in parts(whole, 1, 100)]
+        assert sum(got, []) == whole.column(0).to_pylist() and all(got)
+        assert all(len(g) == 1 or sum(len((texts[i] or "").encode()) for i in g) <= 100 for g in got)
+    assert list(parts(b.slice(0, 0), 1, 100)) == []
