@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bylines.functions.text import let
 from bylines.schemas import MAX_CLAIMS, NUMERIC
 
 
@@ -55,7 +56,7 @@ def every_sentence(docs: DataFrame, id_col: str, text_col: str, longer_than: int
     """(id, claim_id, pos, claim): all sentences above a length, or the start of a text without any; ids count all passages."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda t, i: F.struct(F.when(~t.rlike(SENTENCE_END), stripped(t)).alias("quote"), i.alias("start")))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(_or_whole(F.filter(cut, lambda x: F.char_length(x["quote"]) > longer_than), text, F.lit(0))).alias("x"))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(let(F.filter(cut, lambda x: F.char_length(x["quote"]) > longer_than), lambda found: _or_whole(found, text, F.lit(0)))).alias("x"))
     return rows.select("id", F.concat(F.lit("c"), (F.col("x.start") + 1).cast("string")).alias("claim_id"), F.col("x.start").alias("pos"), F.left("x.quote", F.lit(FALLBACK_CHARS)).alias("claim"))
 
 

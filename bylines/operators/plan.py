@@ -49,7 +49,8 @@ def claim_query(text: Column, entities: Column, stopwords: list[str]) -> Column:
 
     def named(e: Column) -> Column:
         quoted = F.regexp_replace(F.lower(e), r"([^\p{L}\p{N}\s])", r"\\$1")
-        return (F.length(e) >= 2) & F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+        # a pattern is made for each name and claim, so only for names that stand in the claim at all
+        return (F.length(e) >= 2) & F.contains(F.lower(text), F.lower(e)) & F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
 
     found = F.array_distinct(F.filter(F.transform(entities, lambda e: F.trim(e)), named))
 
