@@ -18,6 +18,7 @@ from bylines.scratch import written
 MAX_TOKENS = 2048
 END_ID = 1
 CACHED_WORDS = 900_000  # words and stems that a worker keeps between texts, some 180 MB; it starts over beyond that
+TEXTS = 500  # that are cut into words at once, whose lists take some ten times their bytes
 TAIL = ".,!?;:#%*&$)]}\"'"  # marks that are cut off the end of a word before it is learnt
 PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 CHUNK_BYTES = 16 << 20
@@ -92,11 +93,11 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
+def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True, at_once: int = TEXTS) -> DataFrame:
     """(id, start, length, ids, doc_tokens) for each piece of each row; ``ids`` are little-endian unsigned 32-bit numbers.
 
     A document is its ids and END_ID, so a null or empty text is one piece of one id. Texts are
-    encoded whole, a few megabytes at a time. Without ``keep`` a worker lets its encoder go after each task.
+    encoded whole, ``at_once`` of them together. Without ``keep`` a worker lets its encoder go after each task.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -107,8 +108,8 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         enc = encoder(tokenizer, cached)
         give_back_memory()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 where, cols = [], ([], [], [], [])
                 for row, ids in enumerate(enc.encode(part.column(1).to_pylist())):
                     ids += END_ID.to_bytes(4, "little")
@@ -142,14 +143,14 @@ def bucket_pieces(pieces: DataFrame, id_col: str = "doc_id", chunk_rows: int = 5
     return placed.withColumn("sequence_id", (first + F.col("_place")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_place")
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", longest: int = MAX_TOKENS, cached: int = CACHED_WORDS, keep: bool = True, at_once: int = TEXTS) -> DataFrame:
     """Packed pieces with their ids: (id, start, length, ids, doc_tokens, sequence_id, offset).
 
     Rows that repeat an id are packed each; other columns are not read; an empty table gives no
     rows. The pieces are written to the shared folder once, as three passes number them, in
     chunks of CHUNK_BYTES of ids at most. ``cached`` words stay with a worker, some 200 bytes each, without ``keep`` until a task ends.
     """
-    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest, cached, keep))
+    pieces = written(tokenised_pieces(df, tokenizer, id_col, text_col, longest, cached, keep, at_once))
     return bucket_pieces(pieces, id_col, max(1, CHUNK_BYTES // (4 * longest)))
 
 

@@ -1,7 +1,12 @@
 import re
 
+import public_tokenizers
+import pyarrow as pa
+
 import corpus_pipeline
+from bylines.llm.packing import pack
 from bylines.llm.simhash import simhash_groups
+from bylines.scratch import rows_at_once, written
 from tests.llm.test_exact_shards_simhash import UP
 from tests.llm.test_packing import holds, wanted
 from tests.llm.test_secrets import base
@@ -81,3 +86,20 @@ def test_near_dedup_leaves_out_no_pair(spark):
     kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, D).collect()}
     assert sum(alike) > 200
     assert kept == {i for i, _ in rows if i % 2 == 0 or not alike[i // 2]}
+
+
+def test_few_texts_go_to_python_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda: spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    with rows_at_once(spark, corpus_pipeline.ROWS_AT_ONCE):
+        assert max(r.n for r in written(sizes()).collect()) == corpus_pipeline.ROWS_AT_ONCE
+        with rows_at_once(spark, 10_000):
+            assert spark.conf.get(key) == str(corpus_pipeline.ROWS_AT_ONCE)
+    assert spark.conf.get(key) == before and max(r.n for r in sizes().collect()) == 5000
+
+
+def test_packing_by_few_texts_and_words(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    few = pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=300, keep=False, at_once=7)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
