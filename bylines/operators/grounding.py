@@ -6,9 +6,12 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,15 +19,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bylines.schemas import LIKE_ASCII
 
 SEPARATOR = "\n\n"
-_SPECIAL = re.compile(r"\s+|[^\x00-\x7f]")  # what normal text is not made of as it stands
+_SPECIAL = re.compile(r"\s{2,}|[^\S ]|[^\x00-\x7f]")  # what normal text may not be made of as it stands
+QUOTES = 1000  # of a run that meet its text in one row
+TEXTS = 200  # that a task normalises and looks through at once
 _FOLD = str.maketrans(LIKE_ASCII)
 
 
+@cache
+def _form(c: str) -> str:
+    """The normal form of a character that is not white space."""
+    return unicodedata.normalize("NFKC", c.translate(_FOLD))
+
+
 class NormalText:
     """A text with ASCII quotes and dashes, compatibility forms and single spaces, that knows where its characters came from.
 
-    Raw text between special characters is carried over in runs, so the map holds one entry for
-    each run; a character that normalises to several has a run for them all.
+    Raw text between special characters is carried over in runs, single blanks and characters in normal form with it, so the map
+    holds one entry for each run; a character that normalises to several has a run for them all.
     """
 
     def __init__(self, raw: str):
@@ -40,9 +51,13 @@ class NormalText:
                 out += len(s)
 
         for m in _SPECIAL.finditer(raw):
+            c = m[0]
+            form = " " if c.isspace() else _form(c)
+            if form == c:
+                continue
             add(raw[last : m.start()], last, 1)
-            last, c = m.end(), m[0]
-            add(" " if c.isspace() else unicodedata.normalize("NFKC", c.translate(_FOLD)), m.start(), 0)
+            last = m.end()
+            add(form, m.start(), 0)
         add(raw[last:], last, 1)
         self.text = "".join(parts)
 
@@ -65,39 +80,46 @@ def locate_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """``quotes(run_id, claim_id, source_quote, ...)`` with start, end and grounding in ``texts(run_id, text)``.
 
     A quote, trimmed, that stands in the text as it is is ``exact``, at its first place; that is found by
-    built-in functions. Only quotes that are not go to Python, by run, where the text is normalised once for all
-    of them: ``normalised`` has the raw places of the passage. All others are ``not_found``, null,
+    built-in functions. A run's quotes meet its text in one row, or in one for each QUOTES of them, and only texts some quote of
+    which is not exact go to Python, where each is normalised once for all of the row: ``normalised`` has the raw places of the passage. All others are ``not_found``, null,
     empty and blank quotes and those of runs without a text too; nothing is matched approximately
     and no quote is dropped. Texts are one for each run. An empty table gives no rows.
     """
     blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
     # what stands around a quote is cut by pattern, as trim() only knows listed characters
     needle = F.regexp_replace(F.coalesce("source_quote", F.lit("")), f"^[{re.escape(blanks)}]+|[{re.escape(blanks)}]+$", "")
-    met = quotes.withColumn("_q", needle).join(texts.select(F.col("run_id").alias("_run"), F.col("text").alias("_text")).hint("merge"), F.col("run_id").eqNullSafe(F.col("_run")), "left")
-    at = F.when(F.col("_q") != "", F.instr("_text", F.col("_q")))
-    exact = F.coalesce(at, F.lit(0)) > 0
-    sought = met.select(*quotes.columns, F.struct("_q", F.when(~exact & (F.col("_q") != ""), F.col("_text")).alias("_text"), F.when(exact, at - 1).cast("int").alias("_at"), F.when(exact, at - 1 + F.char_length("_q")).cast("int").alias("_to")).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("claim_id"))
+    dealt = quotes.select("run_id", F.struct(F.struct(*quotes.columns).alias("row"), needle.alias("q")).alias("_x"), F.floor(place / QUOTES).alias("_part"))
+    of_run = dealt.groupBy("run_id", "_part").agg(F.collect_list("_x").alias("_quotes"))
+    met = of_run.join(texts.select(F.col("run_id").alias("_run"), F.col("text").alias("_text")).hint("merge"), F.col("run_id").eqNullSafe(F.col("_run")), "left")
+    at = lambda x: F.when(x["q"] != "", F.coalesce(F.instr("_text", x["q"]), F.lit(0)))
+    told = met.select(F.transform("_quotes", lambda x: F.struct(x["row"].alias("row"), x["q"].alias("q"), at(x).alias("at"))).alias("_quotes"), "_text")
+    sought = told.select("_quotes", F.when(F.exists("_quotes", lambda x: F.coalesce(x["at"] == 0, F.lit(False))), F.col("_text")).alias("_text"))
     schema = T.StructType(list(quotes.schema.fields)).add("start", "integer").add("end", "integer").add("grounding", "string")
-    arrow, width = to_arrow_schema(schema), len(quotes.columns)
+    arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, normal_text = None, None
-        for b in batches:
-            starts, ends, how = [], [], []
-            for s in b.column(width).to_pylist():
-                start, end, kind = s["_at"], s["_to"], "exact"
-                if start is None:
-                    found, kind = None, "not_found"
-                    if s["_text"]:
-                        if s["_text"] != held:
-                            held, normal_text = s["_text"], NormalText(s["_text"])
-                        found = normal_text.locate(normal(s["_q"]).strip())
-                    start, end = found or (None, None)
-                    kind = "normalised" if found else kind
-                starts.append(start)
-                ends.append(end)
-                how.append(kind)
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(how, pa.string())], schema=arrow)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(begin, TEXTS)
+                rows, q, at = b.column(0).flatten().flatten()
+                needles, places = iter(q.to_pylist()), iter(at.to_pylist())
+                starts, ends, how = [], [], []
+                for text, n in zip(b.column(1).to_pylist(), pc.list_value_length(b.column(0)).to_pylist(), strict=True):
+                    normal_text = None
+                    for needle, place in islice(zip(needles, places), n):
+                        found, kind = None, "not_found"
+                        if place:
+                            found, kind = (place - 1, place - 1 + len(needle)), "exact"
+                        elif needle and text:
+                            normal_text = normal_text or NormalText(text)
+                            found = normal_text.locate(normal(needle).strip())
+                            kind = "normalised" if found else kind
+                        start, end = found or (None, None)
+                        starts.append(start)
+                        ends.append(end)
+                        how.append(kind)
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(how, pa.string())], schema=arrow)
 
     return sought.mapInArrow(apply, schema)
 
@@ -118,8 +140,7 @@ def attribute_spans(spans: DataFrame, segments: DataFrame) -> DataFrame:
 
 def compared(text: str) -> str:
     """The form in which a paste is looked for in a fetched body: normal, case folded, trimmed."""
-    folded = unicodedata.normalize("NFKC", text).translate(_FOLD).casefold()
-    return re.sub(r"\s+", " ", folded).strip()
+    return " ".join(unicodedata.normalize("NFKC", text).translate(_FOLD).casefold().split())
 
 
 def merge_inputs(inputs: DataFrame, pasted: str = "pasted", fetched: str = "fetched") -> DataFrame:
