@@ -1,6 +1,7 @@
 """Live run state: order within and across batches, quiet layers, late signs of life, restarts."""
 
 import datetime as dt
+import random
 
 from bylines.streaming.runs import drive, latest, live_states
 
@@ -32,3 +33,20 @@ def test_quiet_layers_become_errors_and_may_come_back(spark, tmp_path):
     send(spark, tmp_path, [(1, at(12, 1), 8, "evidence", "ok"), (3, at(11, 30), 6, "input", "error")])  # late, but within the delay
     last = states(spark, tmp_path)
     assert last[1] == ("evidence", "ok", 4, 0, False) and last[3] == ("input", "running", 2, 1, False)
+
+
+def test_runs_of_a_bucket_each_keep_their_own_state(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    r, sent, start = random.Random(3), [], at(8)
+    for part in range(4):
+        rows = [(run, start + dt.timedelta(minutes=90 * part + r.randrange(60)), 1000 * part + i, r.choice("ab"), r.choice(["running", "ok", "error"])) for i in range(40) for run in [r.randrange(20 + part)]]
+        sent += rows
+        send(spark, tmp_path, rows)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    drive(live_states(stream, buckets=3), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    clock, want = max(e[1] for e in sent) - dt.timedelta(hours=1), {}
+    for run in {e[0] for e in sent}:
+        own = sorted((e for e in sent if e[0] == run), key=lambda e: e[1:3])
+        stale = own[-1][4] == "running" and own[-1][1] + dt.timedelta(hours=1) < clock
+        want[run] = (own[-1][3], "error" if stale else own[-1][4], len(own), sum(e[4] == "error" for e in own), stale)
+    assert {x.run_id: tuple(x)[1:] for x in latest(spark, f"{tmp_path}/out").collect()} == want and {w[4] for w in want.values()} == {True, False}
