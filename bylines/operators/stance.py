@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -20,7 +19,17 @@ LOCAL_CELLS = 4_000_000  # bound of claims x grams that a task holds as a matrix
 
 
 def collapsed(text_col: str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"(?: [\s\x0B]|[\t-\r])[\s\x0B]*+", " "))  # single blanks stay as they are
+
+
+def trigrams(text: str) -> np.ndarray:
+    """The text's runs of three characters, each as one number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def trigram_bucket(gram: int, buckets: int) -> int:
+    return crc32("".join(chr(gram >> k & 0x1FFFFF) for k in (42, 21, 0)).encode("utf-8")) % buckets
 
 
 def trigram_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> DataFrame:
@@ -56,30 +65,40 @@ def trigram_top(claims: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     where = [at.setdefault(g, len(at)) for g in vectors.column("gram").to_pylist()]
     matrix = np.zeros((len(at), len(names)))
     matrix[where, who] = vectors.column("w").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((names, at, matrix))
+    # a document's grams have three characters, so others of a claim meet none
+    numbers = {g if buckets else int(trigrams(g)[0]): row for g, row in at.items() if buckets or len(g) == 3}
+    known = np.sort(np.fromiter(numbers, np.int64, len(numbers)))
+    shared = docs.sparkSession.sparkContext.broadcast((names, known, np.array([numbers[g] for g in known.tolist()], np.int64), matrix))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, at, matrix = shared.value
-        hashes: dict[str, int] = {}
+        names, known, place, matrix = shared.value
+        hashes: dict[int, int] = {}
         scores, ids = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+
+        def bucket(g: int) -> int:
+            if (h := hashes.get(g)) is None:
+                h = trigram_bucket(g, buckets)
+                if len(hashes) < 200_000:
+                    hashes[g] = h
+            return h
+
         for b in batches:
             for begin in range(0, b.num_rows, 100):
                 part = b.slice(begin, 100)
-                x = np.zeros((part.num_rows, len(at)))
+                x = np.zeros((part.num_rows, len(matrix)))
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    counts: Counter = Counter(t[j : j + 3] for j in range(len(t) - 2))
+                    g = np.sort(trigrams(t))
+                    if not len(g) or not len(known):
+                        continue
+                    first = np.flatnonzero(np.diff(g, prepend=-1))
+                    g, counts = g[first], np.diff(first, append=len(g))
                     if buckets:
-                        of_grams, counts = counts, Counter()
-                        for g, n in of_grams.items():
-                            if (h := hashes.get(g)) is None:
-                                h = crc32(g.encode("utf-8")) % buckets
-                                if len(hashes) < 200_000:
-                                    hashes[g] = h
-                            counts[h] += n
-                    norm = sum(n * n for n in counts.values()) ** 0.5
-                    for g, n in counts.items():
-                        if (j := at.get(g)) is not None:
-                            x[i, j] = n / norm
+                        n = np.bincount(np.fromiter(map(bucket, g.tolist()), np.int64, len(g)), counts, buckets)
+                        g = np.flatnonzero(n)
+                        counts = n[g].astype(np.int64)
+                    met = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    hit = known[met] == g
+                    x[i, place[met[hit]]] = counts[hit] / int(counts @ counts) ** 0.5
                 got = (x @ matrix).T
                 got = np.where(got > 0, np.round(got, 6), -np.inf)
                 scores = np.concatenate([scores, got], axis=1)
