@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,14 @@ from bylines.scratch import written
 MAX_TOKENS = 2048
 END_ID = 1
 CACHED_WORDS = 900_000  # words and stems that a worker keeps between texts, some 180 MB; it starts over beyond that
-TEXTS = 500  # that are cut into words at once, whose lists take some ten times their bytes
+TEXTS, TEXT_BYTES = 1_000, 8 << 20  # that are cut into words at once, as Arrow columns of some four times their bytes and a list of the words that differ
 TAIL = ".,!?;:#%*&$)]}\"'"  # marks that are cut off the end of a word before it is learnt
 PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 CHUNK_BYTES = 16 << 20
-_BLANK = re.compile(r"[\t\n\r]")
-_BLANKS = str.maketrans("\t\n\r", "   ")
+LEARNT = 5_000  # words that go to the tokenizer at once
+WORD_END = "</w>"  # at the end of a token that ends a word
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"  # that are the same in normal form and lower case, whatever letters of these stand beside
+_ONLY_LETTERS = re.compile(f"[{LETTERS}]+").fullmatch
 
 
 class WordEncoder:
@@ -33,9 +38,14 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.bare = Tokenizer(self.tokenizer.model)  # for words that are in normal form already and one run each
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.as_is = self.tokenizer.normalizer.normalize_str(LETTERS) == LETTERS and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(LETTERS)) == 1
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(self.tokenizer.get_vocab_size())])  # ids that end a run of letters
         self.stays: dict[str, bool] = {}  # last characters, and whether they still are letters or digits in normal form
         self.known = {"": b""}
 
@@ -43,6 +53,17 @@ class WordEncoder:
         e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, dtype="<u4").tobytes()
         ends = 4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(1, len(words) + 1))
+        self.keep(words, ids, ends)
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Words of nothing but LETTERS, each of which the tokenizer takes as it is in one run, whose last id is marked as the end."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if not self.as_is or len(ends) != len(words):
+            return self.learn(words)
+        self.keep(words, ids.tobytes(), ends)
+
+    def keep(self, words: list[str], ids: bytes, ends: np.ndarray) -> None:
         at = 0
         for w, end in zip(words, ends.tolist(), strict=True):
             self.known[w] = ids[at:end]
@@ -56,25 +77,47 @@ class WordEncoder:
         stem = w.rstrip(TAIL)
         if "<|" in w or not stem or not stem[-1].isalnum():
             return w, ""
-        if stem.isascii():
+        if stem.isascii() or _ONLY_LETTERS(stem.lower()):
             return stem.lower(), w[len(stem) :]
         last = stem[-1]
         if last not in self.stays:
             self.stays[last] = self.tokenizer.normalizer.normalize_str(last)[-1:].isalnum()
         return (stem, w[len(stem) :]) if self.stays[last] else (w, "")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.translate(_BLANKS).split(" ") if t.isascii() else _BLANK.sub(" ", t).split(" ") for t in texts]
+    def learn_all(self, words: list[str]) -> None:
+        """Of the words, those that are not known yet."""
         if len(self.known) > self.cached:
             self.known = {"": b""}
-        new = [(w, *self.parts(w)) for w in set().union(*split).difference(self.known)]
-        unknown = list({p for _, *two in new for p in two}.difference(self.known))
-        for at in range(0, len(unknown), 20_000):
-            self.learn(unknown[at : at + 20_000])
+        known = self.known
+        new = [(w, *self.parts(w)) for w in filterfalse(known.__contains__, words)]
+        unknown = {stem for _, stem, _ in new}.union(tail for _, _, tail in new).difference(known)
+        letters = list(filter(_ONLY_LETTERS, unknown))
+        for found, learn in ((letters, self.learn_letters), (list(unknown.difference(letters)), self.learn)):
+            for at in range(0, len(found), LEARNT):
+                learn(found[at : at + LEARNT])
         for w, stem, tail in new:
-            self.known[w] = self.known[stem] + self.known[tail]
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            known[w] = known[stem] + known[tail] if tail else known[stem]
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, pa.Buffer]:
+        """All ids as little-endian unsigned 32-bit numbers, each text's followed by ``end``, and the bytes at which texts begin, and the last ends."""
+        for blank in "\t\n\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        at = np.asarray(split.offsets).astype(np.int64)
+        words = pc.dictionary_encode(split.flatten())
+        own = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn_all(own)
+        ids = pa.array([*map(self.known.__getitem__, own), end], pa.large_binary())
+        places = np.insert(np.asarray(words.indices), at[1:] - at[0], len(own))
+        laid = ids.take(pa.array(places))
+        _, offsets, data = laid.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(laid) + 1)
+        return offsets[at - at[0] + np.arange(len(at))], data
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        at, data = self.encode_column(pa.array(texts, pa.string()))
+        return [bytes(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @cache
@@ -82,6 +125,17 @@ def encoder(path: str, cached: int) -> WordEncoder:
     return WordEncoder(path, cached)
 
 
+def shares(texts: pa.Array, rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of at most ``rows`` texts and ``most`` bytes, or of one text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        full = int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right"))
+        end = min(at + rows, max(at + 1, full))
+        yield at, end - at
+        at = end
+
+
 def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of whole pieces of ``longest``, a power of two, then one for each binary digit of the rest."""
     cuts = [(at, longest) for at in range(0, n - n % longest, longest)]
@@ -108,16 +162,15 @@ def tokenised_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         enc = encoder(tokenizer, cached)
         give_back_memory()
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
-                where, cols = [], ([], [], [], [])
-                for row, ids in enumerate(enc.encode(part.column(1).to_pylist())):
-                    ids += END_ID.to_bytes(4, "little")
-                    for start, size in binary_pieces(len(ids) // 4, longest):
-                        where.append(row)
-                        for c, v in zip(cols, (start, size, ids[4 * start : 4 * (start + size)], len(ids) // 4), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, PIECE, strict=True))], names=schema.names)
+            for share in shares(batch.column(1), at_once, TEXT_BYTES):
+                part = batch.slice(*share)
+                ends, ids = enc.encode_column(part.column(1), END_ID.to_bytes(4, "little"))
+                tokens = np.diff(ends) // 4
+                cuts = [(row, n, *cut) for row, n in enumerate(tokens.tolist()) for cut in binary_pieces(n, longest)]
+                where, of, start, length = np.array(cuts, dtype=np.int64).reshape(-1, 4).T.copy()
+                at_bytes = np.append(0, 4 * np.cumsum(length))  # pieces lie one after another, as the ids do
+                cut = pa.Array.from_buffers(pa.large_binary(), len(where), [None, pa.py_buffer(at_bytes), ids]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), pa.array(start), pa.array(length), cut, pa.array(of)], names=schema.names)
             give_back_memory()
         if not keep:
             del enc

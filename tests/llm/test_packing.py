@@ -69,3 +69,31 @@ def test_every_letter_and_digit_before_a_mark():
         texts = [f"a{c}. {c}!" for c in chars[at : at + 20_000]]
         got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
         assert [x for x, g, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False), strict=True) if g != e.ids] == []
+
+
+def test_plain_words_are_learnt_without_normal_forms():
+    """Words of plain letters go to the model as they are, many at once; only the rest passes through the whole tokenizer."""
+    words = ["Éelleanment", "schöß", "ÿþ", "anesbleat", "ª", "µm", "x" * 300, "aﬁ", "Ǆ", "İi", "a\u0301b", "a<|b", "don't", "555-1941", "naïve's"]
+    text = [" ".join(words + [w.upper() + "," for w in words])]
+    enc, whole = WordEncoder(PATH), []
+    enc.learn, learn = lambda w: (whole.extend(w), learn(w)), enc.learn
+    assert enc.as_is and np.frombuffer(enc.encode(text)[0], "<u4").tolist() == wanted(text)[0][:-1]
+    assert not {"éelleanment", "schöß", "ÿþ", "anesbleat", "x" * 300} & set(whole) and {"µm", "don't", "naïve's"} <= set(whole)
+
+
+def test_columns_of_texts():
+    """Slices of a column, whose ids lie one after another with an end to each text."""
+    import pyarrow as pa
+
+    texts = ["left out", "a\tb\r\nc", "", "  Á é. ", "a", "b"]
+    at, data = WordEncoder(PATH).encode_column(pa.array(texts).slice(1, 4), b"\1\0\0\0")
+    assert [np.frombuffer(data[a:b], "<u4").tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == wanted(texts[1:5])
+
+
+def test_shares_of_texts():
+    import pyarrow as pa
+
+    from bylines.llm.packing import shares
+
+    texts = pa.array(["", "abc", "d" * 9, "e", "f", "g", ""])
+    assert list(shares(texts, 3, 5)) == [(0, 2), (2, 1), (3, 3), (6, 1)] and list(shares(texts.slice(1), 9, 99)) == [(0, 6)] and list(shares(texts[:0], 3, 5)) == []
