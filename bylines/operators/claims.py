@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bylines.functions.text import let
-from bylines.schemas import MAX_CLAIMS, NUMERIC
+from bylines.schemas import MAX_CLAIMS, NUMERIC_BY_LETTER
 
 
 SENTENCE, SENTENCE_END = r"[^.?!]+[.?!]*|[.?!]+", r"^[.?!]"
 LINE, NO_END = r"[^\n]*\n|[^\n]+", r"^\z."
 _BLANK = r"[\s\x1c-\x1f]"
+NAME = r"[A-Z][a-z]++(?: [A-Z][a-z]++)++"  # runs of capitalised words; possessive, as a long run would take the whole stack otherwise
 FALLBACK_CHARS = 400
 
 
@@ -52,17 +55,23 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_CLAIM
     return rows.select("id", F.concat(F.lit("c"), (F.col("n") + 1).cast("string")).alias("claim_id"), F.left(quote, F.lit(FALLBACK_CHARS)).alias("claim"), start, (start + F.char_length(quote)).alias("end"), quote.alias("quote"))
 
 
-def every_sentence(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 40) -> DataFrame:
-    """(id, claim_id, pos, claim): all sentences above a length, or the start of a text without any; ids count all passages."""
+def every_sentence(docs: DataFrame, id_col: str, text_col: str, longer_than: int = 40, in_row: bool = False) -> DataFrame:
+    """(id, claim_id, pos, claim): all sentences above a length, or the start of a text without any; ids count all passages.
+
+    With ``in_row``, the columns of ``docs`` and ``sentences``, an array of (claim_id, pos, claim) in order.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda t, i: F.struct(F.when(~t.rlike(SENTENCE_END), stripped(t)).alias("quote"), i.alias("start")))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(let(F.filter(cut, lambda x: F.char_length(x["quote"]) > longer_than), lambda found: _or_whole(found, text, F.lit(0)))).alias("x"))
-    return rows.select("id", F.concat(F.lit("c"), (F.col("x.start") + 1).cast("string")).alias("claim_id"), F.col("x.start").alias("pos"), F.left("x.quote", F.lit(FALLBACK_CHARS)).alias("claim"))
+    found = let(F.filter(cut, lambda x: F.char_length(x["quote"]) > longer_than), lambda found: _or_whole(found, text, F.lit(0)))
+    row = lambda x: (F.concat(F.lit("c"), (x["start"] + 1).cast("string")).alias("claim_id"), x["start"].alias("pos"), F.left(x["quote"], F.lit(FALLBACK_CHARS)).alias("claim"))
+    if in_row:
+        return docs.select("*", F.transform(found, lambda x: F.struct(*row(x))).alias("sentences"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(found).alias("x")).select("id", *row(F.col("x")))
 
 
 def entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, entity, mentions, first): runs of two or more capitalised ASCII words, by lower-cased text, first spelling kept."""
-    found = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("pos", "t"))
+    found = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(NAME), F.lit(0))).alias("pos", "t"))
     return found.groupBy("id", F.lower("t").alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.min_by("t", "pos").alias("first"))
 
 
@@ -85,7 +94,7 @@ def ground(text: Column, quote: Column) -> Column:
 def search_score(text: Column, mentions: Column, kind: Column, grounding: Column, agreement: Column, checkworthy: Column) -> Column:
     """How searchable a claim is: entity and number 2 each, fact 1 or opinion -3, grounded, agreed and checkworthy 1 each."""
     on = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0)
-    return on(mentions, 2) + on(text.rlike(NUMERIC), 2) + F.when(kind == "fact", 1).when(kind == "opinion", -3).otherwise(0) + on(grounding == "exact", 1) + on(agreement == "both", 1) + on(checkworthy, 1)
+    return on(mentions, 2) + on(text.rlike(NUMERIC_BY_LETTER), 2) + F.when(kind == "fact", 1).when(kind == "opinion", -3).otherwise(0) + on(grounding == "exact", 1) + on(agreement == "both", 1) + on(checkworthy, 1)
 
 
 def natural_key(text: Column) -> Column:
@@ -101,6 +110,13 @@ def select_claims(scored: DataFrame, k: int = MAX_CLAIMS) -> DataFrame:
     return ranked.withColumn("selected", (F.col("rank") <= k) & (F.col("score") >= 0))
 
 
+def best_claims(sentences: Column, score: Callable[[Column], Column], k: int = MAX_CLAIMS) -> Column:
+    """``select_claims`` within a row: the selected ones of an array of (claim_id, pos, claim), as (pos, claim_id, text) by rank, which is pos; ids follow places."""
+    scored = F.transform(sentences, lambda x: F.struct((-score(x["claim"])).alias("less"), x["pos"], x["claim_id"], x["claim"]))
+    best = F.filter(F.slice(F.array_sort(scored), 1, k), lambda x: x["less"] <= 0)
+    return F.transform(best, lambda x, i: F.struct((i + 1).alias("pos"), x["claim_id"].alias("claim_id"), x["claim"].alias("text")))
+
+
 def check_worthy(claims: DataFrame) -> DataFrame:
     """Check-worthy claims of each run, or all of a run that has none."""
     any_ = F.max(F.coalesce(F.col("checkworthy"), F.lit(False)).cast("int")).over(Window.partitionBy("run_id"))

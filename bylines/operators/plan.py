@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def headline_keywords(headline: Column, stopwords: list[str], most: int = KEYWOR
     """
 
     def of(w: Column) -> Column:
-        low = F.transform(w, lambda x: F.lower(x))
         rows = F.transform(w, lambda x, i: F.struct((~x.rlike("^[A-Z]")).alias("plain"), (-F.length(x)).alias("short"), i.alias("at"), x.alias("word")))
-        good = F.filter(rows, lambda r: (F.length(r["word"]) >= 3) & ~F.lower(r["word"]).isin(stopwords) & (F.array_position(low, F.lower(r["word"])) == r["at"] + 1))
+        first = lambda low: F.filter(rows, lambda r: (F.length(r["word"]) >= 3) & ~F.lower(r["word"]).isin(stopwords) & (F.array_position(low, F.lower(r["word"])) == r["at"] + 1))
+        good = let(F.transform(w, lambda x: F.lower(x)), first)
         best = F.slice(F.array_sort(good), 1, most)
         return F.transform(F.array_sort(F.transform(best, lambda r: F.struct(r["at"], r["word"]))), lambda r: r["word"])
 
@@ -38,8 +40,9 @@ def main_verb(text: Column, consumed: Column, stopwords: list[str]) -> Column:
 
     def rank(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        verb = (F.length(low) >= 4) & low.rlike(f"(?:{'|'.join(VERB_ENDS)})$") & ~low.isin(stopwords + NON_VERBS) & ~F.array_contains(consumed, low)
-        return F.when(verb, F.struct(F.when(low.rlike("(?:ed|ing)$"), 0).otherwise(1).alias("r"), i.alias("i"), low.alias("w")))
+        ends = lambda those: reduce(lambda a, b: a | b, [low.endswith(x) for x in those])
+        verb = (F.length(low) >= 4) & ends(VERB_ENDS) & ~low.isin(stopwords + NON_VERBS) & ~F.array_contains(consumed, low)
+        return F.when(verb, F.struct(F.when(ends(["ed", "ing"]), 0).otherwise(1).alias("r"), i.alias("i"), low.alias("w")))
 
     return F.array_min(F.transform(_words(text), rank))["w"]
 
@@ -47,18 +50,18 @@ def main_verb(text: Column, consumed: Column, stopwords: list[str]) -> Column:
 def claim_query(text: Column, entities: Column, stopwords: list[str]) -> Column:
     """Entities that a claim names, its main verb and its numbers; without any of them its first 200 characters."""
 
-    def named(e: Column) -> Column:
+    def named(low: Column, e: Column) -> Column:
         quoted = F.regexp_replace(F.lower(e), r"([^\p{L}\p{N}\s])", r"\\$1")
         # a pattern is made for each name and claim, so only for names that stand in the claim at all
-        return (F.length(e) >= 2) & F.contains(F.lower(text), F.lower(e)) & F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+        return (F.length(e) >= 2) & F.contains(low, F.lower(e)) & F.regexp_like(low, F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
 
-    found = F.array_distinct(F.filter(F.transform(entities, lambda e: F.trim(e)), named))
+    found = F.array_distinct(let(F.lower(text), lambda low: F.filter(F.transform(entities, lambda e: F.trim(e)), lambda e: named(low, e))))
 
     def of(f: Column) -> Column:
         taken = F.flatten(F.transform(f, lambda e: _words(F.lower(e))))
-        parts = F.array_compact(F.concat(f, F.array(main_verb(text, taken, stopwords))))
-        every = F.concat(parts, F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d,.]*%?"), F.lit(0))), parts))
-        return F.when(F.size(every) > 0, F.array_join(every, " ")).otherwise(F.trim(F.left(text, F.lit(200))))
+        numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d,.]*%?"), F.lit(0)))
+        every = let(F.array_compact(F.concat(f, F.array(main_verb(text, taken, stopwords)))), lambda parts: F.concat(parts, F.array_except(numbers, parts)))
+        return let(every, lambda x: F.when(F.size(x) > 0, F.array_join(x, " ")).otherwise(F.trim(F.left(text, F.lit(200)))))
 
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(let(found, of))
 
@@ -84,37 +87,46 @@ def query_plan(runs: DataFrame, claims: DataFrame, entities: DataFrame, stopword
     ``runs(run_id, headline, date_start, date_end, confidence)``, ``claims(run_id, pos, claim_id, text)`` that were
     selected, ``entities(run_id, pos, text, type)``. First the ladder for the headline, if there is one: the phrase, its words, its keywords;
     then two searches for each claim, for the event and for fact checks; then one for each person, organisation or
-    place, each name once by lower case. Ids are unique within a run. A run's plan is a few dozen rows and is
-    made within its row. Runs without anything to search have no rows; claims without an id are "unknown".
+    place, each name once by lower case. Ids are unique within a run. Runs without anything to search have no rows; claims without an id are "unknown".
     """
-    c = claims.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.nullif("claim_id", F.lit("")), F.lit("unknown")).alias("claim_id"), F.coalesce("text", F.lit("")).alias("text")))).alias("c"))
-    e = entities.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"), "type"))).alias("e"))
-    none = lambda col, like: F.coalesce(F.col(col), F.array().cast(like.schema[col].dataType))
-    rows = runs.join(c.hint("merge"), "run_id", "left").join(e.hint("merge"), "run_id", "left").withColumns({"c": none("c", c), "e": none("e", e)})
+    c = claims.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "claim_id", "text"))).alias("c"))
+    e = entities.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "type"))).alias("e"))
+    return plans(runs.join(c.hint("merge"), "run_id", "left").join(e.hint("merge"), "run_id", "left"), stopwords)
+
+
+def plans(rows: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``query_plan`` of runs that hold their claims in an array c(pos, claim_id, text) and their entities in e(pos, text, type), both in order; each plan is made within its row."""
     since, until = date_bounds(F.col("date_start"), F.col("date_end"), F.col("confidence"))
+    none = lambda col: F.coalesce(F.col(col), F.array().cast(rows.schema[col].dataType)).alias(col)
 
     def q(wanted, kind, claim_id, text, template, attempt=1, dated=True) -> Column:
         nothing = F.lit(None).cast("string")
         return F.struct(wanted.alias("query_id"), F.lit(kind).alias("kind"), claim_id.alias("claim_id"), text.alias("query_text"), F.lit(template).alias("template_id"), F.lit(attempt).alias("attempt"), (F.col("since") if dated else nothing).alias("date_from"), (F.col("until") if dated else nothing).alias("date_to"))
 
     no_claim, head = F.lit(None).cast("string"), F.col("head")
-    keys = headline_keywords(head, stopwords)
-    rows = rows.select("run_id", "c", "e", F.trim(F.coalesce("headline", F.lit(""))).alias("head"), since.alias("since"), until.alias("until"))
+    rows = rows.select("run_id", none("c"), none("e"), F.trim(F.coalesce("headline", F.lit(""))).alias("head"), since.alias("since"), until.alias("until"))
+    by_words = let(headline_keywords(head, stopwords), lambda keys: F.when((head != "") & (F.size(keys) > 0), q(F.lit("q_exist_3"), "existence", no_claim, F.array_join(keys, " "), "exist_keyword", 3)))
     ladder = F.array_compact(F.array(
-        F.when(head != "", q(F.lit("q_exist_1"), "existence", no_claim, F.concat(F.lit('"'), head, F.lit('"')), "exist_exact", 1)), F.when(head != "", q(F.lit("q_exist_2"), "existence", no_claim, head, "exist_loose", 2)),
-        F.when((head != "") & (F.size(keys) > 0), q(F.lit("q_exist_3"), "existence", no_claim, F.array_join(keys, " "), "exist_keyword", 3)),
+        F.when(head != "", q(F.lit("q_exist_1"), "existence", no_claim, F.concat(F.lit('"'), head, F.lit('"')), "exist_exact", 1)), F.when(head != "", q(F.lit("q_exist_2"), "existence", no_claim, head, "exist_loose", 2)), by_words,
     ))
-    names = F.transform("e", lambda x: x["text"])
-    of_claims = F.flatten(F.transform("c", lambda x: F.array(
-        q(F.concat(F.lit("q_claim_"), x["claim_id"]), "claim", x["claim_id"], claim_query(x["text"], names, stopwords), "claim_event"),
-        q(F.concat(F.lit("q_fc_"), x["claim_id"]), "factcheck", x["claim_id"], F.trim(F.left(x["text"], F.lit(200))), "factcheck", dated=False),
-    )))
-    looked = F.filter("e", lambda x: x["type"].isin(LOOKED_UP) & (x["text"] != ""))
-    lows = F.transform(looked, lambda x: F.lower(x["text"]))
-    once = F.filter(looked, lambda x, i: F.array_position(lows, F.lower(x["text"])) == i + 1)
+
+    def of_claim(x: Column, names: Column) -> Column:
+        claim_id, text = F.coalesce(F.nullif(x["claim_id"], F.lit("")), F.lit("unknown")), F.coalesce(x["text"], F.lit(""))
+        return F.array(
+            q(F.concat(F.lit("q_claim_"), claim_id), "claim", claim_id, claim_query(text, names, stopwords), "claim_event"),
+            q(F.concat(F.lit("q_fc_"), claim_id), "factcheck", claim_id, F.trim(F.left(text, F.lit(200))), "factcheck", dated=False),
+        )
+
+    of_claims = let(F.transform("e", lambda x: x["text"]), lambda names: F.flatten(F.transform("c", lambda x: of_claim(x, names))))
+    looked = F.filter(F.transform("e", lambda x: F.struct(F.trim(x["text"]).alias("text"), x["type"].alias("type"))), lambda x: x["type"].isin(LOOKED_UP) & (x["text"] != ""))
+    by_name = F.array_sort(F.transform(looked, lambda x, i: F.struct(F.lower(x["text"]).alias("low"), i.alias("i"), x["text"])))
+    first = let(by_name, lambda s: F.filter(s, lambda x, i: ~x["low"].eqNullSafe(F.get(s, i - 1)["low"])))
+    once = F.array_sort(F.transform(first, lambda x: F.struct(x["i"], x["text"])))
     of_names = F.transform(once, lambda x, i: q(F.concat(F.lit("q_entity_"), i.cast("string")), "entity", no_claim, x["text"], "entity_lookup", dated=False))
-    plan = rows.select("run_id", ladder.alias("l"), of_claims.alias("m"), of_names.alias("n")).select("run_id", F.concat("l", "m", "n").alias("p"))
-    given = plan.select("run_id", "p", free_ids(F.transform("p", lambda x: x["query_id"])).alias("ids"))
+    wanted = lambda a: F.transform(a, lambda x: x["query_id"])
+    plan = rows.select("run_id", ladder.alias("l"), of_claims.alias("m"), of_names.alias("n"))
+    # the three kinds begin otherwise, and only claims can want an id twice
+    given = plan.select("run_id", F.concat("l", "m", "n").alias("p"), F.concat(wanted("l"), free_ids(wanted("m")), wanted("n")).alias("ids"))
     return given.select("run_id", F.posexplode(F.arrays_zip("p", "ids")).alias("pos", "x")).select("run_id", "pos", F.col("x.ids").alias("query_id"), *[f"x.p.{n}" for n in ("kind", "claim_id", "query_text", "template_id", "attempt", "date_from", "date_to")])
 
 
