@@ -130,7 +130,7 @@ PLAN = rf"""seen AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lowe
     head AS (SELECT doc_id, trim(left(split_part(coalesce(text, ''), chr(10), 1), 120)) AS h, regexp_extract(coalesce(text, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS day FROM documents),
     hw AS (SELECT doc_id, unnest({TOKENS.format(t='h')}) AS w, generate_subscripts({TOKENS.format(t='h')}, 1) AS i FROM head), hf AS (SELECT * FROM hw, stop WHERE length(w) >= 3 AND NOT list_contains(ws, lower(w)) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) = 1),
     hk AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS keys FROM (SELECT * FROM hf QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN regexp_matches(w, '^[A-Z]') THEN 0 ELSE 1 END, -length(w), i) <= 6) GROUP BY 1),
-    en AS (SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS spot FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS l FROM documents)), ed AS (SELECT doc_id, name, min(spot) AS spot FROM en GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(spot)) <= 30),
+    en AS (SELECT doc_id, unnest(l) AS name, generate_subscripts(l, 1) AS spot FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+') AS l FROM documents)), ed AS (SELECT doc_id, name, min(spot) AS spot FROM en GROUP BY 1, 2),
     el AS (SELECT doc_id, list(name ORDER BY spot) AS names FROM ed GROUP BY 1),
     pc AS (SELECT r.doc_id, r.claim_id, r.claim, r.rank, list_filter(coalesce(names, []), lambda x: regexp_matches(lower(r.claim), '(^|[^\p{{L}}\p{{Nd}}_])' || lower(x) || '($|[^\p{{L}}\p{{Nd}}_])')) AS f FROM r LEFT JOIN el USING (doc_id) WHERE r.rank <= 5 AND r.score >= 0),
     pw AS (SELECT doc_id, claim_id, f, unnest({TOKENS.format(t='claim')}) AS w, generate_subscripts({TOKENS.format(t='claim')}, 1) AS i FROM pc),

@@ -74,3 +74,13 @@ def test_numbers_by_their_first_letters():
     words = re.findall("[a-z]{3,}", NUMERIC) + ["per cent", "per\n cent", "a 1", "xjan", "Janu", "may_", "é may", "MAY", "mays", "ten-year", "", "cent", "per", "é"]
     assert [bool(re.search(NUMERIC, w)) for w in words] == [bool(re.search(NUMERIC_BY_LETTER, w)) for w in words]
     assert sum(bool(re.search(NUMERIC, w)) for w in words) > 60
+
+
+def test_all_names_are_searched(spark, tmp_path):
+    """A text with 80 names: each has its search, and a claim's query holds a name however late it first stands."""
+    names = [f"{'Ann' if i % 2 else 'Bob Carl'} {chr(65 + i % 26)}{chr(97 + i // 26)}lo" for i in range(80)]
+    d = documents(spark, tmp_path, ["names of the day\n" + " met ".join(names) + ", it seems, and went home. Nobody was found in 2026 but Ann Zblo, they say again.", "nothing here"])
+    got = QUERIES["query_plan"](spark, d)
+    assert differ(got, connection(d), ORACLE_SQL["query_plan"]) == ""
+    assert [r.query_text for r in got.where("doc_id = 0 AND kind = 'entity'").orderBy("pos").collect()] == names
+    assert names.index("Ann Zblo") > 30 and any("Ann Zblo" in r.query_text for r in got.where("kind = 'claim'").collect())
