@@ -223,14 +223,14 @@ def _needed(na: Column, nb: Column, per_cent: int) -> Column:
 
 
 def _product(a: DataFrame, b: DataFrame, per_cent: int, apart: Column) -> DataFrame:
-    """(a, b) whose sets may be similar, of two blocks of the index(h, key, n, i, j, r, e), as keys.
+    """(a, b) whose sets may be similar, of two blocks of the index(h, key, n, i, j, r, e, w), as keys.
 
-    Rows of one column multiply; a cell's overlaps add up over the columns. At each common column the places i tell
+    Rows of one column multiply; a cell's overlaps add up over the columns, each of which stands for w. At each common column the places i tell
     how many more n-grams two sets can share behind it, j how many columns that others have too they can share before, and
     sizes how many they must share: pairs below are discarded, first by each column alone. In the end all that two sets share up to the place where the index of one of them stops
     has been counted, so what may follow is what that one has left; pairs that miss their number with it are discarded too.
     """
-    mine = ("key", "n", "i", "j", "r", "e")
+    mine = ("key", "n", "i", "j", "r", "e", "w")
     more = [c for c in a.columns if c not in ("h", *mine)]
     x = a.select("h", F.col("key").alias("a"), *[F.col(c).alias(f"{c}a") for c in (*mine[1:], *more)])
     y = b.select("h", F.col("key").alias("b"), *[F.col(c).alias(f"{c}b") for c in (*mine[1:], *more)])
@@ -239,7 +239,7 @@ def _product(a: DataFrame, b: DataFrame, per_cent: int, apart: Column) -> DataFr
     cells = x.hint("merge").join(y, "h").where(apart & close)
     left = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * per_cent / F.lit(100) - 1e-9) + 1)
     first = F.when(F.struct("ra", "ea") < F.struct("rb", "eb"), left("na")).when(F.struct("ra", "ea") > F.struct("rb", "eb"), left("nb")).otherwise(F.least(left("na"), left("nb")))
-    return cells.groupBy("a", "b", "na", "nb", first.alias("after")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") + F.col("after") >= need).select("a", "b", "na", "nb")
+    return cells.groupBy("a", "b", "na", "nb", first.alias("after")).agg(F.sum("wa").alias("c")).where(F.col("c") + F.col("after") >= need).select("a", "b", "na", "nb")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -256,7 +256,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The incidence matrix has a row for each distinct set, as equal texts share a key, and is cut into
     blocks of columns. The first block holds each set's rarest n-grams, as many as two similar sets
     cannot both do without; its product with itself gives the pairs and part of their overlap. Bounds
-    from the sizes discard most pairs; the other columns are multiplied for the rest only.
+    from the sizes discard most pairs; the other columns are multiplied for the rest only. Columns of the same
+    sets are one column of their number at the first one's places, so that near copies meet once and not in each n-gram.
 
     With ``every_link`` false, the links have the same connected components but not all pairs: first
     every column's sets meet the one of them that has the fewest rarer n-grams of its own, and sets that are
@@ -267,9 +268,11 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(indexed_rows(docs, words, per_cent, table))
     reps = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "r", "prefix")]))
     each = reps.select("key", "n", "r", F.element_at("prefix", -1).alias("e"), F.posexplode("prefix").alias("i", "h"))
-    columns = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "key")) for seed in (1, 2)]  # a name of the set of a column's rows
+    columns = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("f"), *[x.alias(f"x{k}") for k, x in enumerate(same)]).where("f > 1").select("h", F.xxhash64("f", "x0", "x1").alias("g")))
     own = Window.partitionBy("key").orderBy("i")  # a set's few columns
-    index = written(each.hint("merge").join(columns, "h").withColumn("j", F.row_number().over(own) - 1).select("h", "key", "n", "i", "j", "r", "e"))
+    placed = each.hint("merge").join(columns, "h").withColumn("j", F.row_number().over(own) - 1)
+    index = written(placed.groupBy(F.col("g").alias("h"), "key", "n", "r", "e").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count(F.lit(1)).alias("w")).select("h", "key", "n", "i", "j", "r", "e", "w"))
     members = rows.select("id", "key", "n")
 
     def similar(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
@@ -281,7 +284,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if every_link:
         return members, similar(index, index, F.col("a") < F.col("b"))
-    chosen = written(index.groupBy("h").agg(F.min(F.struct((F.col("i") - F.col("j")).alias("alone"), "i", "key", "n", "j", "r", "e")).alias("hub"))).select("h", "hub.key", "hub.n", "hub.i", "hub.j", "hub.r", "hub.e")
+    chosen = written(index.groupBy("h").agg(F.min(F.struct((F.col("i") - F.col("j")).alias("alone"), "i", "key", "n", "j", "r", "e", "w")).alias("hub"))).select("h", "hub.key", "hub.n", "hub.i", "hub.j", "hub.r", "hub.e", "hub.w")
     star = similar(chosen, index, F.col("a") != F.col("b"))
     ends = star.select("a", F.col("b").alias("key")).union(star.select("a", F.col("a").alias("key")))
     label = written(ends.groupBy("key").agg(F.min("a").alias("label")))

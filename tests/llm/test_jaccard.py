@@ -102,3 +102,15 @@ def test_driver_rows(spark):
     want = components(len(rows), links)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()}
     assert got == {rows[i][0]: (len(s), rows[c][0]) for i, (s, c) in enumerate(zip(sets, want))}
+
+
+def test_columns_of_the_same_sets_are_one(spark, monkeypatch):
+    """Two near copies share a hundred n-grams and more of their index, and meet in one row."""
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join([*words[:-1], "end"]), "other words that nobody has"]
+    seen, product = [], J._product
+    monkeypatch.setattr(J, "_product", lambda a, b, *more: seen.append((a.count(), a.agg({"w": "sum"}).head()[0])) or product(a, b, *more))
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(list(enumerate(texts[:2] + texts[3:])), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2} and seen[-1][0] == 2 and seen[-1][1] > 200
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
