@@ -15,7 +15,7 @@ from bylines.scratch import written
 SEGMENTS = 16  # of four bits: each count is 0 to 4 and takes one hex digit of a long
 SHINGLE_WORDS = 3
 DIRECT_CELL = 64  # fingerprints in a cell up to which pairs are compared directly
-VIEWS = 12  # fingerprints of a text by which tests bound what simhash_groups must find from below
+VIEWS = 12  # fingerprints of a text in tests, which hold simhash_groups against what they find; it uses none itself
 NEAR_WORDS, NEAR_PER_CENT = 5, 80  # of shingles, and how many of them near duplicates share
 
 

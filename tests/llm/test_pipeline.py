@@ -103,3 +103,23 @@ def test_packing_by_few_texts_and_words(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     few = pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached=300, keep=False, at_once=7)
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+
+
+def test_near_dedup_groups_are_those_of_all_pairs(spark):
+    """Each pair of the driver's texts, and of large groups whose members are not all alike, compared by whole sets."""
+    import random
+
+    from tests.llm.test_jaccard import components, links_of, sets_of
+
+    rng = random.Random(17)
+    texts = [r.text for r in spark.read.parquet(f"{D}/documents.parquet").orderBy("doc_id").collect()]
+    for g in range(3):
+        ws = [f"g{g}v{i}" for i in range(120)]
+        for _ in range(40):
+            ws = [w if rng.random() > 0.012 else f"n{rng.randrange(9)}" for w in ws]
+            texts.append(" ".join(ws))
+    sets = sets_of(texts, 5)
+    want = components(len(texts), links_of(sets, 80))
+    blank = [i for i, s in enumerate(sets) if not s]
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: min(blank) if i in blank else c for i, c in enumerate(want)}
